@@ -8,68 +8,58 @@ expressions over one scan, so filters, column pruning and parallelism are those
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-
-def _clock(minute: Column) -> Column:
-    def two(c: Column) -> Column:
-        return F.lpad(c.cast("string"), 2, "0")
-
-    return F.concat(two(F.floor(minute / 60)), F.lit(":"), two(minute % 60))
-
-
-def _gap(value: Column, *gaps: tuple[int, str | None]) -> Column:
-    """``value``, replaced where the order number is a multiple of the given ones."""
-    out = None
-    for step, instead in gaps:
-        hit, put = F.col("ok") % step == 0, F.lit(instead).cast("string")
-        out = F.when(hit, put) if out is None else out.when(hit, put)
-    return out.otherwise(value)
-
-
-def _pick(index: Column, *values: str | None) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+# Minute of the day as the text 1HHMM, cut into HH:MM below.
+_DIGITS = "cast({0} + div({0}, 60) * 40 + 10000 AS string)"
+_CLOCK = "concat(substring({0}, 2, 2), ':', substring({0}, 4, 2))"
+
+_ORDERS = {
+    "date_dos": "cast(d AS string)",
+    "cnr_tour": "cast(770000 + sk % 4 AS string)",
+    "cnr_cust": "element_at(array('Z41102', 'Z41103', 'Z41104', 'Z41105', 'Z41108', 'Z49999'), cast(ok % 6 + 1 AS int))",
+    "rfx_activity": "cast(3 + ok % 4 AS string)",
+    "rfx_year": "cast(ok % 100 AS string)",
+    "rfx_preparation": "cast(pk % 100 AS string)",
+    "nm_short_unload": "if(ok % 61 = 0, NULL, concat('ST', cast(pk % 8 AS string)))",
+    "win_from": _CLOCK.format("opens"),
+    "win_until": f"if(ok % 53 = 0, NULL, {_CLOCK.format('closes')})",
+    "planned": f"if(ok % 59 = 0, NULL, {_CLOCK.format('due')})",
+    "p_depart": "if(ok % 47 = 0, NULL, '05:30')",
+    "duration_p": "cast(10 + pk % 25 AS string)",
+    "actual": f"CASE WHEN ok % 41 = 0 THEN NULL WHEN ok % 43 = 0 THEN 'n/a' WHEN ok % 67 = 0 THEN ''"
+    f" ELSE {_CLOCK.format('arrives')} END",
+    "a_depart": f"if(ok % 37 = 0, NULL, {_CLOCK.format('leaves')})",
+    "duration_a": "CASE WHEN ok % 31 = 0 THEN NULL WHEN ok % 29 = 0 THEN 'x' ELSE cast(5 + q AS string) END",
+    "site": "concat('SITE', cast(sk % 5 AS string))",
+    "reason": "element_at(array('late_dispatch', 'early_dispatch', 'last_minute_change', 'wms_tms_mismatch',"
+    " 'insufficient_stock', 'picking_delay', 'other_code', '', NULL), cast(ok % 9 + 1 AS int))",
+    "uid": "concat_ws('-', ok, ln)",
+    "row_ord": "row_ord",
+}
 
 
 def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders table, plus ``site``, ``reason`` and the line key for the delivery table."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_orderkey").cast("bigint").alias("ok"),
-        F.col("l_partkey").cast("bigint").alias("pk"),
-        F.col("l_suppkey").cast("bigint").alias("sk"),
-        F.col("l_quantity").cast("int").alias("q"),
-        F.col("l_linenumber").alias("ln"),
-        F.col("l_shipdate").cast("date").alias("d"),
-        F.monotonically_increasing_id().alias("row_ord"),
+    """The orders table, plus ``site``, ``reason`` and the line key for the delivery table.
+
+    Minutes, digits and texts are made one after the other, so that no generated method grows too
+    large to be compiled.
+    """
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "cast(l_orderkey AS bigint) ok", "cast(l_partkey AS bigint) pk", "cast(l_suppkey AS bigint) sk",
+        "cast(l_quantity AS int) q", "l_linenumber ln", "cast(l_shipdate AS date) d",
+        "monotonically_increasing_id() row_ord",
     )
-    ok, pk, sk, q = (F.col(c) for c in ("ok", "pk", "sk", "q"))
-    start = F.lit(360) + (pk % 8) * 75
-    opens = start + (sk % 3) * 5
-    arrives = start - 25 + q * 3 + ok % 7
-    return line.select(
-        F.col("d").cast("string").alias("date_dos"),
-        (770000 + sk % 4).cast("string").alias("cnr_tour"),
-        _pick(ok % 6, "Z41102", "Z41103", "Z41104", "Z41105", "Z41108", "Z49999").alias("cnr_cust"),
-        (3 + ok % 4).cast("string").alias("rfx_activity"),
-        (ok % 100).cast("string").alias("rfx_year"),
-        (pk % 100).cast("string").alias("rfx_preparation"),
-        _gap(F.concat(F.lit("ST"), (pk % 8).cast("string")), (61, None)).alias("nm_short_unload"),
-        _clock(opens).alias("win_from"),
-        _gap(_clock(opens + 60), (53, None)).alias("win_until"),
-        _gap(_clock(start + 20 + (ok % 4) * 5), (59, None)).alias("planned"),
-        _gap(F.lit("05:30"), (47, None)).alias("p_depart"),
-        (10 + pk % 25).cast("string").alias("duration_p"),
-        _gap(_clock(arrives), (41, None), (43, "n/a"), (67, "")).alias("actual"),
-        _gap(_clock(arrives + 10 + q), (37, None)).alias("a_depart"),
-        _gap((5 + q).cast("string"), (31, None), (29, "x")).alias("duration_a"),
-        F.concat(F.lit("SITE"), (sk % 5).cast("string")).alias("site"),
-        _pick(
-            ok % 9, "late_dispatch", "early_dispatch", "last_minute_change", "wms_tms_mismatch",
-            "insufficient_stock", "picking_delay", "other_code", "", None,
-        ).alias("reason"),
-        F.concat_ws("-", "ok", "ln").alias("uid"),
-        "row_ord",
+    line = line.selectExpr("*", "360 + pk % 8 * 75 AS base").selectExpr(
+        "*",
+        f"{_DIGITS.format('(base + sk % 3 * 5)')} AS opens",
+        f"{_DIGITS.format('(base + sk % 3 * 5 + 60)')} AS closes",
+        f"{_DIGITS.format('(base + 20 + ok % 4 * 5)')} AS due",
+        f"{_DIGITS.format('(base - 25 + q * 3 + ok % 7)')} AS arrives",
+        f"{_DIGITS.format('(base - 15 + q * 4 + ok % 7)')} AS leaves",
     )
+    return line.selectExpr(*[f"{sql} AS {name}" for name, sql in _ORDERS.items()])
 
 
 def raw_order_file(spark: SparkSession, sf_dir: str) -> DataFrame:

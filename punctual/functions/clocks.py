@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from punctual.functions.text import strip
+from punctual.functions.text import strip_sql
 
-_ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_CLOCK = r"^\d{1,2}:\d{1,2}(:\d{1,2})?$"
+_DAY_AND_CLOCK = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"
 _ISO_DAY_CLOCK = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?$"
 _YMD = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})([ T].*)?$"
 _XY_YEAR = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})([ T].*)?$"
@@ -19,67 +18,75 @@ _INSTANT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|
 _ZONED = r":\d{1,2}(\.\d+)? ?(Z|[+-]\d{2}:?\d{2})$"
 
 
-def clock_ts(day: Column, clock: Column) -> Column:
+def clock_sql(day: str, clock: str) -> str:
+    text = f"concat_ws(' ', {day}, {clock})"
+    return f"try_cast(regexp_extract({text}, r'{_DAY_AND_CLOCK}', 0) AS timestamp_ntz)"
+
+
+def clock_ts(day: str, clock: str) -> Column:
     """Day ``YYYY-MM-DD`` plus clock ``H:MM[:SS]`` as TIMESTAMP_NTZ; NULL if either is invalid.
 
-    Both patterns are needed: a cast alone reads an empty clock as midnight and ``6`` as 06:00.
+    The pattern is needed: a cast alone reads an empty clock as midnight and ``6`` as 06:00. Text that
+    does not match becomes blank, which casts to NULL. Small expressions matter here: a generated
+    method beyond 8000 bytes of code is not compiled by the JVM.
     """
-    t = strip(clock)
-    return F.when(
-        day.rlike(_ISO_DAY) & t.rlike(_CLOCK), F.concat_ws(" ", day, t).try_cast("timestamp_ntz")
-    )
+    return F.expr(clock_sql(day, clock))
 
 
 def with_clocks(df: DataFrame, *names: str) -> DataFrame:
     """Adds ``<name>_ts`` for each clock column."""
-    return df.withColumns({f"{n}_ts": clock_ts(F.col("date_dos"), F.col(n)) for n in names})
+    return df.withColumns({f"{n}_ts": clock_ts("date_dos", n) for n in names})
 
 
-def minutes(start: Column, end: Column) -> Column:
+def minutes(start: str, end: str) -> Column:
     """``end - start`` in minutes as DOUBLE, NULL if either is missing."""
-    return F.timestamp_diff("SECOND", start, end) / F.lit(60.0)
+    return F.expr(f"timestampdiff(SECOND, {start}, {end}) / 60.0D")
 
 
-def _clock_of(text: Column) -> Column:
-    """Time part of a clock or of an ISO day with clock."""
-    return F.when(
-        text.rlike(_CLOCK), F.concat(F.lit("1970-01-01 "), text).try_cast("timestamp_ntz")
-    ).when(text.rlike(_ISO_DAY_CLOCK), text.try_cast("timestamp_ntz"))
+def _clock_of(text: str) -> str:
+    """Time of day ``HH:mm`` of a clock or of an ISO day with clock."""
+    bare = f"concat('1970-01-01 ', {text})"
+    return (
+        f"date_format(coalesce(try_cast(regexp_extract({bare}, r'{_DAY_AND_CLOCK}', 0) AS timestamp_ntz),"
+        f" try_cast(regexp_extract({text}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz)), 'HH:mm')"
+    )
 
 
-def hhmm(c: Column) -> Column:
-    """Clock text for display: blank if missing, ``HH:MM`` if it looks like a time, else unchanged."""
-    t = strip(c)
+def hhmm_sql(c: str) -> str:
+    t = strip_sql(c)
     return (
-        F.when(c.isNull() | F.lower(t).isin("", "nan", "none"), F.lit(""))
-        .when((F.length(t) >= 5) & (F.substring(t, 3, 1) == ":"), F.left(t, F.lit(5)))
-        .otherwise(F.coalesce(F.date_format(_clock_of(t), "HH:mm"), t))
+        f"CASE WHEN {c} IS NULL OR lower({t}) IN ('', 'nan', 'none') THEN ''"
+        f" WHEN {t} LIKE '__:__%' THEN left({t}, 5) ELSE coalesce({_clock_of(t)}, {t}) END"
     )
 
 
-def clock_text(c: Column) -> Column:
+def hhmm(c: str) -> Column:
+    """Clock text for display: blank if missing, ``HH:MM`` if it looks like a time, else unchanged."""
+    return F.expr(hhmm_sql(c))
+
+
+def clock_text(c: str) -> Column:
     """Any accepted time of day as ``HH:MM``, else NULL."""
-    return F.date_format(_clock_of(strip(c.cast("string"))), "HH:mm")
+    return F.expr(_clock_of(strip_sql(c)))
 
 
-def _day(c: Column, day_first: bool) -> Column:
-    t = strip(c.cast("string"))
-    day_month = F.when(t.rlike(_XY_YEAR), F.regexp_replace(t, _XY_YEAR, "$3-$2-$1").try_cast("date"))
-    month_day = F.when(t.rlike(_XY_YEAR), F.regexp_replace(t, _XY_YEAR, "$3-$1-$2").try_cast("date"))
-    return F.coalesce(
-        F.when(t.rlike(_YMD), F.regexp_replace(t, _YMD, "$1-$2-$3").try_cast("date")),
-        *([day_month] if day_first else [month_day, day_month]),
-    )
+def _day(c: str, *formats: tuple[str, str]) -> Column:
+    t = strip_sql(c)
+    tries = [
+        f"try_cast(CASE WHEN {t} RLIKE r'{form}' THEN regexp_replace({t}, r'{form}', '{iso}') END AS date)"
+        for form, iso in formats
+    ]
+    return F.expr(f"coalesce({', '.join(tries)})")
 
 
-def day_text(c: Column) -> Column:
+def day_text(c: str) -> Column:
     """Any accepted day as ``YYYY-MM-DD``; year-first or, as in US files, month-first."""
-    return _day(c, day_first=False).cast("string")
+    return _day(c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$1-$2"), (_XY_YEAR, "$3-$2-$1")).cast("string")
 
 
-def report_day(c: Column) -> Column:
+def report_day(c: str) -> Column:
     """Day of the window report as DATE: ISO is ISO, everything else is day-first."""
-    return _day(c, day_first=True)
+    return _day(c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$2-$1"))
 
 
 def utc_instant(df: DataFrame, name: str) -> Column:

@@ -1,28 +1,32 @@
-"""Text and number cleaning."""
+"""Text and number cleaning.
+
+The functions here and in ``clocks`` take column names or SQL text. Each becomes one parsed expression,
+which keeps building a plan cheap; the ``_sql`` forms are for nesting.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_BLANKS = " \t\r\n\f\v"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 MISSING_ID = "nan"
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_BLANKS))
+def strip_sql(c: str) -> str:
+    """Text without blanks, tabs and line ends around it."""
+    return f"btrim(cast({c} AS string), ' \\t\\r\\n')"
 
 
-def id_text(c: Column) -> Column:
+def id_text(c: str) -> Column:
     """Identifier text: trimmed, and a missing one becomes a value of its own, so it forms a group."""
-    return F.coalesce(strip(c.cast("string")), F.lit(MISSING_ID))
+    return F.expr(f"coalesce({strip_sql(c)}, '{MISSING_ID}')")
 
 
-def number(c: Column) -> Column:
+def number(c: str) -> Column:
     """Text as DOUBLE; anything that is not a plain decimal number is NULL.
 
-    The pattern comes first because a bare cast also takes forms such as ``1.0d`` or ``Infinity``.
+    The pattern is needed because a bare cast also takes forms such as ``1.0d`` or ``Infinity``; text
+    that does not match becomes blank, which casts to NULL.
     """
-    t = strip(c.cast("string"))
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    return F.expr(f"try_cast(regexp_extract({strip_sql(c)}, r'{_NUMBER}', 0) AS double)")

@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def first_filled(value: Column, filled: Column | None = None) -> Column:
+def first_filled(value: str, filled: str | None = None) -> Column:
     """Value of the first row in which ``filled`` (the value itself by default) is not NULL."""
-    by = value if filled is None else filled
-    return F.min_by(value, F.when(by.isNotNull(), F.col("row_ord")))
+    return F.expr(f"min_by({value}, row_ord) FILTER (WHERE {filled or value} IS NOT NULL)")
 
 
-def first_row(value: Column) -> Column:
+def first_row(value: str) -> Column:
     """Value of the first row, NULL included."""
-    return F.min_by(value, "row_ord")
+    return F.expr(f"min_by({value}, row_ord)")

@@ -7,8 +7,9 @@ second way with the same result: the stops are cut into slices that follow the s
 value, then shop range), ranked inside their slice, and shifted by what the earlier slices hold. The
 slices of a route are few (clock values times shop ranges), whatever its number of stops.
 
-Which routes are heavy is decided by a count over two columns. There are at most rows / ``limit`` of
-them, which bounds the broadcast; if there is none, adaptive execution drops the second way.
+Which routes are heavy is found first, by a count over two columns of which the driver sees only
+whether any is above the limit. As a rule none is, and the plan is the plain one. Otherwise there are
+at most rows / ``limit`` of them, which bounds the broadcast.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def by_route_size(
 ) -> DataFrame:
     """``small(stops)`` for ordinary routes and ``large(stops)`` for heavy ones, in one DataFrame."""
     heavy = orders.groupBy(*ROUTE).count().where(F.col("count") > limit).select(*ROUTE)
+    if heavy.isEmpty():
+        return small(stops)
     return small(stops.join(F.broadcast(heavy), ROUTE, "left_anti")).unionByName(
         large(stops.join(F.broadcast(heavy), ROUTE, "left_semi"))
     )

@@ -34,10 +34,10 @@ def stop_deliveries(orders: DataFrame, **filters) -> DataFrame:
         .groupBy(*STOP)
         .agg(
             F.count("cnr_cust").alias("orders"),
-            first_filled(F.col("win_from")).alias("win_from"),
-            first_filled(F.col("win_until")).alias("win_until"),
-            first_filled(F.col("planned")).alias("first_planned"),
-            first_filled(F.col("actual")).alias("first_actual"),
+            first_filled("win_from").alias("win_from"),
+            first_filled("win_until").alias("win_until"),
+            first_filled("planned").alias("first_planned"),
+            first_filled("actual").alias("first_actual"),
             F.bool_or("jit_s1_order").alias("jit_s1_delivery"),
             F.bool_or("jit_s2_order").alias("jit_s2_delivery"),
             F.min("planned_ts").alias("first_planned_ts"),
@@ -123,7 +123,7 @@ def route_detail_orders(
         rows = rows.orderBy(F.col("planned_ts").asc_nulls_last(), F.col("nm_short_unload").asc_nulls_last(), "row_ord")
     return rows.select(
         *STOP, "rfx_activity", "rfx_year", "rfx_preparation",
-        *[hhmm(F.col(c)).alias(c) for c in ("win_from", "win_until", "planned", "actual")],
+        *[hhmm(c).alias(c) for c in ("win_from", "win_until", "planned", "actual")],
         "jit_s1_order", "jit_s2_order",
         row_grade(F.col("jit_s1_order"), F.col("jit_s2_order")).alias("row_grade"),
     )
@@ -138,7 +138,7 @@ def route_detail_deliveries(
         rows = rows.orderBy(F.col("first_planned_ts").asc_nulls_last(), "nm_short_unload")
     return rows.select(
         *STOP, "orders",
-        *[hhmm(F.col(c)).alias(c) for c in ("win_from", "win_until", "first_planned", "first_actual")],
+        *[hhmm(c).alias(c) for c in ("win_from", "win_until", "first_planned", "first_actual")],
         "jit_s1_delivery", "jit_s2_delivery",
         row_grade(F.col("jit_s1_delivery"), F.col("jit_s2_delivery")).alias("row_grade"),
     )

@@ -22,19 +22,20 @@ def outside_stops(orders: DataFrame, **filters) -> DataFrame:
         with_clocks(rows, "actual", "win_until", "planned")
         .groupBy(*STOP)
         .agg(
-            first_filled(F.col("rfx_activity")).alias("rfx_activity"),
+            first_filled("rfx_activity").alias("rfx_activity"),
             F.min("actual_ts").alias("actual_ts"),
-            first_filled(F.col("win_until_ts")).alias("win_until_ts"),
+            first_filled("win_until_ts").alias("win_until_ts"),
             F.min("planned_ts").alias("planned_ts"),
-            hhmm(first_filled(F.col("actual"))).alias("actual"),
-            hhmm(first_filled(F.col("win_until"))).alias("win_until"),
-            hhmm(first_filled(F.col("planned"))).alias("planned"),
+            first_filled("actual").alias("actual"),
+            first_filled("win_until").alias("win_until"),
+            first_filled("planned").alias("planned"),
             F.count("cnr_cust").alias("orders"),
         )
     )
     return stops.withColumns(
-        {
-            "late_minutes": clamp(minutes(F.col("win_until_ts"), F.col("actual_ts"))),
+        {c: hhmm(c) for c in ("actual", "win_until", "planned")}
+        | {
+            "late_minutes": clamp(minutes("win_until_ts", "actual_ts")),
             "outside_s2": F.coalesce(F.col("actual_ts") > F.col("win_until_ts"), F.lit(True)),
         }
     )

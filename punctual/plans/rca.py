@@ -27,19 +27,23 @@ def _with_text_keys(orders: DataFrame) -> DataFrame:
 def _stops(orders: DataFrame, has_duration_a: bool) -> DataFrame:
     stops = (
         with_clocks(_with_text_keys(orders), *_CLOCKS)
-        .withColumn("wait", number(F.col("duration_a")))
+        .withColumn("wait", number("duration_a"))
         .groupBy(*_KEYS)
         .agg(
-            *[first_row(F.col(f"{c}_ts")).alias(f"{c}_ts") for c in _CLOCKS],
-            *[hhmm(first_row(F.col(c))).alias(c) for c in _CLOCKS],
-            first_row(F.col("wait")).alias("wait_min"),
+            *[first_row(f"{c}_ts").alias(f"{c}_ts") for c in _CLOCKS],
+            *[first_row(c).alias(c) for c in _CLOCKS],
+            first_row("wait").alias("wait_min"),
             F.count(F.lit(1)).alias("orders"),
         )
     )
     if not has_duration_a:
-        stops = stops.withColumn("wait_min", minutes(F.col("actual_ts"), F.col("a_depart_ts")))
-    late = clamp(minutes(F.col("win_until_ts"), F.col("actual_ts")))
-    return stops.withColumn("late_min", late).withColumn("late_bucket", late_bucket(late)).drop("win_until_ts")
+        stops = stops.withColumn("wait_min", minutes("actual_ts", "a_depart_ts"))
+    late = clamp(minutes("win_until_ts", "actual_ts"))
+    return (
+        stops.withColumns({c: hhmm(c) for c in _CLOCKS} | {"late_min": late})
+        .withColumn("late_bucket", late_bucket(F.col("late_min")))
+        .drop("win_until_ts")
+    )
 
 
 def rca_stops(
@@ -75,13 +79,12 @@ def rca_stop_sequence(
         lambda s: route_order.previous_sliced(s, *args),
         route_limit,
     )
-    left, planned_before = F.col("prev_a_depart"), F.col("prev_planned")
     return stops.withColumns(
         {
-            "transit_actual_min": minutes(left, F.col("actual_ts")),
-            "transit_planned_min": minutes(planned_before, F.col("planned_ts")),
+            "transit_actual_min": minutes("prev_a_depart", "actual_ts"),
+            "transit_planned_min": minutes("prev_planned", "planned_ts"),
             # Departure there against planned arrival there, so it includes the time on site.
-            "late_departure_proxy_min": minutes(planned_before, left),
+            "late_departure_proxy_min": minutes("prev_planned", "prev_a_depart"),
         }
     ).withColumn("transit_delay_min", F.col("transit_actual_min") - F.col("transit_planned_min"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import clock_ts, hhmm, minutes, with_clocks
+from punctual.functions.clocks import clock_ts, hhmm, hhmm_sql, minutes, with_clocks
 from punctual.functions.measures import total
 from punctual.functions.text import number
 from punctual.operators import route_order
@@ -23,27 +23,28 @@ def _stops(orders: DataFrame) -> DataFrame:
     pruned where only stops are asked for.
     """
     rows = with_clocks(present(orders, *ROUTE), "planned", "actual", "a_depart").withColumns(
-        {"p_block": number(F.col("duration_p")), "a_block": number(F.col("duration_a"))}
-        | {f"{c}_of_route": clock_ts(F.col("date_dos"), hhmm(F.col(c))) for c in _DEPARTS}
+        {"p_block": number("duration_p"), "a_block": number("duration_a")}
+        | {f"{c}_of_route": clock_ts("date_dos", hhmm_sql(c)) for c in _DEPARTS}
     )
-    on_site = minutes(F.col("actual_ts"), F.col("a_depart_ts"))
+    on_site = minutes("actual_ts", "a_depart_ts")
     return (
         rows.groupBy(*STOP)
         .agg(
-            first_filled(F.col("rfx_activity")).alias("rfx_activity"),
+            first_filled("rfx_activity").alias("rfx_activity"),
             F.min("planned_ts").alias("planned_ts"),
             F.min("actual_ts").alias("actual_ts"),
             F.min("a_depart_ts").alias("a_depart_ts"),
-            *[hhmm(first_filled(F.col(c))).alias(c) for c in ("planned", "actual", "a_depart")],
-            first_filled(F.col("p_block"), F.col("duration_p")).alias("planned_block_min"),
-            first_filled(F.col("a_block"), F.col("duration_a")).alias("a_block"),
+            *[first_filled(c).alias(c) for c in ("planned", "actual", "a_depart")],
+            first_filled("p_block", "duration_p").alias("planned_block_min"),
+            first_filled("a_block", "duration_a").alias("a_block"),
             F.count("cnr_cust").alias("orders"),
             *_route_firsts(),
         )
         .withColumn("actual_block_min", F.coalesce(F.col("a_block"), on_site))
         .withColumns(
-            {
-                "arrival_delta_min": minutes(F.col("planned_ts"), F.col("actual_ts")),
+            {c: hhmm(c) for c in ("planned", "actual", "a_depart")}
+            | {
+                "arrival_delta_min": minutes("planned_ts", "actual_ts"),
                 "delta_block_min": F.col("actual_block_min") - F.col("planned_block_min"),
             }
         )
@@ -53,10 +54,10 @@ def _stops(orders: DataFrame) -> DataFrame:
 
 def _route_firsts() -> list:
     """First values of the route, each with the position it comes from."""
-    out = [first_row(F.col("rfx_activity")).alias("activity_of_route"), F.min("row_ord").alias("row_ord")]
+    out = [first_row("rfx_activity").alias("activity_of_route"), F.min("row_ord").alias("row_ord")]
     for c in _DEPARTS:
-        out.append(first_filled(F.col(f"{c}_of_route"), F.col(c)).alias(f"{c}_of_route"))
-        out.append(F.min(F.when(F.col(c).isNotNull(), F.col("row_ord"))).alias(f"{c}_ord"))
+        out.append(first_filled(f"{c}_of_route", c).alias(f"{c}_of_route"))
+        out.append(F.expr(f"min(row_ord) FILTER (WHERE {c} IS NOT NULL)").alias(f"{c}_ord"))
     return out
 
 
@@ -103,21 +104,24 @@ def transport_routes(
     shop, shift = F.col("nm_short_unload").isNotNull(), F.abs("seq_delta")
 
     def roll_up(stops: DataFrame) -> DataFrame:
-        departs = {c: F.min_by(f"{c}_of_route", f"{c}_ord") for c in _DEPARTS}
         return stops.groupBy(*ROUTE).agg(
             F.min_by("activity_of_route", "row_ord").alias("rfx_activity"),
             F.count_if(shop).alias("leverpunten"),
             F.count_if(shop & (shift > 0)).alias("seq_mismatch_cnt"),
             F.coalesce(F.max(F.when(shop, shift)), F.lit(0)).alias("max_abs_seq_delta"),
-            minutes(departs["p_depart"], departs["a_depart"]).alias("dep_delay_min"),
+            *[F.min_by(f"{c}_of_route", f"{c}_ord").alias(c) for c in _DEPARTS],
             total(F.when(shop, F.col("planned_block_min"))).alias("planned_block_total_min"),
             total(F.when(shop, F.col("actual_block_min"))).alias("actual_block_total_min"),
         )
 
     routes = _by_route(select_orders(orders, **filters), route_limit, roll_up)
     overrun = F.col("actual_block_total_min") - F.col("planned_block_total_min")
-    return routes.withColumn("delta_block_total_min", overrun).orderBy(
-        "date_dos", F.desc("delta_block_total_min"), "cnr_tour"
+    return (
+        routes.withColumns(
+            {"dep_delay_min": minutes("p_depart", "a_depart"), "delta_block_total_min": overrun}
+        )
+        .drop(*_DEPARTS)
+        .orderBy("date_dos", F.desc("delta_block_total_min"), "cnr_tour")
     )
 
 
@@ -139,15 +143,13 @@ def transport_departure(
 ) -> DataFrame:
     """Actual minus planned departure of a route, each from the first order that has one."""
     rows = present(select_orders(orders, **_one_route(date, cnr_tour)), *ROUTE)
-    departs = {
-        c: first_filled(F.col(f"{c}_of_route"), F.col(c)) for c in _DEPARTS
-    }
     return (
         rows.withColumns(
-            {f"{c}_of_route": clock_ts(F.col("date_dos"), hhmm(F.col(c))) for c in _DEPARTS}
+            {f"{c}_of_route": clock_ts("date_dos", hhmm_sql(c)) for c in _DEPARTS}
         )
         .groupBy(*ROUTE)
-        .agg(minutes(departs["p_depart"], departs["a_depart"]).alias("dep_delay_min"))
+        .agg(*[first_filled(f"{c}_of_route", c).alias(c) for c in _DEPARTS])
+        .select(*ROUTE, minutes("p_depart", "a_depart").alias("dep_delay_min"))
     )
 
 

@@ -12,7 +12,7 @@ from punctual.sources.schema import STOP, present
 
 def _waiting(orders: DataFrame, **filters) -> DataFrame:
     rows = select_orders(orders, **filters)
-    return present(rows.withColumn("duration_a_min", number(F.col("duration_a"))), "duration_a_min")
+    return present(rows.withColumn("duration_a_min", number("duration_a")), "duration_a_min")
 
 
 def _delivery_waits(orders: DataFrame, **filters) -> DataFrame:
@@ -80,11 +80,11 @@ def waits_store_orders(
     if store:
         rows = rows.where(F.col("nm_short_unload") == store)
     if store and rfx_activity:
-        planned = clock_ts(F.col("date_dos"), F.col("planned"))
+        planned = clock_ts("date_dos", "planned")
         order = [F.col("date_dos"), F.col("cnr_tour"), planned, F.col("actual")]
         rows = rows.orderBy(*[c.asc_nulls_last() for c in order], "row_ord")
     return rows.select(
         "rfx_activity", "nm_short_unload", "date_dos", "cnr_tour", "cnr_cust",
-        *[hhmm(F.col(c)).alias(c) for c in ("win_from", "win_until", "planned", "actual", "a_depart")],
+        *[hhmm(c).alias(c) for c in ("win_from", "win_until", "planned", "actual", "a_depart")],
         "duration_a_min",
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from punctual.functions.clocks import clock_ts, report_day
 from punctual.functions.lookups import customer_label
 from punctual.functions.measures import is_true, percent2, wait_bucket
-from punctual.functions.text import id_text, number, strip
+from punctual.functions.text import id_text, number, strip_sql
 from punctual.operators.firsts import first_row
 from punctual.operators.shares import grand_total
 from punctual.sources.schema import ROUTE, present, require, with_optional
@@ -29,13 +29,12 @@ def window_orders(orders: DataFrame, tolerance_minutes: int = 0) -> DataFrame:
     """Prepared orders: activity filter, parsed day and clocks, channel, both on-time flags."""
     require(orders, _REQUIRED, "Dataset mist verplichte kolommen")
     rows = with_optional(orders, *_OPTIONAL)
-    rows = rows.withColumn("rfx_activity", strip(F.col("rfx_activity"))).where(
+    rows = rows.withColumn("rfx_activity", F.expr(strip_sql("rfx_activity"))).where(
         F.col("rfx_activity").isin(*ACTIVITIES)
     )
-    rows = rows.withColumn("date_dos", report_day(F.col("date_dos")))
-    rows = rows.withColumns({c: id_text(F.col(c)) for c in _TEXTS})
-    day = F.col("date_dos").cast("string")
-    rows = rows.withColumns({f"{c}_ts": clock_ts(day, F.col(c)) for c in _CLOCKS})
+    rows = rows.withColumn("date_dos", report_day("date_dos"))
+    rows = rows.withColumns({c: id_text(c) for c in _TEXTS})
+    rows = rows.withColumns({f"{c}_ts": clock_ts("date_dos", strip_sql(c)) for c in _CLOCKS})
     slack = F.make_dt_interval(mins=F.lit(tolerance_minutes))
     actual, latest = F.col("actual_ts"), F.col("win_until_ts") + slack
     # The start is tested in both, so a missing one makes both false.
@@ -60,7 +59,7 @@ def _groups(orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("orders_total"),
         F.count_if("order_jit_s1").alias("orders_jit_s1"),
         F.count_if("order_jit_s2").alias("orders_jit_s2"),
-        first_row(F.col("rfx_activity").cast("int")).alias("_activity"),
+        first_row("cast(rfx_activity AS int)").alias("_activity"),
     )
 
 
@@ -181,7 +180,7 @@ def window_impact_stores(orders: DataFrame, tolerance_minutes: int = 0, limit: i
 def _late(orders: DataFrame, tolerance_minutes: int) -> DataFrame:
     """Late orders with planned, actual and extra wait."""
     late = window_orders(orders, tolerance_minutes).where(~F.col("order_jit_s2"))
-    late = late.withColumns({"wait_p": number(F.col("duration_p")), "wait_a": number(F.col("duration_a"))})
+    late = late.withColumns({"wait_p": number("duration_p"), "wait_a": number("duration_a")})
     return late.withColumn("extra", F.col("wait_a") - F.col("wait_p"))
 
 
@@ -218,9 +217,9 @@ def window_wait_by_store(orders: DataFrame, tolerance_minutes: int = 0, limit: i
 def _of_route(orders: DataFrame, date_dos: str | None, cnr_tour: str | None) -> DataFrame:
     """The route filter, on the raw columns so that it reaches the scan."""
     if date_dos:
-        orders = orders.where(report_day(F.col("date_dos")) == F.lit(date_dos).cast("date"))
+        orders = orders.where(report_day("date_dos") == F.lit(date_dos).cast("date"))
     if cnr_tour:
-        orders = orders.where(id_text(F.col("cnr_tour")) == str(cnr_tour))
+        orders = orders.where(id_text("cnr_tour") == str(cnr_tour))
     return orders
 
 

@@ -34,9 +34,9 @@ def normalise_orders(raw: DataFrame) -> DataFrame:
     rows = renamed.select(*picked.values(), F.monotonically_increasing_id().alias("row_ord"))
     rows = with_optional(rows, *ORDER_COLUMNS)
     rows = rows.withColumns(
-        {"date_dos": day_text(F.col("date_dos"))}
-        | {c: id_text(F.col(c)) for c in ID_COLUMNS}
-        | {c: clock_text(F.col(c)) for c in CLOCK_COLUMNS}
+        {"date_dos": day_text("date_dos")}
+        | {c: id_text(c) for c in ID_COLUMNS}
+        | {c: clock_text(c) for c in CLOCK_COLUMNS}
     )
     rows = rows.withColumn("cnr_tour", F.regexp_replace("cnr_tour", r"\.0$", ""))
     return rows.select(*ORDER_COLUMNS, "row_ord")
