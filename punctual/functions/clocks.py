@@ -43,31 +43,30 @@ def minutes(start: str, end: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, {start}, {end}) / 60.0D")
 
 
-def _clock_of(text: str) -> str:
+def _time_sql(text: str) -> str:
     """Time of day ``HH:mm`` of a clock or of an ISO day with clock."""
-    bare = f"concat('1970-01-01 ', {text})"
-    return (
-        f"date_format(coalesce(try_cast(regexp_extract({bare}, r'{_DAY_AND_CLOCK}', 0) AS timestamp_ntz),"
-        f" try_cast(regexp_extract({text}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz)), 'HH:mm')"
+    full = f"if({text} LIKE '%-%', {text}, concat('1970-01-01 ', {text}))"
+    return f"date_format(try_cast(regexp_extract({full}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz), 'HH:mm')"
+
+
+def with_hhmm(df: DataFrame, *names: str) -> DataFrame:
+    """Clock texts for display: blank if missing, ``HH:MM`` if it looks like a time, else unchanged."""
+    return df.withColumns({n: F.expr(f"coalesce({strip_sql(n)}, '')") for n in names}).withColumns(
+        {
+            n: F.expr(
+                f"CASE WHEN lower({n}) IN ('', 'nan', 'none') THEN ''"
+                f" WHEN {n} LIKE '__:__%' THEN left({n}, 5) ELSE coalesce({_time_sql(n)}, {n}) END"
+            )
+            for n in names
+        }
     )
 
 
-def hhmm_sql(c: str) -> str:
-    t = strip_sql(c)
-    return (
-        f"CASE WHEN {c} IS NULL OR lower({t}) IN ('', 'nan', 'none') THEN ''"
-        f" WHEN {t} LIKE '__:__%' THEN left({t}, 5) ELSE coalesce({_clock_of(t)}, {t}) END"
-    )
-
-
-def hhmm(c: str) -> Column:
-    """Clock text for display: blank if missing, ``HH:MM`` if it looks like a time, else unchanged."""
-    return F.expr(hhmm_sql(c))
-
-
-def clock_text(c: str) -> Column:
+def with_clock_text(df: DataFrame, *names: str) -> DataFrame:
     """Any accepted time of day as ``HH:MM``, else NULL."""
-    return F.expr(_clock_of(strip_sql(c)))
+    return df.withColumns({n: F.expr(strip_sql(n)) for n in names}).withColumns(
+        {n: F.expr(_time_sql(n)) for n in names}
+    )
 
 
 def _day(c: str, *formats: tuple[str, str]) -> Column:
@@ -100,7 +99,9 @@ def utc_instant(df: DataFrame, name: str) -> Column:
     if kind == "timestamp":
         return _utc(c)
     t = c.cast("string")
-    zoned = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+    # A cast wants seconds before the zone and a colon inside it.
+    zoned = F.regexp_replace(t, r"[ T](\d{1,2}:\d{1,2}) ?([Z+-].*)$", " $1:00$2")
+    zoned = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
     return F.when(
         t.rlike(_INSTANT), F.when(t.rlike(_ZONED), _utc(zoned)).otherwise(t.try_cast("timestamp_ntz"))
     )

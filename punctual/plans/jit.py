@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import hhmm, with_clocks
+from punctual.functions.clocks import with_clocks, with_hhmm
 from punctual.functions.measures import is_true, percent, route_grade, row_grade
 from punctual.operators.firsts import first_filled
 from punctual.sources.orders import select_orders
@@ -121,9 +121,9 @@ def route_detail_orders(
     rows = present(stop_order_flags(orders, **_one_route(date, cnr_tour)), *ROUTE)
     if date and cnr_tour:
         rows = rows.orderBy(F.col("planned_ts").asc_nulls_last(), F.col("nm_short_unload").asc_nulls_last(), "row_ord")
-    return rows.select(
-        *STOP, "rfx_activity", "rfx_year", "rfx_preparation",
-        *[hhmm(c).alias(c) for c in ("win_from", "win_until", "planned", "actual")],
+    clocks = ("win_from", "win_until", "planned", "actual")
+    return with_hhmm(rows, *clocks).select(
+        *STOP, "rfx_activity", "rfx_year", "rfx_preparation", *clocks,
         "jit_s1_order", "jit_s2_order",
         row_grade(F.col("jit_s1_order"), F.col("jit_s2_order")).alias("row_grade"),
     )
@@ -136,9 +136,9 @@ def route_detail_deliveries(
     rows = stop_deliveries(orders, **_one_route(date, cnr_tour))
     if date and cnr_tour:
         rows = rows.orderBy(F.col("first_planned_ts").asc_nulls_last(), "nm_short_unload")
-    return rows.select(
-        *STOP, "orders",
-        *[hhmm(c).alias(c) for c in ("win_from", "win_until", "first_planned", "first_actual")],
+    clocks = ("win_from", "win_until", "first_planned", "first_actual")
+    return with_hhmm(rows, *clocks).select(
+        *STOP, "orders", *clocks,
         "jit_s1_delivery", "jit_s2_delivery",
         row_grade(F.col("jit_s1_delivery"), F.col("jit_s2_delivery")).alias("row_grade"),
     )

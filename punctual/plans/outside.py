@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import hhmm, minutes, with_clocks
+from punctual.functions.clocks import minutes, with_clocks, with_hhmm
 from punctual.functions.measures import OUTSIDE_BUCKETS, clamp, outside_bucket, percent
 from punctual.operators.firsts import first_filled
 from punctual.sources.orders import select_orders
@@ -32,9 +32,8 @@ def outside_stops(orders: DataFrame, **filters) -> DataFrame:
             F.count("cnr_cust").alias("orders"),
         )
     )
-    return stops.withColumns(
-        {c: hhmm(c) for c in ("actual", "win_until", "planned")}
-        | {
+    return with_hhmm(stops, "actual", "win_until", "planned").withColumns(
+        {
             "late_minutes": clamp(minutes("win_until_ts", "actual_ts")),
             "outside_s2": F.coalesce(F.col("actual_ts") > F.col("win_until_ts"), F.lit(True)),
         }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import hhmm, minutes, with_clocks
+from punctual.functions.clocks import minutes, with_clocks, with_hhmm
 from punctual.functions.measures import clamp, late_bucket, total
 from punctual.functions.text import MISSING_ID, number
 from punctual.operators import route_order
@@ -40,7 +40,8 @@ def _stops(orders: DataFrame, has_duration_a: bool) -> DataFrame:
         stops = stops.withColumn("wait_min", minutes("actual_ts", "a_depart_ts"))
     late = clamp(minutes("win_until_ts", "actual_ts"))
     return (
-        stops.withColumns({c: hhmm(c) for c in _CLOCKS} | {"late_min": late})
+        with_hhmm(stops, *_CLOCKS)
+        .withColumn("late_min", late)
         .withColumn("late_bucket", late_bucket(F.col("late_min")))
         .drop("win_until_ts")
     )

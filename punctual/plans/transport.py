@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import clock_ts, hhmm, hhmm_sql, minutes, with_clocks
+from punctual.functions.clocks import minutes, with_clocks, with_hhmm
 from punctual.functions.measures import total
 from punctual.functions.text import number
 from punctual.operators import route_order
@@ -22,43 +22,37 @@ def _stops(orders: DataFrame) -> DataFrame:
     from all its orders. Carrying these first values along keeps it to a single scan; they are
     pruned where only stops are asked for.
     """
-    rows = with_clocks(present(orders, *ROUTE), "planned", "actual", "a_depart").withColumns(
-        {"p_block": number("duration_p"), "a_block": number("duration_a")}
-        | {f"{c}_of_route": clock_ts("date_dos", hhmm_sql(c)) for c in _DEPARTS}
+    rows = with_clocks(present(orders, *ROUTE), "planned", "actual", "a_depart")
+    texts = ("rfx_activity", "planned", "actual", "a_depart", "duration_p", "duration_a")
+    stops = rows.groupBy(*STOP).agg(
+        *[first_filled(c).alias(c) for c in texts],
+        *[F.min(f"{c}_ts").alias(f"{c}_ts") for c in ("planned", "actual", "a_depart")],
+        F.count("cnr_cust").alias("orders"),
+        first_row("rfx_activity").alias("activity_of_route"),
+        F.min("row_ord").alias("row_ord"),
+        *[first_filled(c).alias(f"{c}_of_route") for c in _DEPARTS],
+        *[F.expr(f"min(row_ord) FILTER (WHERE {c} IS NOT NULL)").alias(f"{c}_ord") for c in _DEPARTS],
     )
     on_site = minutes("actual_ts", "a_depart_ts")
     return (
-        rows.groupBy(*STOP)
-        .agg(
-            first_filled("rfx_activity").alias("rfx_activity"),
-            F.min("planned_ts").alias("planned_ts"),
-            F.min("actual_ts").alias("actual_ts"),
-            F.min("a_depart_ts").alias("a_depart_ts"),
-            *[first_filled(c).alias(c) for c in ("planned", "actual", "a_depart")],
-            first_filled("p_block", "duration_p").alias("planned_block_min"),
-            first_filled("a_block", "duration_a").alias("a_block"),
-            F.count("cnr_cust").alias("orders"),
-            *_route_firsts(),
-        )
-        .withColumn("actual_block_min", F.coalesce(F.col("a_block"), on_site))
+        with_hhmm(stops, "planned", "actual", "a_depart")
         .withColumns(
-            {c: hhmm(c) for c in ("planned", "actual", "a_depart")}
-            | {
+            {
+                "planned_block_min": number("duration_p"),
+                "actual_block_min": F.coalesce(number("duration_a"), on_site),
                 "arrival_delta_min": minutes("planned_ts", "actual_ts"),
-                "delta_block_min": F.col("actual_block_min") - F.col("planned_block_min"),
             }
         )
-        .drop("a_block")
+        .withColumn("delta_block_min", F.col("actual_block_min") - F.col("planned_block_min"))
     )
 
 
-def _route_firsts() -> list:
-    """First values of the route, each with the position it comes from."""
-    out = [first_row("rfx_activity").alias("activity_of_route"), F.min("row_ord").alias("row_ord")]
-    for c in _DEPARTS:
-        out.append(first_filled(f"{c}_of_route", c).alias(f"{c}_of_route"))
-        out.append(F.expr(f"min(row_ord) FILTER (WHERE {c} IS NOT NULL)").alias(f"{c}_ord"))
-    return out
+def _departure_delay(routes: DataFrame) -> DataFrame:
+    """Adds the delay from the two departure texts of a route."""
+    routes = with_clocks(with_hhmm(routes, *_DEPARTS), *_DEPARTS)
+    return routes.withColumn("dep_delay_min", minutes("p_depart_ts", "a_depart_ts")).drop(
+        *_DEPARTS, *[f"{c}_ts" for c in _DEPARTS]
+    )
 
 
 def _by_route(orders: DataFrame, route_limit: int, then) -> DataFrame:
@@ -117,10 +111,8 @@ def transport_routes(
     routes = _by_route(select_orders(orders, **filters), route_limit, roll_up)
     overrun = F.col("actual_block_total_min") - F.col("planned_block_total_min")
     return (
-        routes.withColumns(
-            {"dep_delay_min": minutes("p_depart", "a_depart"), "delta_block_total_min": overrun}
-        )
-        .drop(*_DEPARTS)
+        _departure_delay(routes)
+        .withColumn("delta_block_total_min", overrun)
         .orderBy("date_dos", F.desc("delta_block_total_min"), "cnr_tour")
     )
 
@@ -143,14 +135,7 @@ def transport_departure(
 ) -> DataFrame:
     """Actual minus planned departure of a route, each from the first order that has one."""
     rows = present(select_orders(orders, **_one_route(date, cnr_tour)), *ROUTE)
-    return (
-        rows.withColumns(
-            {f"{c}_of_route": clock_ts("date_dos", hhmm_sql(c)) for c in _DEPARTS}
-        )
-        .groupBy(*ROUTE)
-        .agg(*[first_filled(f"{c}_of_route", c).alias(c) for c in _DEPARTS])
-        .select(*ROUTE, minutes("p_depart", "a_depart").alias("dep_delay_min"))
-    )
+    return _departure_delay(rows.groupBy(*ROUTE).agg(*[first_filled(c).alias(c) for c in _DEPARTS]))
 
 
 def transport_blocks(

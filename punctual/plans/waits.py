@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import clock_ts, hhmm
+from punctual.functions.clocks import clock_ts, with_hhmm
 from punctual.functions.text import number
 from punctual.sources.orders import select_orders
 from punctual.sources.schema import STOP, present
@@ -83,8 +83,8 @@ def waits_store_orders(
         planned = clock_ts("date_dos", "planned")
         order = [F.col("date_dos"), F.col("cnr_tour"), planned, F.col("actual")]
         rows = rows.orderBy(*[c.asc_nulls_last() for c in order], "row_ord")
-    return rows.select(
-        "rfx_activity", "nm_short_unload", "date_dos", "cnr_tour", "cnr_cust",
-        *[hhmm(c).alias(c) for c in ("win_from", "win_until", "planned", "actual", "a_depart")],
+    clocks = ("win_from", "win_until", "planned", "actual", "a_depart")
+    return with_hhmm(rows, *clocks).select(
+        "rfx_activity", "nm_short_unload", "date_dos", "cnr_tour", "cnr_cust", *clocks,
         "duration_a_min",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.functions.clocks import clock_text, day_text
+from punctual.functions.clocks import day_text, with_clock_text
 from punctual.functions.text import id_text
 from punctual.sources.schema import (
     CLOCK_COLUMNS, HEADER_ALIASES, ID_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDERS_SCHEMA, with_optional,
@@ -33,11 +33,8 @@ def normalise_orders(raw: DataFrame) -> DataFrame:
             picked[name] = F.col(f"`{c}`").cast("string").alias(name)
     rows = renamed.select(*picked.values(), F.monotonically_increasing_id().alias("row_ord"))
     rows = with_optional(rows, *ORDER_COLUMNS)
-    rows = rows.withColumns(
-        {"date_dos": day_text("date_dos")}
-        | {c: id_text(c) for c in ID_COLUMNS}
-        | {c: clock_text(c) for c in CLOCK_COLUMNS}
-    )
+    rows = rows.withColumns({"date_dos": day_text("date_dos")} | {c: id_text(c) for c in ID_COLUMNS})
+    rows = with_clock_text(rows, *CLOCK_COLUMNS)
     rows = rows.withColumn("cnr_tour", F.regexp_replace("cnr_tour", r"\.0$", ""))
     return rows.select(*ORDER_COLUMNS, "row_ord")
 
