@@ -46,7 +46,8 @@ def minutes(start: str, end: str) -> Column:
 def _time_sql(text: str) -> str:
     """Time of day ``HH:mm`` of a clock or of an ISO day with clock."""
     full = f"if({text} LIKE '%-%', {text}, concat('1970-01-01 ', {text}))"
-    return f"date_format(try_cast(regexp_extract({full}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz), 'HH:mm')"
+    time = f"try_cast(regexp_extract({full}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz)"
+    return f"substring(cast({time} AS string), 12, 5)"
 
 
 def with_hhmm(df: DataFrame, *names: str) -> DataFrame:
