@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from punctual.llm.common import stored
 
+#: Up to so many buckets (24 bytes each) the table of their first slots is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BUCKETS = 200_000
 ADDED = ["shard", "grown_shard", "bucket", "slot"]
 
 
@@ -60,7 +62,7 @@ def shuffle_buckets(scattered: DataFrame, seed: int) -> DataFrame:
 
 
 def shard_records(
-    records: DataFrame, key: str, size: Column, shards: int = 8, seed: int = 17, bucket_bytes: int = 16 << 20
+    records: DataFrame, key: str, size: Column, shards: int = 8, seed: int = 17, bucket_bytes: int = 4 << 20
 ) -> DataFrame:
     """All records with ``shard``, ``grown_shard``, ``bucket`` and a gapless ``slot`` per shard."""
     records = records.drop(*ADDED)
@@ -72,6 +74,8 @@ def shard_records(
         written.groupBy("shard", "bucket").count()
         .select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     )
+    if shards * buckets <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     return (
         written.join(starts, ["shard", "bucket"])
         .withColumn("slot", F.col("start") + F.col("place"))
