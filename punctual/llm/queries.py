@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import quality, secrets, sharding
+from punctual.llm import html, langid, quality, secrets, sharding
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract_pages(pages).drop("html")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.train(docs.where(fold != 2))
+    docs = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
+    return langid.predict(docs, model).drop("text")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)
@@ -52,6 +65,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_html_extraction": op3_html_extraction,
+        "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
         "op8_quality_rules": op8_quality_rules,
         "op10_secret_scans": op10_secret_scans,
