@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 
 LENGTH = 4096
 END = 2
-STRIDE = 64
+STRIDE = 8
 BLOCK = 1 << 20
 #: In tokens of padding: what a cut inside a document costs, after a sentence and elsewhere.
-SENTENCE_PENALTY, TOKEN_PENALTY = 8.0, 64.0
+SENTENCE_PENALTY, TOKEN_PENALTY = 2.0, 6.0
 CACHE = 400_000
 SENTENCE_ENDS = ".!?。！？…"
 
