@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from punctual.llm.common import stored
+
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 LEDGER = f"blob string, rule string, spans {SPANS}"
 
@@ -121,7 +123,8 @@ def scan_unseen(versions: DataFrame, text: str, ledger: DataFrame | None, rules:
 def path_findings(versions: DataFrame, text: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``versions`` (its text replaced by its ``blob``) with all ``spans`` of its blob, by place and kind."""
     current = ledger.where(F.col("rule").isin([r.id for r in rules]) & (F.size("spans") > 0))
-    by_blob = current.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Stored apart, so that the join has nothing but two shuffles below it and Spark can split a blob with many paths.
+    by_blob = stored(current.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
     paths = versions.withColumn("blob", blob_id(F.col(f"`{text}`"))).drop(text, "spans")
     return paths.join(by_blob, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
