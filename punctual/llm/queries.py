@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import html, langid, packing, quality, secrets, sharding
+from punctual.llm import decontamination, html, langid, packing, quality, secrets, sharding
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    question, answer = decontamination.last_sentence(F.col("text"))
+    return decontamination.find_leaks(docs, "doc_id", "text", items, "item_id", question, answer)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
@@ -73,6 +79,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
         "op3_html_extraction": op3_html_extraction,
         "op4_language_id": op4_language_id,
