@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, html, langid, packing, quality, secrets, sharding
+from punctual.llm import decontamination, html, langid, near_dedup, packing, quality, secrets, sharding
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "lang")
 
 
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.scan_unseen(docs, "text", None)
@@ -85,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
         "op8_quality_rules": op8_quality_rules,
+        "op9_minhash_forest": op9_minhash_forest,
         "op10_secret_scans": op10_secret_scans,
     }
 
