@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, html, langid, near_dedup, packing, quality, secrets, sharding
+from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, packing, quality, secrets, sharding
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_removed_lines", "removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.drop("text", "lang")
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op3_html_extraction": op3_html_extraction,
         "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
+        "op6_line_dedup": op6_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_minhash_forest": op9_minhash_forest,
         "op10_secret_scans": op10_secret_scans,
