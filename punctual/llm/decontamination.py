@@ -26,9 +26,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from punctual.llm.common import stored
 
 UNIT = 64
-BLOCK = 16
+BLOCK = 4
 THRESHOLD = 0.5
 SHARD_UNITS = 2048
 K1, B = 1.2, 0.75
@@ -58,15 +61,25 @@ def grams(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[k : k + n]) for k in range(len(tokens) - n + 1)} if n else set()
 
 
+class Terms(dict):
+    """Numbers of the indexed terms; -1 for all others."""
+
+    def __missing__(self, term: str) -> int:
+        return -1
+
+
+_next_unit = itemgetter(0)
+
+
 @dataclass
 class Index:
     """One shard: units by number, and the posting list of each term."""
 
     items: list[tuple[int | None, set, set, int]]  # id, n-grams of question and answer, words of the item
     unit_item: list[int]
-    terms: dict[str, int]
-    units: list[np.ndarray]  # of each term: ascending units
-    weights: list[np.ndarray]
+    terms: "Terms"
+    units: list[list[int]]  # of each term: ascending units
+    weights: list[list[float]]
     bounds: np.ndarray  # term x block: largest weight
 
 
@@ -82,7 +95,7 @@ def build_index(rows: list[tuple[int | None, str | None, str | None]], document_
         for at in range(0, len(both), UNIT):
             units.append(both[at : at + UNIT])
             unit_item.append(len(items) - 1)
-    terms: dict[str, int] = {}
+    terms = Terms()
     postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for number, unit in enumerate(units):
         scored = {}
@@ -97,65 +110,63 @@ def build_index(rows: list[tuple[int | None, str | None, str | None]], document_
     lists, weights = [], []
     for term in range(len(terms)):
         numbers, values = zip(*postings[term])
-        lists.append(np.array(numbers, np.int32))
-        weights.append(np.array(values, np.float64))
-        np.maximum.at(bounds[term], lists[-1] // BLOCK, weights[-1])
+        lists.append(list(numbers))
+        weights.append(list(values))
+        np.maximum.at(bounds[term], np.array(numbers) // BLOCK, values)
     return Index(items, unit_item, terms, lists, weights, bounds)
 
 
-def wand(index: Index, query: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """(unit, score) of all units in ``blocks`` that reach the threshold for the distinct terms of ``query``."""
+def wand(index: Index, query: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
+    """(unit, score) of all units of a block that reach the threshold for the distinct terms of ``query``."""
     hits = []
-    for block in blocks:
-        cursors = []  # [next unit, place in the list, end, units, weights, bound]
-        for term in query:
-            bound = index.bounds[term, block]
-            if bound > 0:
-                own = index.units[term]
-                start, end = np.searchsorted(own, [block * BLOCK, (block + 1) * BLOCK])
-                cursors.append([int(own[start]), int(start), int(end), own, index.weights[term], float(bound)])
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            total, pivot = 0.0, None
+    cursors = []  # [next unit, place in the list, end, units, weights, bound]
+    for term in query:
+        bound = index.bounds[term, block]
+        if bound > 0:
+            own = index.units[term]
+            start, end = bisect_left(own, block * BLOCK), bisect_left(own, (block + 1) * BLOCK)
+            cursors.append([own[start], start, end, own, index.weights[term], float(bound)])
+    while cursors:
+        cursors.sort(key=_next_unit)
+        total, pivot = 0.0, None
+        for cursor in cursors:
+            total += cursor[5]
+            if total >= threshold - 1e-6:
+                pivot = cursor[0]
+                break
+        if pivot is None:
+            break
+        if cursors[0][0] == pivot:
+            score = 0.0
             for cursor in cursors:
-                total += cursor[5]
-                if total >= threshold - 1e-6:
-                    pivot = cursor[0]
+                if cursor[0] != pivot:
                     break
-            if pivot is None:
-                break
-            if cursors[0][0] == pivot:
-                score = 0.0
-                for cursor in cursors:
-                    if cursor[0] != pivot:
-                        break
-                    score += cursor[4][cursor[1]]
-                    cursor[1] += 1
-                if score >= threshold:
-                    hits.append((pivot, float(score)))
-            else:
-                for cursor in cursors:
-                    if cursor[0] < pivot:
-                        cursor[1] += int(np.searchsorted(cursor[3][cursor[1] : cursor[2]], pivot))
-            cursors = [c for c in cursors if c[1] < c[2]]
+                score += cursor[4][cursor[1]]
+                cursor[1] += 1
+            if score >= threshold:
+                hits.append((pivot, score))
+        else:
             for cursor in cursors:
-                cursor[0] = int(cursor[3][cursor[1]])
+                if cursor[0] >= pivot:
+                    break
+                cursor[1] = bisect_left(cursor[3], pivot, cursor[1], cursor[2])
+        cursors = [c for c in cursors if c[1] < c[2]]
+        for cursor in cursors:
+            cursor[0] = cursor[3][cursor[1]]
     return hits
 
 
 def search(index: Index, texts: list[list[str]], threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, float, float, int]]:
     """(number of the text, item, score, overlaps, first word of the passage): for each text and item the best verified passage."""
-    get = index.terms.get
-    found = [np.fromiter((get(w, -1) for w in t), np.int32, len(t)) for t in texts]
-    text_at = np.concatenate([[0], np.cumsum([len(f) // UNIT + 1 for f in found])])  # passages of each text
-    keys = []
-    for k, own in enumerate(found):
-        at = np.flatnonzero(own >= 0)
-        passage = text_at[k] + at // UNIT
-        keys.append(passage * len(index.bounds) + own[at])
-        later = passage[at >= UNIT] - 1
-        keys.append(later * len(index.bounds) + own[at[at >= UNIT]])
-    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.fromiter(map(index.terms.__getitem__, chain.from_iterable(texts)), np.int32, int(lengths.sum()))
+    text_at = np.concatenate([[0], np.cumsum(lengths // UNIT + 1)])  # passages before each text
+    known = np.flatnonzero(flat >= 0)
+    number = np.repeat(np.arange(len(texts)), lengths)[known]
+    part = (known - np.repeat(np.cumsum(lengths) - lengths, lengths)[known]) // UNIT
+    key = (text_at[number] + part) * len(index.bounds) + flat[known]
+    # A word stands in the passage that starts with its part, and in the one before.
+    pairs = np.unique(np.concatenate([key, key[part > 0] - len(index.bounds)]))
     if not len(pairs):
         return
     passages, terms = pairs // len(index.bounds), (pairs % len(index.bounds)).astype(np.int32)
@@ -166,10 +177,11 @@ def search(index: Index, texts: list[list[str]], threshold: float = THRESHOLD) -
         own_starts = starts[lo : lo + 2048]
         first, last = own_starts[0], ends[min(lo + 2048, len(starts)) - 1]
         sums = np.add.reduceat(index.bounds[terms[first:last]], own_starts - first, axis=0)
-        for row in np.flatnonzero((sums >= threshold - 1e-4).any(axis=1)):
+        near = sums >= threshold - 1e-4
+        for row, block in zip(*np.nonzero(near)):
             k = lo + row
             passage = passages[starts[k]]
-            for unit, score in wand(index, terms[starts[k] : ends[k]], np.flatnonzero(sums[row] >= threshold - 1e-4), threshold):
+            for unit, score in wand(index, terms[starts[k] : ends[k]].tolist(), int(block), threshold):
                 item = index.unit_item[unit]
                 number = int(np.searchsorted(text_at, passage, "right") - 1)
                 start = int(passage - text_at[number]) * UNIT
