@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, packing, quality, secrets, sharding
+from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, packing, quality, secrets, sharding, substring_dedup
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_removed_lines", "removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.drop("text", "lang")
@@ -97,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
         "op6_line_dedup": op6_line_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_minhash_forest": op9_minhash_forest,
         "op10_secret_scans": op10_secret_scans,
