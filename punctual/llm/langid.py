@@ -104,4 +104,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         return pd.DataFrame([classify(t, languages, matrix) for t in texts], columns=["lang_pred", "score"])
 
     docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("_scored", scored(F.col(f"`{text}`"))).select(*[f"`{c}`" for c in docs.columns], "_scored.*")
+    return docs.withColumn("__langid", scored(F.col(f"`{text}`"))).select(*[f"`{c}`" for c in docs.columns], "__langid.*")

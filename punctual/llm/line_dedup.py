@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from punctual.llm.common import BLANKS, stored
+from punctual.llm.common import BLANKS, let, stored
 
 LEAST_WORDS = 10
 ADDED = ["n_lines", "n_removed_lines", "removed_lines"]
@@ -123,26 +123,23 @@ def later_runs(lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without later copies of repeated runs, with ``n_lines``, ``n_removed_lines`` and the ``removed_lines`` (from 0)."""
-    docs = docs.drop(*ADDED)
+    columns = [c for c in docs.columns if c not in ADDED]
     runs = later_runs(stored(line_ids(docs, doc_id, text)), least)
     gone = (
         runs.select("doc", "hash", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("len") - 1)).alias("line")).distinct()
-        .groupBy("doc", "hash").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
-    )
-    whole = F.col(f"`{text}`")
-    keys = _identity(F.col(f"`{doc_id}`"), whole)
-    joined = docs.withColumns({f"_{k}": v for k, v in keys.items()}).join(
-        gone.withColumnsRenamed({"doc": "_doc", "hash": "_hash"}), ["_doc", "_hash"], "left"
+        .groupBy("doc", "hash").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     )
+    keys = _identity(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    held = docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), *[value.alias(name) for name, value in keys.items()])
+    joined = held.join(gone, ["doc", "hash"], "left")
+    whole = F.col("row").getField(text)
     split = F.split(whole, "\n")
-    count = F.coalesce(F.size(split), F.lit(0))
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed_lines"))
-    kept = F.element_at(F.transform(F.array(split), lambda ls: F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")), 1)
-    out = joined.withColumns(
-        {
-            "n_lines": F.when(whole.isNull(), F.lit(0)).otherwise(count).cast("long"),
-            "n_removed_lines": F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long"),
-            "removed_lines": F.coalesce("removed_lines", F.array().cast("array<int>")),
-        }
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    kept = let(split, lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    new_text = F.when(F.size("gone") > 0, kept).otherwise(whole)
+    return joined.select(
+        *[(new_text if c == text else F.col("row").getField(c)).alias(c) for c in columns],
+        F.when(whole.isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"),
     )
-    return out.withColumn(text, F.when(F.size("removed_lines") > 0, kept).otherwise(whole)).select(*[f"`{c}`" for c in docs.columns], *ADDED)

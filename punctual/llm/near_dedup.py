@@ -221,3 +221,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_low")))
         .drop("component_low")
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id, then text hash. Rows equal in both are one."""
+    found = near_duplicates(docs, doc_id, text, width, percent)
+    key = lambda i, t: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("-")).cast("binary"), t))
+    alone = F.coalesce(F.col("group"), F.col("text_key"))
+    first = found.groupBy(alone.alias("g"), F.col("group").isNull().alias("empty"), F.when(F.col("group").isNull(), F.col("doc_id")).alias("i")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), "text_key")).alias("first")
+    )
+    stay = stored(first.select(key(F.col("first.doc_id"), F.col("first.text_key")).alias("key")))
+    held = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), key(F.col(f"`{doc_id}`"), text_key(F.col(f"`{text}`"))).alias("key"))
+    return held.join(stay, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")

@@ -156,10 +156,14 @@ def word_distance(words: Column, ref_words: Column, ref_shares: Column) -> Colum
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with the counts, both distances, ``base_failed`` and ``kept``."""
-    docs = docs.drop(*ADDED)
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    refs = references(docs, text, lang)
-    joined = docs.withColumn("ref_lang", F.coalesce(F.col(f"`{lang}`"), F.lit(""))).join(refs, "ref_lang", "left")
+    columns = [c for c in docs.columns if c not in ADDED]
+    held = docs.select(
+        F.struct(*[f"`{c}`" for c in columns]).alias("row"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("whole"),
+        F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("ref_lang"),
+    )
+    joined = held.join(references(docs, text, lang), "ref_lang", "left")
+    whole = F.col("whole")
     measured = let(
         words_of(whole),
         lambda ws: F.struct(
@@ -176,21 +180,18 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
             F.when((F.length(whole) >= LEAST_CHARS) & F.col("ref_chars").isNotNull(), char_distance(x["chars"], F.col("ref_chars"))).alias("char_distance"),
         ),
     )
-    counted = joined.withColumns({"_w": measured, "_c": lettered, "n_dup_lines": duplicate_lines(whole).cast("long")})
+    counted = joined.select("row", measured.alias("w"), lettered.alias("c"), duplicate_lines(whole).cast("long").alias("n_dup_lines"))
+    named = counted.select(
+        "row",
+        F.col("w.n_words").cast("long").alias("n_words"),
+        F.col("c.word_chars").cast("long").alias("word_chars"),
+        F.col("c.n_symbols").cast("long").alias("n_symbols"),
+        "n_dup_lines",
+        F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"),
+        F.col("c.char_distance").alias("char_distance"),
+        F.col("w.word_distance").alias("word_distance"),
+    )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_DISTANCE)
-    return (
-        counted.withColumns(
-            {
-                "n_words": F.col("_w.n_words").cast("long"),
-                "n_repeat_words": F.col("_w.n_repeat_words").cast("long"),
-                "word_distance": F.col("_w.word_distance"),
-                "word_chars": F.col("_c.word_chars").cast("long"),
-                "n_symbols": F.col("_c.n_symbols").cast("long"),
-                "char_distance": F.col("_c.char_distance"),
-            }
-        )
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & near)
-        .select(*[f"`{c}`" for c in docs.columns], *ADDED)
-    )
+    verdict = named.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near)
+    return verdict.select("row.*", *ADDED)

@@ -33,34 +33,37 @@ def highest_weight(key: Column, shards: int, seed: int) -> Column:
 
 
 def scatter(records: DataFrame, key: str, shards: int, buckets: int, seed: int) -> DataFrame:
-    """Pass 1: shard, shard after growth by one, and bucket of every record."""
-    content = [F.col(f"`{c}`") for c in records.columns]
-    return records.withColumns(
-        {
-            "shard": highest_weight(F.col(f"`{key}`"), shards, seed),
-            "grown_shard": highest_weight(F.col(f"`{key}`"), shards + 1, seed),
-            "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), *content), F.lit(buckets)).cast("int"),
-        }
+    """Pass 1: shard, shard after growth by one, and bucket of every ``record``."""
+    own, content = F.col(f"`{key}`"), [F.col(f"`{c}`") for c in records.columns]
+    return records.select(
+        F.struct(*content).alias("record"),
+        highest_weight(own, shards, seed).alias("shard"),
+        highest_weight(own, shards + 1, seed).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), *content), F.lit(buckets)).cast("int").alias("bucket"),
     )
 
 
 def shuffle_buckets(scattered: DataFrame, seed: int) -> DataFrame:
-    """Pass 2: the records of each bucket in random order, with their place in it.
+    """Pass 2: the records of each bucket in random order, with their ``place`` in it.
 
     Lists are sorted before they are shuffled and buckets are taken in order, so a task that runs again
     draws the same permutations.
     """
-    record = [c for c in scattered.columns if c not in ("shard", "bucket")]
+    sortable = F.struct(F.xxhash64("record").alias("h"), F.struct("record", "grown_shard").alias("r"))
     return (
         scattered.repartition("shard", "bucket")
-        .groupBy("shard", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(*[f"`{c}`" for c in record]).alias("h"), F.struct(*[f"`{c}`" for c in record]).alias("r")))).alias("records"))
+        .groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(sortable), _by_hash).alias("records"))
         .sortWithinPartitions("shard", "bucket")
-        .select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed + 2))).alias("place", "record"))
-        .select("shard", "bucket", "place", "record.r.*")
+        .select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed + 2))).alias("place", "sorted"))
+        .select("shard", "bucket", "place", "sorted.r.*")
     )
 
 
+def _by_hash(a: Column, b: Column) -> Column:
+    """Records of one hash are equal, whatever their types."""
+    return F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)
+
+
 def shard_records(
     records: DataFrame, key: str, size: Column, shards: int = 8, seed: int = 17, bucket_bytes: int = 4 << 20
 ) -> DataFrame:
@@ -76,10 +79,8 @@ def shard_records(
     )
     if shards * buckets <= BROADCAST_BUCKETS:
         starts = F.broadcast(starts)
-    return (
-        written.join(starts, ["shard", "bucket"])
-        .withColumn("slot", F.col("start") + F.col("place"))
-        .drop("start", "place")
+    return written.join(starts, ["shard", "bucket"]).select(
+        "record.*", "shard", "grown_shard", "bucket", (F.col("start") + F.col("place")).alias("slot")
     )
 
 

@@ -213,11 +213,11 @@ def _cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without their text column, with ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes."""
-    docs = docs.drop(*ADDED)
+    columns = [c for c in docs.columns if c != text and c not in ADDED]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumn("_key", _md5(whole.cast("binary")))
+    keyed = docs.select(F.struct(F.lit(0), *[f"`{c}`" for c in columns]).alias("row"), whole.alias("text"), _md5(whole.cast("binary")).alias("text_key"))
     texts = stored(
-        keyed.where(F.octet_length(whole) >= LENGTH).select(F.col("_key").alias("text_key"), whole.alias("text"))
+        keyed.where(F.octet_length("text") >= LENGTH)
         .groupBy("text_key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
     ranges = repeated_windows(texts.select("text_key", "text"))
@@ -227,12 +227,11 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = stored(
         texts.join(by_text, "text_key").select("text_key", "text", "ranges")
         .mapInPandas(_cut_rows, "text_key binary, n_removed long, n_spans long, kept binary")
-        .withColumnsRenamed({"text_key": "_key", "kept": "_kept"})
     )
-    return keyed.join(cut, "_key", "left").select(
-        *[f"`{c}`" for c in docs.columns if c != text],
-        F.octet_length(whole).cast("long").alias("n_bytes"),
+    return keyed.join(cut, "text_key", "left").select(
+        *[F.col("row").getField(c).alias(c) for c in columns],
+        F.octet_length("text").cast("long").alias("n_bytes"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("_kept", whole.cast("binary")).alias("kept"),
+        F.coalesce("kept", F.col("text").cast("binary")).alias("kept"),
     )
