@@ -23,8 +23,11 @@ same rows.
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,18 +36,59 @@ from pyspark.sql import DataFrame, functions as F
 
 LENGTH = 4096
 END = 2
-STRIDE = 8
+STRIDE = 24
 BLOCK = 1 << 20
 #: In tokens of padding: what a cut inside a document costs, after a sentence and elsewhere.
 SENTENCE_PENALTY, TOKEN_PENALTY = 2.0, 6.0
-CACHE = 400_000
+CACHE = 700_000
+#: A mark of these behind letters is a token of its own.
+MARKS = ",.;:!?"
 SENTENCE_ENDS = ".!?。！？…"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class _Numbers(dict):
+    """Numbers of pieces by first appearance; ``fresh`` collects those not met before."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
+
+
+_NOTHING = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+
+class _Ids:
+    """The ids of numbered strings, one after another."""
+
+    def __init__(self) -> None:
+        self.starts = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these strings in a row, and where each string's end."""
+        first = self.starts[numbers]
+        lengths = self.starts[numbers + 1] - first
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(first - (ends - lengths), lengths) + np.arange(total)], ends
+
+
 class PieceEncoder:
-    """Ids of texts by a tokenizer that treats parts between blanks apart; distinct parts are encoded once."""
+    """Ids of texts by a tokenizer that treats parts between blanks apart; distinct parts are encoded once.
+
+    A piece of letters with one mark behind it, as most are, is taken as two units, its letters in lower case
+    where that is plain ASCII; units of letters are encoded many at once, as each ends with an end-of-word id.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,46 +98,84 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.sentence_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
-            if token.removesuffix("</w>")[-1:] in tuple(SENTENCE_ENDS) and len(token.removesuffix("</w>")) == 1:
+            self.word_ends[number] = token.endswith("</w>")
+            if len(token.removesuffix("</w>")) == 1 and token[0] in SENTENCE_ENDS:
                 self.sentence_ends[number] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.pieces, self.units = _Numbers(), _Numbers()
+        self.piece_ids, self.unit_ids = _Ids(), _Ids()
 
-    def _learn(self, pieces: list[str]) -> None:
-        fresh = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if not fresh:
-            return
-        if len(self.known) + len(fresh) > CACHE:
-            self._clear()
-            fresh = list(dict.fromkeys(pieces))
-        encoded = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        for k, piece in enumerate(fresh, len(self.known)):
-            self.known[piece] = k
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))])
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters, joined by blanks."""
+        encoded = self.tokenizer.encode_batch([" ".join(words[at : at + 32]) for at in range(0, len(words), 32)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
+        lengths = np.diff(np.flatnonzero(self.word_ends[ids]), prepend=-1)
+        # A letter whose lower case is more than a letter makes two words of one.
+        return (ids, lengths) if len(lengths) == len(words) else self._one_by_one(words)
+
+    def _learn(self) -> None:
+        """Ids of the fresh pieces from those of their units."""
+        unit_of = self.units.__getitem__
+        parts, counts = [], []
+        for piece in self.pieces.fresh:
+            stem, mark = (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in MARKS else (piece, "")
+            if not stem.isalpha():
+                stem, mark = piece, ""
+            parts.append(unit_of(stem.lower() if stem.isascii() and stem.isalpha() else stem))
+            if mark:
+                parts.append(unit_of(mark))
+            counts.append(2 if mark else 1)
+        fresh = self.units.fresh
+        words = [u for u in fresh if u.isalpha()]
+        others = [u for u in fresh if not u.isalpha()]
+        if fresh:
+            (word_flat, word_lengths), (other_flat, other_lengths) = self._together(words) if words else _NOTHING, self._one_by_one(others) if others else _NOTHING
+            # Back to the order of the numbers.
+            joined = _Ids()
+            joined.add(np.concatenate([word_flat, other_flat]), np.concatenate([word_lengths, other_lengths]))
+            at_word, at_other, order = 0, len(words), []
+            for unit in fresh:
+                if unit.isalpha():
+                    order.append(at_word)
+                    at_word += 1
+                else:
+                    order.append(at_other)
+                    at_other += 1
+            flat, ends = joined.of(np.array(order))
+            self.unit_ids.add(flat, np.diff(ends, prepend=0))
+            fresh.clear()
+        flat, ends = self.unit_ids.of(np.array(parts))
+        last_parts = np.cumsum(counts) - 1
+        self.piece_ids.add(flat, np.diff(ends[last_parts], prepend=0))
+        self.pieces.fresh.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end token included."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self._learn([p for pieces in split for p in pieces])
-        out = []
-        for pieces in split:
-            number = np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
-            first, last = self.starts[number], self.starts[number + 1]
-            lengths = last - first
-            ends = np.cumsum(lengths)
-            total = int(ends[-1])
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(first - (ends - lengths), lengths) + np.arange(total)]
-            ids[total] = END
-            out.append(ids)
-        return out
+        if len(self.pieces) > CACHE:
+            self._clear()
+        number_of = self.pieces.__getitem__
+        numbers = []
+        for text in texts:
+            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            numbers.append(np.fromiter(map(number_of, pieces), np.int64, len(pieces)))
+        if self.pieces.fresh:
+            self._learn()
+        return [np.append(self.piece_ids.of(number)[0], np.uint32(END)) for number in numbers]
+
+
+@cache
+def _encoder(path: str) -> PieceEncoder:
+    """One for each Python worker, so that its later tasks find known pieces."""
+    return PieceEncoder(path)
 
 
 def cut_places(ids: list[np.ndarray], sentence_ends: np.ndarray, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +220,7 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
         queue.append(j)
     # What follows the last cut is packed later: its padding counts as that of an average window would, as none.
     last = len(pos) - 1
-    first = max(1, next(k for k in range(last, -1, -1) if pos[k] < pos[last] - length or k == 0))
+    first = max(1, bisect_left(pos, pos[last] - length))
     j = min(range(first, last + 1), key=lambda k: (cost[k], -pos[k]))
     ends = []
     while j:
@@ -201,7 +283,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str) -> DataFr
     """The pieces: which ids of which document stand where in which sequence. ``ids`` are little-endian 32-bit."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = _Stream(PieceEncoder(tokenizer_path), TaskContext.get().partitionId())
+        stream = _Stream(_encoder(tokenizer_path), TaskContext.get().partitionId())
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
