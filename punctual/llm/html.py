@@ -48,8 +48,11 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SILENT_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in SILENT}
 
-#: Classes and the weights they have before anything is learned.
-DEFAULT = {"word": 1.0, "link": -0.5, "furniture": -2.0, "block": -0.5, "inline": -0.3, "edge": -5.0}
+#: Classes and the weights they have before anything is learned: words in text, in links and in furniture; tags of
+#: blocks, of other elements, of furniture (edge) and of the article (main). Learned weights are in units of a
+#: plain word's and stay between these and ``LOWEST``, so a notice inside an article does not end it.
+DEFAULT = {"word": 1.0, "link": -0.2, "furniture": -0.5, "block": -0.3, "inline": -0.2, "edge": -1.0, "main": -20.0}
+LOWEST = {"link": -1.0, "furniture": -1.0, "block": -1.0, "inline": -0.5, "edge": -2.0, "main": -40.0}
 
 
 def _is_furniture(name: str, attrs: str) -> bool:
@@ -100,7 +103,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
             open_tags.append((name, marked))
             furniture += marked
             links += name == "a"
-        kind = "edge" if marked else "block" if name in BLOCKS else "inline"
+        kind = "main" if name in MAIN else "edge" if marked else "block" if name in BLOCKS else "inline"
         yield kind, ("/" if found["close"] else "") + name, name in BLOCKS
 
 
@@ -130,7 +133,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     for kind, value, boundary in sequence[first:last]:
         if kind in ("word", "link"):
             parts.append(value)
-        elif boundary or kind in ("furniture", "edge"):
+        elif boundary or kind in ("furniture", "edge", "main"):
             close()
     close()
     return "\n".join(blocks)
@@ -142,8 +145,8 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for html in batch["html"]:
             sequence = list(tokens(html))
-            starts = [k for k, t in enumerate(sequence) if t[1] in MAIN and t[0] in ("block", "edge")]
-            ends = [k for k, t in enumerate(sequence) if t[1] in ("/article", "/main") and t[0] in ("block", "edge")]
+            starts = [k for k, t in enumerate(sequence) if t[0] == "main" and t[1] in MAIN]
+            ends = [k for k, t in enumerate(sequence) if t[0] == "main" and t[1] not in MAIN]
             if len(starts) != 1 or len(ends) != 1 or ends[0] < starts[0]:
                 continue
             for k, (kind, value, _) in enumerate(sequence):
@@ -162,11 +165,9 @@ def learn_weights(pages: DataFrame, html: str = "html") -> dict[str, float]:
     found = {row["kind"]: (row["inside"], row["outside"]) for row in sums.collect()}  # one row per class
     if not any(i for i, _ in found.values()):
         return dict(DEFAULT)
-    weights = {}
-    for kind, weight in DEFAULT.items():
-        odds = log((found[kind][0] + 1) / (found[kind][1] + 1))
-        weights[kind] = max(odds, 0.1) if weight > 0 else min(odds, weight)
-    return weights
+    odds = {kind: log((inside + 1) / (outside + 1)) for kind, (inside, outside) in found.items()}
+    plain = max(odds["word"], 0.1)
+    return {"word": 1.0} | {kind: min(max(odds[kind] / plain, low), DEFAULT[kind]) for kind, low in LOWEST.items()}
 
 
 def extract_pages(pages: DataFrame, html: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
