@@ -40,7 +40,8 @@ def test_wand_gives_what_full_scoring_gives():
             got = {}
             for block in range(index.bounds.shape[1]):
                 got |= dict(decontamination.wand(index, query, block, threshold))
-            assert got == pytest.approx(want)
+            edge = {u for u, s in (want | got).items() if abs(s - threshold) < 1e-9}  # there the order of addition decides
+            assert {u: s for u, s in got.items() if u not in edge} == pytest.approx({u: s for u, s in want.items() if u not in edge})
 
 
 @pytest.fixture
