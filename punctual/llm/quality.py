@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from punctual.llm.common import let, words_of
+from punctual.llm.common import let, stored, words_of
 
 ADDED = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -30,6 +30,8 @@ CHAR_DISTANCE, WORD_DISTANCE = 0.28, 0.45
 LEAST_WORDS, LEAST_CHARS, LEAST_REFERENCE = 50, 200, 5000
 #: Common words: the first ``COMMON`` among those of at most ``SHORT`` code points.
 COMMON, SHORT = 40, 5
+#: References of up to so many languages (about 2 KB each) are broadcast; those of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 1000
 #: Character classes, taken off the text one after another; what is left is the last class.
 CLASSES = ["[a-z]+", "[A-Z]+", r"[\x20\x09-\x0D]+", r"[.,;:!?'()-]+", r"\p{L}+", r"\p{N}+"]
 
@@ -84,14 +86,15 @@ def duplicate_lines(text: Column) -> Column:
 
 
 def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """One row per language: common ``ref_words``, their shares ``ref_shares`` (first: all other words), ``ref_chars``."""
+    """One row per language: common ``ref_words`` joined by commas, their shares ``ref_shares`` (first: all other words), ``ref_chars``."""
     base = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("ref_lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     short = base.select("ref_lang", F.explode(words_of(F.lower("t"))).alias("w")).select(
         "ref_lang", F.when(F.length("w") <= SHORT, F.col("w")).alias("w")
     )
-    counts = short.groupBy("ref_lang", "w").count()
+    counts = stored(short.groupBy("ref_lang", "w").count())
     place = Window.partitionBy("ref_lang").orderBy(F.desc("count"), "w")
-    common = counts.where(F.col("w").isNotNull()).withColumn("place", F.row_number().over(place)).where(F.col("place") <= COMMON)
+    # Common words are looked up in a list joined by commas, so none has one.
+    common = counts.where(F.col("w").isNotNull() & ~F.col("w").contains(",")).withColumn("place", F.row_number().over(place)).where(F.col("place") <= COMMON)
     totals = counts.groupBy("ref_lang").agg(F.sum("count").alias("ref_total"))
     tops = (
         common.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("place", "w", "count"))).alias("top"), F.sum("count").alias("listed"))
@@ -105,7 +108,7 @@ def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
         .where(F.col("ref_total") >= LEAST_REFERENCE)
         .select(
             "ref_lang",
-            F.col("top.w").alias("ref_words"),
+            F.array_join("top.w", ",").alias("ref_words"),
             F.concat(
                 F.array((F.col("ref_total") - F.col("listed")) / F.col("ref_total")),
                 F.transform("top", lambda t: t["count"] / F.col("ref_total")),
@@ -150,7 +153,7 @@ def word_distance(words: Column, ref_words: Column, ref_shares: Column) -> Colum
         absent = F.lit(1.0) - _total(F.transform(bins, lambda b: F.get(ref_shares, b["v"])))
         return _root(absent / 2 + _total(F.transform(bins, lambda b: _term(b["p"], F.get(ref_shares, b["v"])))))
 
-    places = F.sort_array(F.transform(words, lambda w: F.when(F.length(w) <= SHORT, F.array_position(ref_words, F.lower(w))).otherwise(F.lit(0))))
+    places = F.sort_array(F.transform(words, lambda w: F.when(F.length(w) <= SHORT, F.find_in_set(F.lower(w), ref_words)).otherwise(F.lit(0))))
     return let(let(places, runs), distance)
 
 
@@ -162,7 +165,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("whole"),
         F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("ref_lang"),
     )
-    joined = held.join(references(docs, text, lang), "ref_lang", "left")
+    refs = stored(references(docs, text, lang))
+    if refs.count() <= BROADCAST_LANGUAGES:
+        refs = F.broadcast(refs)
+    joined = held.join(refs, "ref_lang", "left")
     whole = F.col("whole")
     measured = let(
         words_of(whole),
