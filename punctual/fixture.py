@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from punctual.sources.positions import with_position
 
 # Minute of the day as the text 1HHMM, cut into HH:MM below.
 _DIGITS = "cast({0} + div({0}, 60) * 40 + 10000 AS string)"
@@ -46,10 +47,10 @@ def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     Minutes, digits and texts are made one after the other, so that no generated method grows too
     large to be compiled.
     """
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+    line = with_position(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).selectExpr(
         "cast(l_orderkey AS bigint) ok", "cast(l_partkey AS bigint) pk", "cast(l_suppkey AS bigint) sk",
         "cast(l_quantity AS int) q", "l_linenumber ln", "cast(l_shipdate AS date) d",
-        "monotonically_increasing_id() row_ord",
+        "row_ord",
     )
     line = line.selectExpr("*", "360 + pk % 8 * 75 AS base").selectExpr(
         "*",
@@ -64,12 +65,14 @@ def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_order_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same orders as a raw file has them: other headers, blanks and several date and time forms."""
-    o = otif_orders(spark, sf_dir).drop("row_ord")
+    o = otif_orders(spark, sf_dir)
     day = F.to_date("date_dos")
     form = F.col("rfx_activity")
     return o.select(
         F.when(form == "3", F.date_format(day, "MM/dd/yyyy"))
         .when(form == "4", F.concat("date_dos", F.lit(" 00:00:00")))
+        .when((form == "5") & (F.col("rfx_year") < "5"), F.date_format(day, "d MMM yyyy"))
+        .when((form == "5") & (F.col("rfx_year") < "9"), F.date_format(day, "MM.dd.yyyy"))
         .when(form == "5", F.date_format(day, "yyyy/MM/dd"))
         .otherwise(F.col("date_dos")).alias(" date_dos "),
         F.concat("cnr_tour", F.lit(".0")).alias("cnr_tour"),
@@ -81,11 +84,12 @@ def raw_order_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("win_from", F.lit(":00")).alias("Win FROM"),
         F.regexp_replace("win_until", "^0", "").alias("Win UNTIL"),
         F.concat(F.lit("1900-01-01 "), "planned", F.lit(":00")).alias("Planned"),
-        F.col("p_depart").alias("P_Depart"),
+        F.when(form == "3", F.concat(F.lit("01/02/2024 "), "p_depart")).otherwise(F.concat(F.substring("p_depart", 2, 4), F.lit(" AM"))).alias("P_Depart"),
         F.col("duration_p").alias("DurationP"),
         F.col("actual").alias("Actual"),
         F.concat(F.lit(" "), "a_depart").alias("A_Depart"),
         F.col("duration_a").alias("duration_A"),
+        "row_ord",
     )
 
 

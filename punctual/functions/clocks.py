@@ -14,6 +14,11 @@ _DAY_AND_CLOCK = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"
 _ISO_DAY_CLOCK = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?$"
 _YMD = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})([ T].*)?$"
 _XY_YEAR = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})([ T].*)?$"
+_XYZ_DOTS = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})([ T].*)?$"
+_D_MON_Y = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})([ T].*)?$"
+_MON_D_Y = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})([ T].*)?$"
+# A clock at the end of a text, alone or behind a day of any form, with or without AM or PM.
+_CLOCK_END = r"^(?:[0-9A-Za-z.,/ -]*\d[ T])?(\d{1,2}):(\d{2})(?::(\d{1,2})(?:\.\d+)?)? ?(?:([AaPp])\.?[Mm]\.?)?$"
 _INSTANT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
 _ZONED = r":\d{1,2}(\.\d+)? ?(Z|[+-]\d{2}:?\d{2})$"
 
@@ -44,10 +49,13 @@ def minutes(start: str, end: str) -> Column:
 
 
 def _time_sql(text: str) -> str:
-    """Time of day ``HH:mm`` of a clock or of an ISO day with clock."""
-    full = f"if({text} LIKE '%-%', {text}, concat('1970-01-01 ', {text}))"
-    time = f"try_cast(regexp_extract({full}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz)"
-    return f"substring(cast({time} AS string), 12, 5)"
+    """Time of day ``HH:mm`` of a clock, with or without AM or PM, or of a day with a clock behind it."""
+    part = lambda k: f"regexp_extract({text}, r'{_CLOCK_END}', {k})"
+    half, hour = f"lower({part(4)})", f"try_cast({part(1)} AS int)"
+    hour24 = f"CASE {half} WHEN '' THEN {hour} ELSE if({hour} BETWEEN 1 AND 12, {hour} % 12 + if({half} = 'p', 12, 0), NULL) END"
+    time = f"try_cast(concat('1970-01-01 ', {hour24}, ':', {part(2)}, ':', if({part(3)} = '', '0', {part(3)})) AS timestamp_ntz)"
+    iso = f"try_cast(regexp_extract({text}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz)"
+    return f"substring(cast(if({text} LIKE '____-%', {iso}, {time}) AS string), 12, 5)"
 
 
 def with_hhmm(df: DataFrame, *names: str) -> DataFrame:
@@ -70,23 +78,35 @@ def with_clock_text(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
 def _day(c: str, *formats: tuple[str, str]) -> Column:
     t = strip_sql(c)
     tries = [
         f"try_cast(CASE WHEN {t} RLIKE r'{form}' THEN regexp_replace({t}, r'{form}', '{iso}') END AS date)"
         for form, iso in formats
     ]
+    for form, month, day in ((_D_MON_Y, 2, 1), (_MON_D_Y, 1, 2)):
+        part = lambda k, form=form: f"regexp_extract({t}, r'{form}', {k})"
+        place = f"locate(initcap({part(month)}), '{_MONTHS}')"
+        number = f"if({t} RLIKE r'{form}' AND {place} % 3 = 1, cast(({place} + 2) DIV 3 AS string), NULL)"
+        tries.append(f"try_cast(concat({part(3)}, '-', {number}, '-', {part(day)}) AS date)")
     return F.expr(f"coalesce({', '.join(tries)})")
 
 
 def day_text(c: str) -> Column:
-    """Any accepted day as ``YYYY-MM-DD``; year-first or, as in US files, month-first."""
-    return _day(c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$1-$2"), (_XY_YEAR, "$3-$2-$1")).cast("string")
+    """Any accepted day as ``YYYY-MM-DD``: year first; with slashes or dashes month first, as in US files, else day
+    first; with dots the same; or with the English name of the month.
+    """
+    return _day(
+        c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$1-$2"), (_XY_YEAR, "$3-$2-$1"), (_XYZ_DOTS, "$3-$1-$2"), (_XYZ_DOTS, "$3-$2-$1")
+    ).cast("string")
 
 
 def report_day(c: str) -> Column:
     """Day of the window report as DATE: ISO is ISO, everything else is day-first."""
-    return _day(c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$2-$1"))
+    return _day(c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$2-$1"), (_XYZ_DOTS, "$3-$2-$1"))
 
 
 def utc_instant(df: DataFrame, name: str) -> Column:

@@ -1,47 +1,20 @@
 """Order of stops within a route.
 
-A route is one tour on one day. Its stops are already one row per shop, so a window per route is
-small, and that is how nearly all routes are handled. A tour may still be huge, for instance when a
-third of all rows lacks a tour number. Tours with more than ``limit`` order rows therefore take a
-second way with the same result: the stops are cut into slices that follow the sort order (clock
-value, then shop range), ranked inside their slice, and shifted by what the earlier slices hold. The
-slices of a route are few (clock values times shop ranges), whatever its number of stops.
-
-Which routes are heavy is found first, by a count over two columns of which the driver sees only
-whether any is above the limit. As a rule none is, and the plan is the plain one. Otherwise there are
-at most rows / ``limit`` of them, which bounds the broadcast.
+A route is one tour on one day, its stops are one row per shop (and activity): orders are combined into stops
+before anything is ordered. So a route has at most as many rows here as there are shops, however many orders it
+has, also the one that holds all orders without a tour number. One window per route is therefore the whole plan,
+the same for all routes and known without looking at the data; a window's rows spill to disk if they must.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from punctual.sources.schema import ROUTE
 
-ROUTE_LIMIT = 1_000_000
-SHOP_RANGES = 64
-
 _SHOP = "nm_short_unload"
 
 
-def by_route_size(
-    orders: DataFrame,
-    stops: DataFrame,
-    small: Callable[[DataFrame], DataFrame],
-    large: Callable[[DataFrame], DataFrame],
-    limit: int = ROUTE_LIMIT,
-) -> DataFrame:
-    """``small(stops)`` for ordinary routes and ``large(stops)`` for heavy ones, in one DataFrame."""
-    heavy = orders.groupBy(*ROUTE).count().where(F.col("count") > limit).select(*ROUTE)
-    if heavy.isEmpty():
-        return small(stops)
-    return small(stops.join(F.broadcast(heavy), ROUTE, "left_anti")).unionByName(
-        large(stops.join(F.broadcast(heavy), ROUTE, "left_semi"))
-    )
-
-
 def _order(ts: str, *ties: str) -> list[Column]:
     """By clock with missing ones last, then shop; a row without shop comes after all stops."""
     return [F.col(_SHOP).isNull(), F.col(ts).asc_nulls_last(), *[F.col(t) for t in (_SHOP, *ties)]]
@@ -52,67 +25,7 @@ def position(stops: DataFrame, ts: str, out: str) -> DataFrame:
     return stops.withColumn(out, F.row_number().over(Window.partitionBy(*ROUTE).orderBy(*_order(ts))))
 
 
-def position_sliced(stops: DataFrame, ts: str, out: str) -> DataFrame:
-    """Same as ``position`` for routes of any size."""
-    sliced, cell = _sliced(stops, ts)
-    earlier = Window.partitionBy(*ROUTE).orderBy(*_slice_order(ts)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sliced.groupBy(*cell).count().withColumn(
-        "_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))
-    )
-    ranked = sliced.withColumn(
-        "_in_cell", F.row_number().over(Window.partitionBy(*cell).orderBy(_SHOP))
-    )
-    placed = _join_cells(ranked, starts.drop("count"), cell)
-    return placed.withColumn(out, (F.col("_before") + F.col("_in_cell")).cast("int")).drop(
-        "_shop_range", "_in_cell", "_before"
-    )
-
-
 def previous(stops: DataFrame, ts: str, tie: str, values: dict[str, str]) -> DataFrame:
     """Adds values (new name -> column) of the stop before on the same route."""
     w = Window.partitionBy(*ROUTE).orderBy(*_order(ts, tie))
     return stops.withColumns({out: F.lag(c).over(w) for out, c in values.items()})
-
-
-def previous_sliced(stops: DataFrame, ts: str, tie: str, values: dict[str, str]) -> DataFrame:
-    """Same as ``previous`` for routes of any size."""
-    sliced, cell = _sliced(stops, ts)
-    row = F.struct(*[F.col(c).alias(out) for out, c in values.items()])
-    lasts = sliced.groupBy(*cell).agg(F.max_by(row, F.struct(_SHOP, tie)).alias("_last"))
-    lasts = lasts.withColumn(
-        "_cell_prev", F.lag("_last").over(Window.partitionBy(*ROUTE).orderBy(*_slice_order(ts)))
-    ).drop("_last")
-    inner = sliced.withColumn(
-        "_prev", F.lag(row).over(Window.partitionBy(*cell).orderBy(_SHOP, tie))
-    )
-    joined = _join_cells(inner, lasts, cell).withColumn("_prev", F.coalesce("_prev", "_cell_prev"))
-    return joined.withColumns({out: F.col(f"_prev.{out}") for out in values}).drop(
-        "_shop_range", "_prev", "_cell_prev"
-    )
-
-
-def _sliced(stops: DataFrame, ts: str) -> tuple[DataFrame, list[str]]:
-    """Adds the shop range and names the columns of a slice.
-
-    The cuts are the shops with the lowest hashes: the same for every run, and spread evenly.
-    """
-    shops = stops.select(_SHOP).where(F.col(_SHOP).isNotNull()).distinct()
-    cuts = shops.orderBy(F.xxhash64(_SHOP), _SHOP).limit(SHOP_RANGES - 1)
-    bounds = cuts.agg(F.sort_array(F.collect_list(_SHOP))).scalar()
-    shop_range = F.when(
-        F.col(_SHOP).isNotNull(), F.size(F.filter(F.col("_cuts"), lambda cut: cut <= F.col(_SHOP)))
-    )
-    sliced = stops.withColumn("_cuts", bounds).withColumn("_shop_range", shop_range).drop("_cuts")
-    return sliced, [*ROUTE, ts, "_shop_range"]
-
-
-def _slice_order(ts: str) -> list[Column]:
-    return [F.col("_shop_range").isNull(), F.col(ts).asc_nulls_last(), F.col("_shop_range")]
-
-
-def _join_cells(rows: DataFrame, cells: DataFrame, cell: list[str]) -> DataFrame:
-    cells = cells.withColumnsRenamed({c: f"_c_{c}" for c in cell})
-    same = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cell]
-    return rows.join(cells, same).drop(*[f"_c_{c}" for c in cell])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Report labels, channel names and codes in the SQL below are those the reports must show.
+
 _FIXTURE = """
 WITH b AS (
   SELECT CAST(l_orderkey AS BIGINT) AS ok, CAST(l_partkey AS BIGINT) AS pk,

@@ -49,9 +49,7 @@ def route_delay_clusters(rows: DataFrame) -> DataFrame:
 
     Rows without a delay count as stops but give no first or last delay.
     """
-    require(rows, ["cnr_tour", "planned_time", "actual_time"], "Vereiste kolommen")
-    if "row_ord" not in rows.columns:
-        rows = rows.withColumn("row_ord", F.monotonically_increasing_id())
+    require(rows, ["cnr_tour", "planned_time", "actual_time", "row_ord"], "Route delays cannot be computed without")
     delays = _with_instants(present(rows, "cnr_tour")).withColumn("delay", _delay_min())
     # Where there is a delay there is a planned time, so missing ones need no place in the order.
     order = F.when(F.col("delay").isNotNull(), F.struct("planned_time", "row_ord"))

@@ -67,19 +67,11 @@ def rca_stop_sequence(
     date_to: str | None = None,
     rfx_activity: str | None = None,
     has_duration_a: bool = True,
-    route_limit: int = route_order.ROUTE_LIMIT,
 ) -> DataFrame:
     """Stops with the departure and plan of the stop before, and the delay split into its parts."""
     orders = select_orders(orders, date_from, date_to, rfx_activity)
     values = {"prev_a_depart": "a_depart_ts", "prev_planned": "planned_ts"}
-    args = ("planned_ts", "rfx_activity", values)
-    stops = route_order.by_route_size(
-        _with_text_keys(orders),
-        _stops(orders, has_duration_a),
-        lambda s: route_order.previous(s, *args),
-        lambda s: route_order.previous_sliced(s, *args),
-        route_limit,
-    )
+    stops = route_order.previous(_stops(orders, has_duration_a), "planned_ts", "rfx_activity", values)
     return stops.withColumns(
         {
             "transit_actual_min": minutes("prev_a_depart", "actual_ts"),

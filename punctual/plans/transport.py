@@ -55,60 +55,38 @@ def _departure_delay(routes: DataFrame) -> DataFrame:
     )
 
 
-def _by_route(orders: DataFrame, route_limit: int, then) -> DataFrame:
-    """Stops with both positions, passed on to ``then``."""
-
-    def place(stops: DataFrame, position) -> DataFrame:
-        stops = position(position(stops, "planned_ts", "planned_pos"), "actual_ts", "actual_pos")
-        return then(stops.withColumn("seq_delta", F.col("actual_pos") - F.col("planned_pos")))
-
-    orders = present(orders, *ROUTE)
-    return route_order.by_route_size(
-        orders,
-        _stops(orders),
-        lambda stops: place(stops, route_order.position),
-        lambda stops: place(stops, route_order.position_sliced),
-        route_limit,
-    )
+def _placed(orders: DataFrame) -> DataFrame:
+    """Stops with their place in the planned and in the actual order of the route."""
+    stops = route_order.position(_stops(present(orders, *ROUTE)), "planned_ts", "planned_pos")
+    stops = route_order.position(stops, "actual_ts", "actual_pos")
+    return stops.withColumn("seq_delta", F.col("actual_pos") - F.col("planned_pos"))
 
 
-def transport_stops(
-    orders: DataFrame, route_limit: int = route_order.ROUTE_LIMIT, **filters
-) -> DataFrame:
+def transport_stops(orders: DataFrame, **filters) -> DataFrame:
     """Stops with time on site and their place in the planned and in the actual order.
 
     Time on site falls back per stop to departure minus arrival. A stop never reached comes last in
     the actual order.
     """
-    return _by_route(
-        select_orders(orders, **filters),
-        route_limit,
-        lambda stops: present(stops, "nm_short_unload").select(
-            *STOP, "rfx_activity", "planned_ts", "actual_ts", "a_depart_ts", "planned", "actual",
-            "a_depart", "planned_block_min", "actual_block_min", "arrival_delta_min",
-            "delta_block_min", "orders", "planned_pos", "actual_pos", "seq_delta",
-        ),
+    return present(_placed(select_orders(orders, **filters)), "nm_short_unload").select(
+        *STOP, "rfx_activity", "planned_ts", "actual_ts", "a_depart_ts", "planned", "actual",
+        "a_depart", "planned_block_min", "actual_block_min", "arrival_delta_min",
+        "delta_block_min", "orders", "planned_pos", "actual_pos", "seq_delta",
     )
 
 
-def transport_routes(
-    orders: DataFrame, route_limit: int = route_order.ROUTE_LIMIT, **filters
-) -> DataFrame:
+def transport_routes(orders: DataFrame, **filters) -> DataFrame:
     """Stop order, departure delay and total time on site per route, largest overrun first."""
     shop, shift = F.col("nm_short_unload").isNotNull(), F.abs("seq_delta")
-
-    def roll_up(stops: DataFrame) -> DataFrame:
-        return stops.groupBy(*ROUTE).agg(
-            F.min_by("activity_of_route", "row_ord").alias("rfx_activity"),
-            F.count_if(shop).alias("leverpunten"),
-            F.count_if(shop & (shift > 0)).alias("seq_mismatch_cnt"),
-            F.coalesce(F.max(F.when(shop, shift)), F.lit(0)).alias("max_abs_seq_delta"),
-            *[F.min_by(f"{c}_of_route", f"{c}_ord").alias(c) for c in _DEPARTS],
-            total(F.when(shop, F.col("planned_block_min"))).alias("planned_block_total_min"),
-            total(F.when(shop, F.col("actual_block_min"))).alias("actual_block_total_min"),
-        )
-
-    routes = _by_route(select_orders(orders, **filters), route_limit, roll_up)
+    routes = _placed(select_orders(orders, **filters)).groupBy(*ROUTE).agg(
+        F.min_by("activity_of_route", "row_ord").alias("rfx_activity"),
+        F.count_if(shop).alias("leverpunten"),
+        F.count_if(shop & (shift > 0)).alias("seq_mismatch_cnt"),
+        F.coalesce(F.max(F.when(shop, shift)), F.lit(0)).alias("max_abs_seq_delta"),
+        *[F.min_by(f"{c}_of_route", f"{c}_ord").alias(c) for c in _DEPARTS],
+        total(F.when(shop, F.col("planned_block_min"))).alias("planned_block_total_min"),
+        total(F.when(shop, F.col("actual_block_min"))).alias("actual_block_total_min"),
+    )
     overrun = F.col("actual_block_total_min") - F.col("planned_block_total_min")
     return (
         _departure_delay(routes)

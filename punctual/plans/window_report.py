@@ -19,7 +19,7 @@ from punctual.sources.schema import ROUTE, present, require, with_optional
 ACTIVITIES = ("4", "5")
 DELIVERY = ["date_dos", "cnr_tour", "cnr_cust", "nm_short_unload", "win_from", "win_until"]
 
-_REQUIRED = [*DELIVERY, "rfx_activity", "planned", "actual"]
+_REQUIRED = [*DELIVERY, "rfx_activity", "planned", "actual", "row_ord"]
 _OPTIONAL = ["rfx_year", "rfx_preparation", "duration_p", "duration_a"]
 _TEXTS = ["cnr_tour", "cnr_cust", "rfx_year", "rfx_preparation", "nm_short_unload"]
 _CLOCKS = ["win_from", "win_until", "planned", "actual"]
@@ -27,11 +27,10 @@ _CLOCKS = ["win_from", "win_until", "planned", "actual"]
 
 def window_orders(orders: DataFrame, tolerance_minutes: int = 0) -> DataFrame:
     """Prepared orders: activity filter, parsed day and clocks, channel, both on-time flags."""
-    require(orders, _REQUIRED, "Dataset mist verplichte kolommen")
+    require(orders, _REQUIRED, "The window report needs")
     rows = with_optional(orders, *_OPTIONAL)
-    rows = rows.withColumn("rfx_activity", F.expr(strip_sql("rfx_activity"))).where(
-        F.col("rfx_activity").isin(*ACTIVITIES)
-    )
+    # Ingest trims identifiers, so the column itself is compared and the filter reaches the scan.
+    rows = rows.where(F.col("rfx_activity").isin(*ACTIVITIES))
     rows = rows.withColumn("date_dos", report_day("date_dos"))
     rows = rows.withColumns({c: id_text(c) for c in _TEXTS})
     rows = rows.withColumns({f"{c}_ts": clock_ts("date_dos", strip_sql(c)) for c in _CLOCKS})
@@ -75,6 +74,11 @@ def window_deliveries(orders: DataFrame, tolerance_minutes: int = 0) -> DataFram
     )
 
 
+def _if_any_delivery(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table``, or no rows if there is no delivery at all: a scalar subquery, no action."""
+    return table.where(rows.agg(F.count_if(_is_delivery())).scalar() > 0)
+
+
 def _is_delivery() -> Column:
     return F.col("date_dos").isNotNull() & F.col("win_from").isNotNull() & F.col("win_until").isNotNull()
 
@@ -126,8 +130,8 @@ def window_daily_overview(orders: DataFrame, tolerance_minutes: int = 0) -> Data
     A day with orders but no delivery has zero deliveries: both counts come from one aggregation that
     keeps incomplete keys, instead of an outer join of two.
     """
-    groups = present(_groups(window_orders(orders, tolerance_minutes)), "date_dos")
-    days = _delivery_rates(_totals(groups, "date_dos"))
+    groups = _groups(window_orders(orders, tolerance_minutes))
+    days = _if_any_delivery(_delivery_rates(_totals(present(groups, "date_dos"), "date_dos")), groups)
     n = F.col("orders_totaal")
     return days.withColumns(
         {f"jit_pct_ord_{s}": percent2(F.col(f"orders_jit_{s}"), n) for s in ("s1", "s2")}
@@ -192,6 +196,7 @@ def window_wait_buckets(orders: DataFrame, tolerance_minutes: int = 0) -> DataFr
         .agg(F.count(F.lit(1)).alias("aantal"))
     )
     share = percent2(F.col("aantal"), grand_total(counts, "aantal"))
+    counts = _if_any_delivery(counts, window_orders(orders, tolerance_minutes))
     return counts.withColumn("aandeel_pct", share).orderBy(F.desc("aantal"), "rootcause_bucket")
 
 
@@ -202,24 +207,31 @@ def window_wait_by_store(orders: DataFrame, tolerance_minutes: int = 0, limit: i
         "avg_duration_a_min": "wait_a",
         "avg_extra_wachttijd_min": "extra",
     }
-    return (
+    stores = (
         _late(orders, tolerance_minutes)
         .groupBy("nm_short_unload")
         .agg(
             F.count(F.lit(1)).alias("late_orders"),
             *[F.bround(F.avg(c), 1).alias(name) for name, c in means.items()],
         )
+    )
+    return (
+        _if_any_delivery(stores, window_orders(orders, tolerance_minutes))
         .orderBy(F.desc("late_orders"), F.desc_nulls_last("avg_extra_wachttijd_min"), "nm_short_unload")
         .limit(limit)
     )
 
 
 def _of_route(orders: DataFrame, date_dos: str | None, cnr_tour: str | None) -> DataFrame:
-    """The route filter, on the raw columns so that it reaches the scan."""
+    """The route filter, on plain columns as ingest leaves them, so that it reaches the scan.
+
+    Days other than ISO text are still parsed, behind the plain test.
+    """
     if date_dos:
-        orders = orders.where(report_day("date_dos") == F.lit(date_dos).cast("date"))
+        iso = F.col("date_dos") == date_dos
+        orders = orders.where(iso | (~F.col("date_dos").rlike(r"^\\d{4}-\\d{2}-\\d{2}$") & (report_day("date_dos") == F.lit(date_dos).cast("date"))))
     if cnr_tour:
-        orders = orders.where(id_text("cnr_tour") == str(cnr_tour))
+        orders = orders.where(F.col("cnr_tour") == str(cnr_tour))
     return orders
 
 
@@ -230,7 +242,7 @@ def window_route_detail_orders(
     tolerance_minutes: int = 0,
 ) -> DataFrame:
     """Order lines of a route, sorted; or of all routes."""
-    require(orders, _REQUIRED, "Dataset mist verplichte kolommen")
+    require(orders, _REQUIRED, "The window report needs")
     rows = present(window_orders(_of_route(orders, date_dos, cnr_tour), tolerance_minutes), "date_dos")
     if date_dos and cnr_tour:
         rows = rows.orderBy("nm_short_unload", F.asc_nulls_last("actual"), "row_ord")
@@ -247,7 +259,7 @@ def window_route_detail_deliveries(
     tolerance_minutes: int = 0,
 ) -> DataFrame:
     """Deliveries of a route, sorted; or of all routes."""
-    require(orders, _REQUIRED, "Dataset mist verplichte kolommen")
+    require(orders, _REQUIRED, "The window report needs")
     rows = window_deliveries(_of_route(orders, date_dos, cnr_tour), tolerance_minutes)
     if date_dos and cnr_tour:
         rows = rows.orderBy("nm_short_unload", "win_from", "cnr_cust", "win_until")
@@ -259,6 +271,7 @@ def window_route_detail_deliveries(
 
 def window_report(orders: DataFrame, tolerance_minutes: int = 0) -> dict[str, DataFrame]:
     """All tables of the report, each evaluated only when used."""
+    # The names under which callers look the tables up.
     tables = {
         "summary": window_summary,
         "daily_overview": window_daily_overview,

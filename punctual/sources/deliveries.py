@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.sources.schema import DELIVERIES_SCHEMA, DELIVERY_COLUMNS, with_optional
+from punctual.sources.schema import DELIVERIES_SCHEMA, DELIVERY_COLUMNS, require, with_optional
 
 _NOT_INSERTED = {"created_at", "updated_at"}
 
@@ -28,8 +28,7 @@ def new_deliveries(target: DataFrame, batch: DataFrame, created_at: str | None =
     both for grouping and for joining, so many of them spread over all tasks. The first row per uid
     is an aggregate, so copies are dropped before the shuffle.
     """
-    if "row_ord" not in batch.columns:
-        batch = batch.withColumn("row_ord", F.monotonically_increasing_id())
+    require(batch, ["row_ord"], "Which of equal deliveries comes first is not known without")
     stamp = F.lit(created_at) if created_at else F.date_format(
         F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()), "yyyy-MM-dd HH:mm:ss"
     )

@@ -3,40 +3,87 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from punctual.functions.clocks import day_text, with_clock_text
 from punctual.functions.text import id_text
+from punctual.sources.positions import with_position
 from punctual.sources.schema import (
-    CLOCK_COLUMNS, HEADER_ALIASES, ID_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDERS_SCHEMA, with_optional,
+    CLOCK_COLUMNS, HEADER_ALIASES, ID_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDERS_SCHEMA, require, with_optional,
 )
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """An order file as it is, every value as text."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return reader.format(fmt).load(path)
+def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Order files as they are, every value as text, with each row's place as ``row_ord``.
+
+    Files may have their columns in different orders: those with the same header are read together, and the
+    results are put together by column name. ``multi_line`` lets quoted values hold line breaks; such a file
+    cannot be split, so it is the caller's choice.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, enforceSchema=False) if fmt == "csv" else spark.read
+    files = reader.format(fmt).load(path)
+    if fmt != "csv":
+        return with_position(files)
+    place = {name: k for k, name in enumerate(sorted(files.inputFiles()))}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name in place:
+        by_header.setdefault(tuple(_header(spark, name, multi_line)), []).append(name)
+    parts = []
+    for header, names in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in _distinct(header)])
+        part = reader.schema(schema).option("enforceSchema", len(set(header)) < len(header)).csv(names)
+        parts.append(with_position(part, place=place))
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    return together
+
+
+def _header(spark: SparkSession, name: str, multi_line: bool) -> list[str]:
+    """The header of one file; reads its first line only."""
+    return spark.read.options(header=True, multiLine=multi_line).csv(name).columns
+
+
+def _distinct(names: tuple[str, ...]) -> list[str]:
+    """Names that differ also when case does not count, as Spark wants them."""
+    seen: dict[str, int] = {}
+    out = []
+    for k, name in enumerate(names):
+        first = seen.setdefault(name.lower(), k)
+        out.append(name if first == k else f"{name}_{k + 1}")
+    return out
 
 
 def normalise_orders(raw: DataFrame) -> DataFrame:
-    """Raw order file rows in the form of the orders table.
+    """Raw order rows, with their ``row_ord``, in the form of the orders table.
 
-    ``row_ord`` is taken before anything moves rows, so it follows the order of the file. Columns
-    the file lacks are NULL, columns the table does not know are dropped.
+    Columns the file lacks are NULL. Columns the table does not know are kept behind its own, trimmed
+    names and values as they are. If a file has both spellings of a column, each row takes the first that it
+    has filled.
     """
+    require(raw, ["row_ord"], "Place of each row missing")
     names = {**ORDER_HEADERS, **HEADER_ALIASES}
-    renamed = raw.toDF(*[c.strip() for c in raw.columns])
-    picked = {}
-    for c in renamed.columns:
-        name = names.get(c, c)
-        if name in ORDER_COLUMNS and name not in picked:
-            picked[name] = F.col(f"`{c}`").cast("string").alias(name)
-    rows = renamed.select(*picked.values(), F.monotonically_increasing_id().alias("row_ord"))
-    rows = with_optional(rows, *ORDER_COLUMNS)
+    found: dict[str, list[Column]] = {}
+    extra: dict[str, Column] = {}
+    for c in raw.columns:
+        value, clean = F.col(f"`{c}`").cast("string"), c.strip()
+        name = names.get(clean, clean)
+        if name in ORDER_COLUMNS:
+            found.setdefault(name, []).append(value)
+        elif c != "row_ord":
+            extra.setdefault(clean, value)
+    picked = [F.coalesce(*[F.when(F.trim(v) != "", v) for v in found[n][:-1]], found[n][-1]).alias(n) for n in found]
+    rows = with_optional(raw.select(*picked, *[v.alias(n) for n, v in extra.items()], "row_ord"), *ORDER_COLUMNS)
     rows = rows.withColumns({"date_dos": day_text("date_dos")} | {c: id_text(c) for c in ID_COLUMNS})
     rows = with_clock_text(rows, *CLOCK_COLUMNS)
     rows = rows.withColumn("cnr_tour", F.regexp_replace("cnr_tour", r"\.0$", ""))
-    return rows.select(*ORDER_COLUMNS, "row_ord")
+    return rows.select(*ORDER_COLUMNS, *[f"`{n}`" for n in extra], "row_ord")
+
+
+def has_durations(raw: DataFrame) -> bool:
+    """Whether the file has actual durations at all, as ``rca`` wants to know; looks at the header only."""
+    names = {**ORDER_HEADERS, **HEADER_ALIASES}
+    return any(names.get(c.strip(), c.strip()) == "duration_a" for c in raw.columns)
 
 
 def write_orders(orders: DataFrame, path: str) -> None:
@@ -56,21 +103,30 @@ def write_orders(orders: DataFrame, path: str) -> None:
     )
 
 
-def ingest_orders(spark: SparkSession, source: str, path: str, fmt: str = "csv") -> DataFrame:
-    """Reads, normalises and stores an order file; returns the stored table."""
-    write_orders(normalise_orders(read_raw(spark, source, fmt)), path)
-    return read_orders(spark, path)
+def ingest_orders(
+    spark: SparkSession, source: str | list[str], path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    """Reads, normalises and stores order files; returns the stored table, further columns of the files included.
+
+    A file without actual durations leaves none in the table either: its ``duration_a`` is NULL throughout, and
+    ``has_durations`` on the raw file says so to ``rca``.
+    """
+    rows = normalise_orders(read_raw(spark, source, fmt, multi_line))
+    write_orders(rows, path)
+    more = [f for f in rows.schema.fields if f.name not in ORDERS_SCHEMA.names]
+    return read_orders(spark, path, more)
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, or an empty one if nothing was ingested yet."""
+def read_orders(spark: SparkSession, path: str, more: list[T.StructField] | None = None) -> DataFrame:
+    """The stored table with ``more`` columns of the files, or an empty one if nothing was ingested yet."""
+    schema = T.StructType([*ORDERS_SCHEMA.fields[:-1], *(more or []), ORDERS_SCHEMA.fields[-1]])
     try:
-        stored = spark.read.schema(ORDERS_SCHEMA).parquet(path)
+        stored = spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], ORDERS_SCHEMA)
-    return stored.select(*ORDERS_SCHEMA.names)
+        return spark.createDataFrame([], schema)
+    return stored.select(*[f"`{n}`" for n in schema.names])
 
 
 def select_orders(

@@ -1,4 +1,6 @@
-"""Both ways of ordering stops give the same, and no result depends on row order."""
+"""One plan orders the stops of all routes, built without running anything, and no result depends on row order."""
+
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,6 @@ from pyspark.sql import functions as F
 from compare import spark_rows
 from conftest import TESTDATA
 from punctual import fixture
-from punctual.operators import route_order
 from punctual.plans import rca, transport
 from punctual.sources.schema import ORDER_COLUMNS
 
@@ -22,13 +23,21 @@ def orders(spark):
     )
 
 
-@pytest.mark.parametrize("limit", [0, 15])
-@pytest.mark.parametrize(
-    "plan", [transport.transport_stops, transport.transport_routes, rca.rca_stop_sequence, rca.rca_route_decomposition]
-)
-def test_heavy_routes_give_the_same(orders, plan, limit, monkeypatch):
-    monkeypatch.setattr(route_order, "SHOP_RANGES", 4)
-    assert spark_rows(plan(orders, route_limit=limit)) == spark_rows(plan(orders))
+PLANS = [transport.transport_stops, transport.transport_routes, transport.transport_sequence, rca.rca_stop_sequence, rca.rca_route_decomposition]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_one_lazy_plan(spark, plan):
+    """Building runs no job; one scan, no broadcast, and the shape does not depend on the data."""
+    scan = fixture.otif_orders(spark, f"{TESTDATA}/sf0.001").select(*ORDER_COLUMNS, "row_ord")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", plan.__name__)
+    df, alone = plan(scan), plan(scan.withColumn("cnr_tour", F.lit("1")))
+    assert tracker.getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    shapes = [[n for n in re.findall(r"[:+*\-() \d]*(\w+)", x.split("[")[0])[:1]] for y in (df, alone) for x in [y._jdf.queryExecution().executedPlan().toString()]]
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Broadcast" not in text and shapes[0] == shapes[1]
 
 
 def test_positions_are_permutations(orders):

@@ -183,7 +183,7 @@ def test_waits(spark):
 
 def test_window_report_keys(spark):
     o = orders(
-        spark, {"nm_short_unload": None}, {"win_until": None}, {"date_dos": None}, {"rfx_activity": " 5 "},
+        spark, {"nm_short_unload": None}, {"win_until": None}, {"date_dos": None}, {"rfx_activity": "5"},
         {"rfx_activity": "3"}, {"date_dos": "05/03/2024"},
     )
     s = window_report.window_summary(o).first()
@@ -216,9 +216,9 @@ def test_window_route_detail(spark):
 
 
 def deliveries(spark, *times, **columns):
-    rows = [(p, a, *columns.values()) for p, a in times]
-    names = ["planned_time", "actual_time", *columns]
-    return spark.createDataFrame(rows, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    rows = [(p, a, *columns.values(), k) for k, (p, a) in enumerate(times)]
+    fields = [T.StructField(n, T.StringType()) for n in ("planned_time", "actual_time", *columns)]
+    return spark.createDataFrame(rows, T.StructType([*fields, T.StructField("row_ord", T.LongType())]))
 
 
 def test_kpi(spark):
@@ -319,3 +319,18 @@ def test_append_is_idempotent(spark, tmp_path):
     assert dt.scan_deliveries(table, "2024-03-05", "2024-03-05").count() == 0
     assert dt.scan_deliveries(table, "2024-03-05", "2024-03-06").count() == 3
     assert table.where("created_at IS NULL OR updated_at IS NOT NULL").isEmpty()
+
+
+def test_lenient_days_and_clocks(spark):
+    df = texts(
+        spark, "02.01.2024", "13.01.2024", "2 Jan 2024", "January 5, 2024", "13/01/2024", "01/02/2024 06:30", "2 Foo 2024", "31.02.2024", None,
+    )
+    assert values(df.select(clocks.day_text("x").alias("d")), "d") == [
+        "2024-02-01", "2024-01-13", "2024-01-02", "2024-01-05", "2024-01-13", "2024-01-02", None, None, None]
+    df = texts(
+        spark, "6:30 PM", "06:30 AM", "12:05 am", "12:05 PM", "01/02/2024 06:30", "2 Jan 2024 6:05 PM", "2024-01-02T06:30:00", "2024-13-02 06:30",
+        "13:30 PM", "24:00", "noon", "x 6:30", "6:30", None,
+    )
+    assert values(clocks.with_clock_text(df, "x"), "x") == [
+        "18:30", "06:30", "00:05", "12:05", "06:30", "18:05", "06:30", None, None, None, None, None, "06:30", None]
+    assert values(clocks.with_hhmm(texts(spark, "6:30 PM", "06:30 PM", "n/a"), "x"), "x") == ["18:30", "06:30", "n/a"]
