@@ -479,8 +479,31 @@ SELECT uid, customer, site, date_dos, planned_time, actual_time FROM dt WHERE da
     }
 
 
+def _where(sql: str, condition: str) -> str:
+    """The same query over the orders that meet a condition."""
+    before, after = sql.split("o AS (\n", 1)
+    body, rest = after.split("  FROM t)", 1)
+    return f"{before}o_all AS (\n{body}  FROM t),\no AS (SELECT * FROM o_all WHERE {condition}){rest}"
+
+
+#: Conditions of the filtered registrations, by the suffix of their names.
+FILTERED = {
+    "routes_overview_in_range": ("routes_overview", "date_dos BETWEEN '1994-01-01' AND '1995-12-31' AND rfx_activity = '4'"),
+    "stop_deliveries_of_tour": ("stop_deliveries", "date_dos >= '1995-01-01' AND date_dos <= '1995-06-30' AND cnr_tour = '770001'"),
+    "scan_orders_of_activity": ("scan_orders", "rfx_activity = '4'"),
+    "transport_routes_in_range": ("transport_routes", "date_dos >= '1994-01-01' AND date_dos <= '1995-12-31'"),
+    "transport_stops_of_activity": ("transport_stops", "rfx_activity = '5'"),
+    "rca_route_decomposition_in_range": ("rca_route_decomposition", "date_dos >= '1994-01-01' AND rfx_activity = '4'"),
+    "rca_customer_day_in_range": ("rca_customer_day", "date_dos >= '1994-01-01' AND date_dos <= '1995-12-31'"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {**_app(), **_waits(), **_outside(), **_rca(), **_transport(), **_window(0), **_kpi(0), **_causes()}
     for name, sql in {**_window(15), **_kpi(15)}.items():
         out[f"{name}_tol15"] = sql
+    for name, (plain, condition) in FILTERED.items():
+        out[name] = _where(out[plain], condition)
+    # Without actual durations in the file, the wait is the time between arrival and departure.
+    out["rca_stops_without_durations"] = out["rca_stops"].replace("dur_a AS wait_min", f"{_min_between('actual_ts', 'a_depart_ts')} AS wait_min")
     return out

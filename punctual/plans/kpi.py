@@ -51,16 +51,22 @@ def route_delay_clusters(rows: DataFrame) -> DataFrame:
     """
     require(rows, ["cnr_tour", "planned_time", "actual_time", "row_ord"], "Route delays cannot be computed without")
     delays = _with_instants(present(rows, "cnr_tour")).withColumn("delay", _delay_min())
-    # Where there is a delay there is a planned time, so missing ones need no place in the order.
-    order = F.when(F.col("delay").isNotNull(), F.struct("planned_time", "row_ord"))
+    # Where there is a delay there is a planned time, so missing ones need no place in the order. Rows of one tour
+    # and planned time are combined by place first; numbers as order keys keep both steps hash aggregations.
+    place = F.when(F.col("delay").isNotNull(), F.col("row_ord"))
+    at_time = delays.groupBy("cnr_tour", "planned_time").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("delay").alias("n"), F.sum("delay").alias("total"), F.max("delay").alias("largest"),
+        F.min_by("delay", place).alias("first"), F.max_by("delay", place).alias("last"),
+    )
+    when = F.when(F.col("n") > 0, F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("planned_time")))
     return (
-        delays.groupBy("cnr_tour")
+        at_time.groupBy("cnr_tour")
         .agg(
-            F.count(F.lit(1)).alias("stops"),
-            F.min_by("delay", order).alias("start_delay"),
-            F.max_by("delay", order).alias("end_delay"),
-            F.avg("delay").alias("avg_delay"),
-            F.max("delay").alias("max_delay"),
+            F.sum("rows").alias("stops"),
+            F.min_by("first", when).alias("start_delay"),
+            F.max_by("last", when).alias("end_delay"),
+            (F.sum("total") / F.sum("n")).alias("avg_delay"),
+            F.max("largest").alias("max_delay"),
         )
         .withColumn("root_cause_cluster", delay_class(F.col("start_delay"), F.col("max_delay")))
         .orderBy("cnr_tour")

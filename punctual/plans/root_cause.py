@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, functions as F
 
 from punctual.functions.lookups import reason_cluster, recommendation
-from punctual.functions.measures import percent2
+from punctual.functions.measures import percent, percent2
 from punctual.operators.shares import grand_total
 from punctual.sources.schema import present, require, with_optional
 
@@ -73,3 +73,18 @@ def action_plan(
         .orderBy(F.desc("impact_pct_pts"), F.desc("count"), "oorzaak_cluster")
         .drop("count")
     )
+
+
+def action_plan_of(rows: DataFrame, **options) -> DataFrame:
+    """``action_plan`` of rows with their ``on_time`` flag, from one scan.
+
+    Late and on-time rows are counted per cluster in one aggregation; the KPI and the shares come from these few
+    counts.
+    """
+    require(rows, ["on_time"], "rows need the flag computed by kpi_rows")
+    cluster = reason_cluster(F.col("reason")).alias("reason_bucket")
+    counts = with_optional(rows, "reason").groupBy(cluster).agg(F.count(F.lit(1)).alias("all"), F.count_if("on_time").alias("on_time"))
+    kpi = F.bround(percent(F.col("on_time"), F.col("all")), 2)
+    current = counts.agg(F.sum("on_time").alias("on_time"), F.sum("all").alias("all")).select(kpi).scalar()
+    late = counts.select("reason_bucket", (F.col("all") - F.col("on_time")).alias("count")).where("count > 0")
+    return action_plan(_with_share(late, "reason_bucket"), current, **options)
