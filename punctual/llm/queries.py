@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, packing, quality, secrets, sharding, substring_dedup
+from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, oracle, packing, quality, secrets, sharding, substring_dedup
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return deduped.select("doc_id", "n_lines", "n_removed_lines", "removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+    removed = F.array_join("removed_lines", ",").alias("removed_lines")
+    return deduped.select("doc_id", "n_lines", "n_removed_lines", removed, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.drop("text", "lang")
+    # The last digits of sums of fractions depend on the order of addition.
+    rounded = {name: F.round(name, 6) for name in ("char_distance", "word_distance")}
+    return judged.drop("text", "lang").withColumns(rounded)
 
 
 def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +113,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
