@@ -28,7 +28,7 @@ def test_stages_and_columns(steps, documents):
 
 def test_each_stage_on_its_input(spark, steps):
     rows = [{r["doc_id"]: r for r in step.collect()} for step in steps[:-1]]
-    assert set(rows[0]) > set(rows[1]) >= set(rows[2]) > set(rows[3]) >= set(rows[4])
+    assert set(rows[0]) > set(rows[1]) >= set(rows[2]) >= set(rows[3]) >= set(rows[4])
     assert all(r["n_chars"] == len(r["text"]) for r in rows[2].values())
     group = groups([(i, r["text"]) for i, r in rows[2].items()], 5)
     assert set(rows[3]) == {i for i, r in rows[2].items() if group[i] == i or not shingles(r["text"], 5)}
