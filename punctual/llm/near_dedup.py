@@ -12,6 +12,12 @@ Candidates whose whole signatures agree in less than ``SCREEN`` of the hashes ar
 rounds: first each node's best candidate, then all pairs whose ends these links have not connected yet.
 Connected components of confirmed links are the groups, so copies are never expanded into pairs.
 
+What the forest leaves apart goes through an exact prefix filter, without caps: of two sets similar enough, the
+rarest shingles, one more than may be missing, have one in common. Shingles found in one group only are
+dropped by a count; in the others every node is first compared with the node of most links (the original of
+many edited copies), then all pairs that are still in different groups and whose sizes and places allow the
+similarity are confirmed. Rarity is taken from a sample: it orders the shingles, and any order is exact.
+
 Null texts and texts without words have the empty set and stand alone. Documents with the same id count as
 one in ``component_id``; repeated rows get equal results; null ids are never the smallest; an empty table
 gives an empty result; further columns are left out. Whole texts are used, whatever their length.
@@ -34,6 +40,10 @@ NEIGHBOURS = 6
 SCREEN = 0.52
 #: Up to so many pairs (32 bytes each) are broadcast to the sets; more are joined by a shuffle.
 BROADCAST_PAIRS = 100_000
+#: Documents whose shingles are counted, and the count from which a shingle is not rare. They set cost, not results.
+SAMPLE, COMMON = 4_000, 3
+#: Rounds against the node of most links before all pairs that are left.
+HUB_ROUNDS = 2
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
 _TIMES, _PLUS = _SEEDS[0] | np.uint64(1), _SEEDS[1]
@@ -75,7 +85,37 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(">u4")
 
 
-def _signatures(width: int):
+def _sample_rows(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"token": shingles(text, width, hashes).view(np.int64)})
+
+    return run
+
+
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are not rare in a sample of the texts, and their counts."""
+    share = SAMPLE / max(rows.count(), 1)
+    some = rows.select("text") if share >= 1 else rows.select("text").sample(share, seed=1)
+    counts = some.mapInPandas(_sample_rows(width), "token long").groupBy("token").count().where(F.col("count") >= COMMON).toPandas()
+    tokens = counts["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], counts["count"].to_numpy(np.int64)[order]
+
+
+def rarest(items: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set's first members by rarity, then hash: one more than a set similar enough may lack."""
+    known, counts = common
+    often = np.zeros(len(items), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+        often = np.where(known[at] == items, counts[at], 0)
+    return items[np.lexsort((items, often))][: len(items) + percent * len(items) // -100 + 1]
+
+
+def _signatures(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
@@ -85,8 +125,9 @@ def _signatures(width: int):
                 for text in part["text"]:
                     own = shingles(text, width, hashes)
                     node = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
-                    out.append((len(own), node, signature(own).tobytes() if len(own) else None))
-                frame = pd.DataFrame(out, columns=["n_shingles", "node", "signature"])
+                    rare = rarest(own, percent, common).tobytes() if len(own) else None
+                    out.append((len(own), node, signature(own).tobytes() if len(own) else None, rare))
+                frame = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "rare"])
                 yield part[["doc_id", "text_key"]].reset_index(drop=True).join(frame)
 
     return run
@@ -184,6 +225,91 @@ def links(sets_of_needed, pairs: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(confirmed(rest, sets, percent))
 
 
+def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.iloc[at : at + 256]
+            tokens = [np.frombuffer(x, np.int64) for x in part["rare"]]
+            sizes = [len(t) for t in tokens]
+            held = {c: np.repeat(part[c].to_numpy(), sizes) for c in ("node", "n_shingles")}
+            yield pd.DataFrame({"token": np.concatenate(tokens), "place": np.concatenate([np.arange(n) for n in sizes]), **held})
+
+
+def _groups(found: DataFrame) -> DataFrame:
+    return stored(components(found))
+
+
+def _numbered(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """``rows`` with the group of their node, as a number."""
+    own = group.select("node", F.xxhash64("component").alias("own"))
+    return rows.join(own, "node", "left").withColumn("own", F.coalesce("own", F.xxhash64("node")))
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (a, b, token's place and size of set in each) that can be similar enough.
+
+    Up to the last shingle common to both beginnings, those counted are common; after it, no more than what follows.
+    """
+    sums = rows.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("both"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"),
+        F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"),
+    )
+    most = F.col("both") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+    return sums.where(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
+
+
+def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Components of ``found`` and of further links, so that no similar pair of ``nodes`` (node, n_shingles, rare) is parted."""
+    group = _groups(found)
+    numbered = stored(_numbered(nodes.select("node", "n_shingles", "rare"), group))
+    spread = lambda rows, *more: rows.groupBy("token").agg(
+        F.min("own").alias("low"), F.max("own").alias("high"), *more).where(F.col("low") != F.col("high")).drop("low", "high")
+    shared = stored(spread(numbered.select("rare", "own").mapInPandas(_owned_tokens, "token long, own long")))
+    postings = numbered.select("node", "n_shingles", "rare").mapInPandas(_postings, "token long, place long, node binary, n_shingles long")
+    rows = stored(postings.join(shared, "token", "left_semi"))
+    likely = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+    def confirm(pairs: DataFrame) -> DataFrame | None:
+        pairs = stored(_possible(pairs, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if pairs.isEmpty():
+            return None
+        sets = sets_of_needed(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        good = confirmed(pairs, sets, percent)
+        return None if good.isEmpty() else good
+
+    def rows_of(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        names = [("node", "{}"), ("place", "place_{}"), ("n_shingles", "size_{}")]
+        return pairs.select(*[F.col(f"{side}.{name}").alias(to.format(end)) for side, end in ((x, "a"), (y, "b")) for name, to in names])
+
+    for _ in range(HUB_ROUNDS):
+        degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        here = _numbered(rows, group).join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        here = stored(here)
+        hubs = spread(here, F.max(F.struct("degree", "node", "n_shingles", "own", "place")).alias("hub"))
+        near = here.alias("x").join(hubs, "token").where((F.col("own") != F.col("hub.own")) & likely(F.col("x.n_shingles"), F.col("hub.n_shingles")))
+        good = confirm(rows_of(near, "x", "hub"))
+        if good is None:
+            break
+        found = stored(found.unionByName(good))
+        group = _groups(found)
+    here = _numbered(rows, group)
+    here = stored(here.join(spread(here), "token", "left_semi"))
+    near = here.alias("x").join(
+        here.alias("y"),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.own") != F.col("y.own"))
+        & likely(F.col("x.n_shingles"), F.col("y.n_shingles")),
+    )
+    good = confirm(rows_of(near, "x", "y"))
+    return group if good is None else _groups(found.unionByName(good))
+
+
+def _owned_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        tokens = [np.frombuffer(x, np.int64) for x in batch["rare"]]
+        if tokens:
+            yield pd.DataFrame({"token": np.concatenate(tokens), "own": np.repeat(batch["own"].to_numpy(), [len(t) for t in tokens])})
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -197,10 +323,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = rows.withColumn("text_key", text_key(F.col("text")))
     id_type = dict(rows.dtypes)["doc_id"]
     signed = stored(
-        rows.mapInPandas(_signatures(width), f"doc_id {id_type}, text_key binary, n_shingles long, node binary, signature binary")
+        rows.mapInPandas(
+            _signatures(width, percent, common_shingles(rows, width)),
+            f"doc_id {id_type}, text_key binary, n_shingles long, node binary, signature binary, rare binary",
+        )
     )
     nodes = signed.where("node is not null").groupBy("node").agg(
-        F.first("signature").alias("signature"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("low")
+        F.first("signature").alias("signature"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("low"),
+        F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"),
     )
     nodes = stored(nodes)
     pairs = stored(candidates(nodes.select("node", "signature")))
@@ -208,16 +338,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def sets_of(needed: DataFrame) -> DataFrame:
         """Full sets of the needed nodes: one text of each is shuffled, and only its set is kept."""
         wanted = nodes.select("node", "text_key").join(needed, "node").select("text_key", "node")
-        texts = rows.groupBy("text_key").agg(F.first("text").alias("text"))
+        wanted = stored(wanted)
+        texts = rows.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
         return stored(texts.join(wanted, "text_key").select("node", "text").mapInPandas(_set_rows(width), "node binary, items binary"))
 
-    group = components(links(sets_of, pairs, percent))
+    group = missing_links(sets_of, nodes, stored(links(sets_of, pairs, percent)), percent)
     placed = nodes.select("node", "low").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
     placed = stored(placed.select("node", "low", "group"))
     lowest = placed.groupBy("group").agg(F.min("low").alias("component_low"))
     labels = stored(placed.join(lowest, "group").select("node", "group", "component_low"))
     return (
-        signed.drop("signature").join(labels, "node", "left")
+        signed.drop("signature", "rare").join(labels, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_low")))
         .drop("component_low")
     )

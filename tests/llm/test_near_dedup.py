@@ -60,6 +60,19 @@ def test_planted_groups_with_a_common_passage(frame):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(docs, 5)
 
 
+def test_star_groups(frame):
+    """Many edited copies that are linked only through their original; some of another text have no original."""
+    rng = random.Random(11)
+    docs = []
+    for size, original in ((200, True), (2000, True), (60, False)):
+        base = [f"s{size}x{k}" for k in range(200)]
+        if original:
+            docs.append((len(docs), " ".join(base)))
+        docs += [(len(docs) + k, _edited(base, 5, rng)) for k in range(size)]
+    got = near_dedup.near_duplicates(frame(docs), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(docs, 4)
+
+
 def test_odd_and_empty(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
