@@ -34,14 +34,14 @@ def _identity(doc_id: Column, text: Column) -> dict[str, Column]:
 
 
 def line_ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Each line's place, 128-bit id and number of words."""
+    """Each line's place, 128-bit id and number of words, once for rows equal in id and text."""
     whole = F.col(f"`{text}`")
     placed = docs.where(whole.isNotNull()).select(
         *[value.alias(name) for name, value in _identity(F.col(f"`{doc_id}`"), whole).items()],
         F.posexplode(F.split(whole, "\n")).alias("line", "content"),
     )
     words = F.size(F.filter(F.split("content", BLANKS), lambda w: w != ""))
-    return placed.select(*_AT, F.xxhash64("content").alias("x"), F.xxhash64(F.lit(1), "content").alias("y"), words.alias("words"))
+    return placed.select(*_AT, F.xxhash64("content").alias("x"), F.xxhash64(F.lit(1), "content").alias("y"), words.alias("words")).distinct()
 
 
 def shortest_runs(lines: DataFrame, least: int) -> DataFrame:
@@ -87,7 +87,7 @@ def _ranked(positions: DataFrame, *key: str) -> DataFrame:
 
 def prefix_doubling(lines: DataFrame, depth: int):
     """Yields ranks at depths 1, 2, 4, ... up to ``depth``: the suffixes that share so many lines with another."""
-    active = _ranked(lines.select(*_AT, "x", "y").distinct(), "x", "y")
+    active = _ranked(lines.select(*_AT, "x", "y"), "x", "y")
     size = 1
     while True:
         yield size, active

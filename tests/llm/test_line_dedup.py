@@ -48,6 +48,16 @@ def test_small_runs(frame):
             assert r["n_lines"] == len(lines) and r["hash"] == "b" and r["line"] == "c"
 
 
+def test_rows_that_are_twice_in_the_table(frame):
+    """Short lines shared by two documents stay, though each document's rows repeat."""
+    docs = [(1, "one a b c d e\nshared f g h i\nlast of the first"), (2, "other a b c\nshared f g h i\nlast of two"), (3, "p q\nr s")]
+    want = brute(docs, 10)
+    assert not any(want.values())
+    rows = line_dedup.drop_repeated_lines(frame(2 * docs + docs[:1]), least=10).collect()
+    assert len(rows) == 7
+    assert all(r["removed_lines"] == [] and r["text"] == dict(docs)[r["doc_id"]] for r in rows)
+
+
 def test_odd_and_empty(odd, empty):
     rows = line_dedup.drop_repeated_lines(odd).collect()
     assert len(rows) == odd.count()
