@@ -4,7 +4,9 @@ A page becomes a sequence of words and tags, each of a class: words by where the
 page furniture), tags by what they do. Every class has a weight: words score positive, tags negative, with
 magnitudes learned as log odds from labelled pages, those that mark their article with one ``<article>`` or
 ``<main>``. One linear scan finds the contiguous region of the highest sum; its blocks, without furniture
-standing inside, are the text.
+standing inside, are the text. What is left out anyway costs nothing: furniture between the first and the last
+words of one container or marked article, and there also the tags of a marked article, those of articles
+nested in it included.
 
 Weights are sums over all labelled pages, found by Spark; with none, ``DEFAULT`` holds. Null or empty html
 gives an empty text; unclosed tags, truncated pages and repeated rows are ordinary input; among equal regions
@@ -32,6 +34,7 @@ BLOCKS = (
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 MAIN = ("article", "main")
+CONTAINERS = "html body div section center table tbody tr td th details fieldset dd blockquote".split()
 #: Words in class, id or role that name furniture.
 NAMED = re.compile(
     r"(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|comments?|respond|replies|cookies?|consent|disclaimer|notices?|"
@@ -63,19 +66,23 @@ def _is_furniture(name: str, attrs: str) -> bool:
     return any(NAMED.search("".join(found).lower()) for found in _NAME.findall(attrs))
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
-    """(class, text or tag name, block boundary) in page order. Silent elements are left out whole.
+def tokens(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
+    """(class, text or tag name, block boundary, home, within furniture) in page order. Silent elements are left out whole.
+
+    The home is the number of the container around the token, for furniture of that around the whole of it; a
+    marked article with all it holds is one container, of a negative number.
 
     Furniture lasts to its end tag; if that is missing, to the end of the element around it or to where the
     article starts.
     """
-    at, open_tags, furniture, links = 0, [], 0, 0
+    at, open_tags, furniture, links, homes = 0, [], 0, 0, 0
     while at < len(html):
         found = _TOKEN.match(html, at)
         at = found.end()
+        home = open_tags[-1][2] if open_tags else 0
         if found["text"] is not None:
             # A lone "<" is text unless it opens a tag that the page's end cut off.
-            yield ("furniture" if furniture else "link" if links else "word"), found["text"], False
+            yield ("furniture" if furniture else "link" if links else "word"), found["text"], False, home, furniture > 0
             continue
         if found["name"] is None:
             continue
@@ -87,33 +94,45 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
             continue
         marked = False
         if found["close"]:
-            if any(tag == name for tag, _ in open_tags):
+            if any(tag == name for tag, _, _ in open_tags):
                 while open_tags:
-                    tag, was = open_tags.pop()
+                    tag, was, _ = open_tags.pop()
                     furniture -= was
                     marked |= was
                     links -= tag == "a"
                     if tag == name:
                         break
+                home = open_tags[-1][2] if open_tags else 0
         elif name not in VOID and not found["attrs"].endswith("/"):
             if name in MAIN:
-                furniture, open_tags = 0, [(tag, False) for tag, _ in open_tags]
-            inside = any(tag in MAIN for tag, _ in open_tags)
+                furniture, open_tags = 0, [(tag, False, around) for tag, _, around in open_tags]
+            inside = any(tag in MAIN for tag, _, _ in open_tags)
             marked = _is_furniture(name, found["attrs"]) and not (inside and name == "header")
-            open_tags.append((name, marked))
             furniture += marked
+            own = home
+            if home >= 0 and not furniture and (name in MAIN or name in CONTAINERS):
+                homes += 1
+                own = -homes if name in MAIN else homes
+            open_tags.append((name, marked, own))
             links += name == "a"
         kind = "main" if name in MAIN else "edge" if marked else "block" if name in BLOCKS else "inline"
-        yield kind, ("/" if found["close"] else "") + name, name in BLOCKS
+        yield kind, ("/" if found["close"] else "") + name, name in BLOCKS, home, marked or furniture > 0
 
 
-def _weighed(html: str, weights: dict[str, float]) -> tuple[int, int, list[tuple[str, str, bool]]]:
+def _weighed(html: str, weights: dict[str, float]) -> tuple[int, int, list[tuple[str, str, bool, int, bool]]]:
     """The tokens, and the slice of them with the highest sum (Kadane's scan)."""
     sequence = list(tokens(html))
+    ends: dict[int, tuple[int, int]] = {}
+    for k, (kind, value, _, home, _) in enumerate(sequence):
+        if kind == "word" and value.strip():
+            ends[home] = (ends.get(home, (k, k))[0], k)
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for k, (kind, value, _) in enumerate(sequence):
+    for k, (kind, value, _, home, furnished) in enumerate(sequence):
         if total <= 0:
             total, start = 0.0, k
+        first, last = ends.get(home, (k, k))
+        if first < k < last and (furnished or home < 0 and kind in ("block", "inline", "main")):
+            continue
         total += weights[kind] * (len(value.split()) if kind in ("word", "link", "furniture") else 1)
         if total > best:
             best, best_from, best_to = total, start, k + 1
@@ -130,7 +149,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
             blocks.append(block)
         parts.clear()
 
-    for kind, value, boundary in sequence[first:last]:
+    for kind, value, boundary, _, _ in sequence[first:last]:
         if kind in ("word", "link"):
             parts.append(value)
         elif boundary or kind in ("furniture", "edge", "main"):
@@ -149,7 +168,7 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = [k for k, t in enumerate(sequence) if t[0] == "main" and t[1] not in MAIN]
             if len(starts) != 1 or len(ends) != 1 or ends[0] < starts[0]:
                 continue
-            for k, (kind, value, _) in enumerate(sequence):
+            for k, (kind, value, *_) in enumerate(sequence):
                 where = inside if starts[0] < k < ends[0] else outside
                 where[kind] += len(value.split()) if kind in ("word", "link", "furniture") else 1
     yield pd.DataFrame({"kind": list(DEFAULT), "inside": list(inside.values()), "outside": list(outside.values())})

@@ -20,6 +20,35 @@ def test_page_by_hand():
     assert text == "Real & title\nFirst paragraph with several words in it, and a link.\nSecond one <here> 3 < 4.\na cell with a few words"
 
 
+BOX = "<aside><p>" + "buy this now " * 40 + "</p><form>subscribe</form></aside>"
+MENU = "<nav>" + "<a href=/>menu</a> " * 30 + "</nav>"
+
+
+def test_boxes_near_the_ends_of_an_article():
+    """The shorter side of a long box stays, in marked articles and in plain containers."""
+    body = "<p>" + "body words " * 30 + "</p>"
+    for weights in (html.DEFAULT, {"word": 1.0, **html.LOWEST}):
+        for tag in ("article", "div"):
+            for inner in (f"<h1>Short head</h1><p>The lead.</p>{BOX}{body}", f"{body}{BOX}<p>Short tail here.</p>", f"<h1>Short head</h1>{BOX}{body}{BOX}<p>Short tail of it.</p>"):
+                want = " ".join(re.sub("<[^>]*>", " ", inner.replace(BOX, "")).split())
+                page = f"<body>{MENU}<{tag}>{inner}</{tag}><footer>Imprint words</footer></body>"
+                if tag == "article" or weights is html.DEFAULT:
+                    assert " ".join(html.extract(page, weights).split()) == want
+
+
+def test_articles_nested_in_main_and_short_last_paragraphs():
+    lowest = {"word": 1.0, **html.LOWEST}
+    one, two = "<p>" + "first words " * 9 + "</p>", "<p>" + "second words " * 5 + "</p><p>End.</p>"
+    for weights in (html.DEFAULT, lowest):
+        got = html.extract(f"<body>{MENU}<main><h1>Title</h1><article>{one}</article>{BOX}<article>{two}</article></main><footer>x</footer></body>", weights)
+        assert got == "\n".join(["Title", ("first words " * 9).strip(), ("second words " * 5).strip(), "End."])
+
+
+def test_furniture_between_containers_still_ends_the_region():
+    page = f"<body><div><p>Some site slogan</p></div>{MENU}{BOX}<div><p>" + "text words " * 20 + "</p></div></body>"
+    assert html.extract(page, html.DEFAULT) == ("text words " * 20).strip()
+
+
 def test_query_equals_the_marked_article(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op3_html_extraction(spark, SF).collect()
