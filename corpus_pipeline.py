@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those left without a word go."""
-    deduped = line_dedup.drop_repeated_lines(docs)
+    """Documents without later copies of any repeated line that has a word; those left without a word go."""
+    deduped = line_dedup.drop_repeated_lines(docs, least=1)
     changed = F.col("n_removed_lines") > 0
     left = deduped.where(~changed | (F.size(words_of(F.col("text"))) > 0))
     return left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)

@@ -56,7 +56,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _line_dedup(spark, sf_dir, line_dedup.LEAST_WORDS)
+
+
+def op6_line_dedup_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single short lines too: every run with a word in it."""
+    return _line_dedup(spark, sf_dir, 1)
+
+
+def _line_dedup(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    deduped = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=least)
     removed = F.array_join("removed_lines", ",").alias("removed_lines")
     return deduped.select("doc_id", "n_lines", "n_removed_lines", removed, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
@@ -105,6 +114,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_sharding": op5_sharding,
         "op6_line_dedup": op6_line_dedup,
+        "op6_line_dedup_any": op6_line_dedup_any,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_minhash_forest": op9_minhash_forest,

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 from punctual.llm import line_dedup, queries
 from llm.data import SF
 
@@ -48,6 +49,19 @@ def test_small_runs(frame):
             assert r["n_lines"] == len(lines) and r["hash"] == "b" and r["line"] == "c"
 
 
+def test_short_lines_are_taken(spark, frame, documents):
+    """No line with a word stands twice in what the query of any length and the stage keep."""
+    docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    text, left, cut = dict(docs), [], 0
+    for r in queries.op6_line_dedup_any(spark, SF).collect():
+        gone = {int(k) for k in r["removed_lines"].split(",") if k}
+        cut += len(gone)
+        left += [x for k, x in enumerate(text[r["doc_id"]].split("\n")) if k not in gone and x.strip(" \t\v\f\r")]
+    assert cut and len(left) == len(set(left))
+    kept = corpus_pipeline.repeated_lines(spark, frame([(1, "a b\nRead more\nc"), (2, "Read more\nd"), (3, "Read more")]), SF).collect()
+    assert sorted(r["text"] for r in kept) == ["a b\nRead more\nc", "d"]
+
+
 def test_rows_that_are_twice_in_the_table(frame):
     """Short lines shared by two documents stay, though each document's rows repeat."""
     docs = [(1, "one a b c d e\nshared f g h i\nlast of the first"), (2, "other a b c\nshared f g h i\nlast of two"), (3, "p q\nr s")]
