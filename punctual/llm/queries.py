@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, oracle, packing, quality, secrets, sharding, substring_dedup
+from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, oracle, packing, quality, secrets, sharding, substring_dedup, whitening
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, F.col("embedding"))
+    whitened = whitening.whiten(rows, F.col("embedding"), model).select(
+        F.col("row.vec_id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("place", "whitened")
+    )
+    if model is None:
+        n, share, error = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    else:
+        # At most whitening.COMPONENTS numbers.
+        shares = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]).cast("array<double>")
+        n, share, error = F.lit(model.n).cast("long"), F.get(shares, F.col("place")), F.lit(model.identity_error)
+    return whitened.select(
+        "vec_id", (F.col("place") + 1).alias("component"), n.alias("n"), "deviation", "whitened", share.alias("explained"),
+        error.alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -119,6 +137,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_minhash_forest": op9_minhash_forest,
         "op10_secret_scans": op10_secret_scans,
+        "op11_embedding_whitening": op11_embedding_whitening,
     }
 
 
