@@ -64,5 +64,37 @@ SELECT * REPLACE (round(char_distance, 6) AS char_distance, round(word_distance,
   NOT base_failed AND coalesce(char_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.45 AS kept FROM f"""
 
 
+#: All documents against all items, by the contract's whole-number formulas.
+RANKED_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+           FROM documents),
+full_d AS (SELECT * FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM full_d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM full_d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT k, item_id, t, count(*) AS times FROM (
+        SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark) GROUP BY ALL),
+m AS (SELECT r, doc_id, 75 + (25 * len(ts)::BIGINT * n_docs) // n_terms AS m FROM full_d, g),
+s AS (SELECT k, item_id, doc_id, r, sum(times * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score
+      FROM q JOIN tf USING (t) JOIN df USING (t) JOIN m USING (r), g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+#: Every query against every row. Where one block holds all nodes, the graph search finds them all.
+NEAREST = r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+             AND len(list_filter(embedding, x -> x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0::DOUBLE, list_transform(list_zip(q.e, c.e), z -> (z[1] - z[2]) * (z[1] - z[2]))), (x, y) -> x + y)) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP, "op6_line_dedup_any": ANY_LINE_DEDUP, "op8_quality_rules": QUALITY}
+    return {
+        "op6_line_dedup": LINE_DEDUP, "op6_line_dedup_any": ANY_LINE_DEDUP, "op8_quality_rules": QUALITY,
+        "op12_ranked_search": RANKED_SEARCH, "op13_nearest_neighbours": NEAREST,
+    }

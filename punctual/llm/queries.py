@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, oracle, packing, quality, secrets, sharding, substring_dedup, whitening
+from punctual.llm import decontamination, html, langid, line_dedup, near_dedup, nearest, oracle, packing, quality, ranked_search, secrets, sharding, substring_dedup, whitening
 from punctual.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,16 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("key") % 100 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("candidate").alias("vec_id"), F.col("distance").alias("score"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -138,6 +148,8 @@ def queries() -> dict[str, Query]:
         "op9_minhash_forest": op9_minhash_forest,
         "op10_secret_scans": op10_secret_scans,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 

@@ -10,7 +10,8 @@ from llm.data import SF
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     cursor = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     df = queries.queries()[name](spark, SF)
