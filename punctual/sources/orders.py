@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from punctual.functions.clocks import day_text, with_clock_text
 from punctual.functions.text import id_text
+from punctual.sources.headers import file_headers
 from punctual.sources.positions import with_position
 from punctual.sources.schema import (
     CLOCK_COLUMNS, HEADER_ALIASES, ID_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDERS_SCHEMA, require, with_optional,
@@ -16,36 +17,34 @@ from punctual.sources.schema import (
 def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Order files as they are, every value as text, with each row's place as ``row_ord``.
 
-    Files may have their columns in different orders: those with the same header are read together, and the
-    results are put together by column name. ``multi_line`` lets quoted values hold line breaks; such a file
-    cannot be split, so it is the caller's choice.
+    Files may have their columns in different orders: one job reads the first lines of all files, those with the same
+    header are read together, and the results are put together by column name. ``multi_line`` lets quoted values hold
+    line breaks; such a file cannot be split, so it is the caller's choice.
     """
-    reader = spark.read.options(header=True, multiLine=multi_line, enforceSchema=False) if fmt == "csv" else spark.read
-    files = reader.format(fmt).load(path)
     if fmt != "csv":
-        return with_position(files)
-    place = {name: k for k, name in enumerate(sorted(files.inputFiles()))}
+        return with_position(spark.read.format(fmt).load(path))
+    headers = file_headers(spark, path)
+    place = {name: k for k, name in enumerate(sorted(headers))}
     by_header: dict[tuple[str, ...], list[str]] = {}
     for name in place:
-        by_header.setdefault(tuple(_header(spark, name, multi_line)), []).append(name)
+        by_header.setdefault(headers[name], []).append(name)
     parts = []
     for header, names in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in _distinct(header)])
-        part = reader.schema(schema).option("enforceSchema", len(set(header)) < len(header)).csv(names)
+        # Headers were compared, so the reader need not do it again.
+        part = spark.read.schema(schema).options(header=True, multiLine=multi_line, enforceSchema=True).csv(names)
         parts.append(with_position(part, place=place))
+    if not parts:
+        return with_position(spark.read.options(header=True, multiLine=multi_line).csv(path))
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part, allowMissingColumns=True)
     return together
 
 
-def _header(spark: SparkSession, name: str, multi_line: bool) -> list[str]:
-    """The header of one file; reads its first line only."""
-    return spark.read.options(header=True, multiLine=multi_line).csv(name).columns
-
-
 def _distinct(names: tuple[str, ...]) -> list[str]:
-    """Names that differ also when case does not count, as Spark wants them."""
+    """Names that differ also when case does not count, as Spark wants them; one without a name takes its number."""
+    names = tuple(name or f"_c{k}" for k, name in enumerate(names))
     seen: dict[str, int] = {}
     out = []
     for k, name in enumerate(names):

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Bits for the place inside a file: a terabyte of text, or as many rows.
 _PLACE_BITS = 40
 
+#: Rows of a broadcast table with a path and a few numbers: below 100 MB.
+MOST_BROADCAST = 500_000
+
 
 def _path(name: str) -> Column:
     return F.regexp_replace(name, "^file:/+", "file:/")
@@ -20,27 +23,37 @@ def _path(name: str) -> Column:
 def with_position(files: DataFrame, name: str = "row_ord", place: dict[str, int] | None = None) -> DataFrame:
     """``files``, as the reader gives it, with the place of each row. ``place``: numbers of the files, by path if not given.
 
-    Parquet knows the row's index, and filters still reach the scan. In text files a row's place is where
-    its block starts plus its number in the block: a row is longer than a byte, so places rise from block
-    to block, whatever the size of blocks.
+    Parquet knows the row's index, and filters still reach the scan. In text files the rows of each block are counted
+    first (no column is read), and a row's place is the sum of the counts of the blocks before in its file plus its number in
+    the block; so it does not depend on the size of blocks. Raw rows are not shuffled: counts are, one per block, and
+    they are broadcast up to ``MOST_BROADCAST`` of them; more are joined as Spark decides by their size.
     """
     number = place or {path: k for k, path in enumerate(sorted(files.inputFiles()))}
     columns = [F.col(f"`{c}`") for c in files.columns]
+    # One row per file.
+    numbers = files.sparkSession.createDataFrame([(k, path) for path, k in number.items()], "__file long, __path string")
+    numbers = numbers.select((F.shiftleft("__file", _PLACE_BITS)).alias("__start"), _path("__path").alias("__path"))
     if _has_row_index(files):
         placed = files.select(*columns, _path("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
-    else:
-        in_block = Window.partitionBy("__path", "__block").orderBy("__read")
-        placed = files.select(
-            *columns, _path("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
-            F.monotonically_increasing_id().alias("__read"),
-        ).withColumn("__place", F.col("__block") + F.row_number().over(in_block) - 1)
-    if len(number) < 2:
-        return placed.select(*columns, F.col("__place").alias(name))
-    # One row per file; Spark decides by its size how to join it.
-    numbers = files.sparkSession.createDataFrame([(k, path) for path, k in number.items()], "__file long, __path string")
-    numbers = numbers.withColumn("__path", _path("__path"))
-    order = F.shiftleft("__file", _PLACE_BITS) + F.col("__place")
-    return placed.join(numbers, "__path").select(*columns, order.alias(name))
+        if len(number) < 2:
+            return placed.select(*columns, F.col("__place").alias(name))
+        joined = placed.join(_small(numbers, len(number)), "__path")
+        return joined.select(*columns, (F.col("__start") + F.col("__place")).alias(name))
+    placed = files.select(
+        *columns, _path("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__read"),
+    )
+    # A block's rows are read by one task, one after the other.
+    counts = placed.groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__read").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.join(numbers, "__path").select("__path", "__block", (F.col("__start") + before - F.col("__first")).alias("__start"))
+    # At most one block per file and per task of the scan.
+    joined = placed.join(_small(starts, len(number) + files.rdd.getNumPartitions()), ["__path", "__block"])
+    return joined.select(*columns, (F.col("__start") + F.col("__read")).alias(name))
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
 def _has_row_index(files: DataFrame) -> bool:
