@@ -103,3 +103,70 @@ def test_reports_without_any_delivery_are_empty(spark, ingest):
 def test_window_orders_name_what_is_missing(spark, ingest):
     with pytest.raises(ValueError, match="row_ord"):
         window_report.window_orders(ingest(f"{HEAD}\n").drop("row_ord"))
+
+
+def jobs(spark, group, build):
+    """How many jobs ``build`` starts, and what it returns."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    found = []
+    # Spark lists more than 32 paths by a job of its own.
+    for n in (70, 140):
+        source = tmp_path / str(n)
+        source.mkdir()
+        for k in range(n):
+            head = HEAD if k % 2 else "cnr_cust,date_dos"
+            (source / f"{k:03}.csv").write_text(f"{head}\n" + ("2024-03-05,7,Z1,4,A,08:00\n" if k % 2 else f"Z{k},2024-03-06\n"))
+        count, raw = jobs(spark, f"read-{n}", lambda source=source: ot.read_raw(spark, str(source)))
+        found.append(count)
+        rows = raw.orderBy("row_ord").collect()
+        assert [r.cnr_cust for r in rows] == [f"Z{1 if k % 2 else k}" for k in range(n)]
+    assert found[0] == found[1]
+
+
+def test_raw_rows_are_not_shuffled(spark, tmp_path):
+    """The only exchanges carry counts of blocks."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"{HEAD}\n2024-03-05,7,Z1,4,A,08:00\n")
+    plan = ot.normalise_orders(ot.read_raw(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    for part in plan.split("Exchange hashpartitioning(")[1:]:
+        assert "nm_short_unload" not in part.split("FileScan")[0]
+
+
+@pytest.mark.parametrize("block", ["64", "1000", "1m"])
+def test_places_count_the_rows(spark, tmp_path, block):
+    """The place is the file's number and the row's, for any size of blocks."""
+    for name, lines in (("b", 40), ("a", 3), ("c", 90)):
+        (tmp_path / f"{name}.csv").write_text("x\n" + "".join(f"{name}{k:03}\n" + "\n" * (k % 7 == 0) for k in range(lines)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        rows = with_position(spark.read.option("header", True).csv(str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.x: r.row_ord for r in rows} == {
+        f"{name}{k:03}": (file << 40) + k for file, (name, lines) in enumerate((("a", 3), ("b", 40), ("c", 90))) for k in range(lines)
+    }
+
+
+def test_headers_of_odd_files(spark, tmp_path):
+    from punctual.sources.headers import file_headers
+
+    texts = {
+        "plain": "a,b\n1,2\n", "quoted": '"a ""x"", y",b\n', "broken": '"two\nlines",b\n1,2\n', "blank": "\n  \na,b\n", "empty": "",
+        "unnamed": "a,,b\n", "mark": "﻿a,b\n", "long": "a,b\n" + "1,2\n" * 200_000,
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+    found = {path.split("/")[-1].removesuffix(".csv"): header for path, header in file_headers(spark, str(tmp_path)).items()}
+    assert found == {
+        "plain": ("a", "b"), "quoted": ('a "x", y', "b"), "broken": ("two\nlines", "b"), "blank": ("a", "b"), "unnamed": ("a", "", "b"),
+        "mark": ("a", "b"), "long": ("a", "b"),
+    }
