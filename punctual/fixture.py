@@ -3,7 +3,8 @@
 The given tables hold no delivery windows, so every registered query runs on these projections: one
 order per line item, with windows, clocks, gaps and bad values made from its columns. They are plain
 expressions over one scan, so filters, column pruning and parallelism are those of the scan.
-``row_ord`` is the position in the stored table.
+``row_ord`` is the position in the stored table. As in a table that ingest has written, clocks stand there as texts and
+as seconds of the day, durations as texts and as numbers.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ _ORDERS = {
     "site": "concat('SITE', cast(sk % 5 AS string))",
     "reason": "element_at(array('late_dispatch', 'early_dispatch', 'last_minute_change', 'wms_tms_mismatch',"
     " 'insufficient_stock', 'picking_delay', 'other_code', '', NULL), cast(ok % 9 + 1 AS int))",
+    "win_from_sec": "opens_min * 60",
+    "win_until_sec": "if(ok % 53 = 0, NULL, closes_min * 60)",
+    "planned_sec": "if(ok % 59 = 0, NULL, due_min * 60)",
+    "actual_sec": "if(ok % 41 = 0 OR ok % 43 = 0 OR ok % 67 = 0, NULL, arrives_min * 60)",
+    "p_depart_sec": "if(ok % 47 = 0, NULL, 19800)",
+    "a_depart_sec": "if(ok % 37 = 0, NULL, leaves_min * 60)",
+    "duration_p_num": "cast(10 + pk % 25 AS double)",
+    "duration_a_num": "if(ok % 31 = 0 OR ok % 29 = 0, NULL, cast(5 + q AS double))",
     "uid": "concat_ws('-', ok, ln)",
     "row_ord": "row_ord",
 }
@@ -52,14 +61,13 @@ def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity AS int) q", "l_linenumber ln", "cast(l_shipdate AS date) d",
         "row_ord",
     )
-    line = line.selectExpr("*", "360 + pk % 8 * 75 AS base").selectExpr(
-        "*",
-        f"{_DIGITS.format('(base + sk % 3 * 5)')} AS opens",
-        f"{_DIGITS.format('(base + sk % 3 * 5 + 60)')} AS closes",
-        f"{_DIGITS.format('(base + 20 + ok % 4 * 5)')} AS due",
-        f"{_DIGITS.format('(base - 25 + q * 3 + ok % 7)')} AS arrives",
-        f"{_DIGITS.format('(base - 15 + q * 4 + ok % 7)')} AS leaves",
-    )
+    minutes = {
+        "opens": "base + sk % 3 * 5", "closes": "base + sk % 3 * 5 + 60", "due": "base + 20 + ok % 4 * 5",
+        "arrives": "base - 25 + q * 3 + ok % 7", "leaves": "base - 15 + q * 4 + ok % 7",
+    }
+    line = line.selectExpr("*", "360 + pk % 8 * 75 AS base")
+    line = line.selectExpr("*", *[f"cast({sql} AS int) AS {name}_min" for name, sql in minutes.items()])
+    line = line.selectExpr("*", *[f"{_DIGITS.format(f'{name}_min')} AS {name}" for name in minutes])
     return line.selectExpr(*[f"{sql} AS {name}" for name, sql in _ORDERS.items()])
 
 

@@ -28,6 +28,24 @@ def clock_sql(day: str, clock: str) -> str:
     return f"try_cast(regexp_extract({text}, r'{_DAY_AND_CLOCK}', 0) AS timestamp_ntz)"
 
 
+def clock_seconds(clock: str) -> Column:
+    """Second of the day of a clock ``H:MM[:SS]``; NULL if it is none."""
+    return F.expr(f"cast(timestampdiff(SECOND, timestamp_ntz'1970-01-01', {clock_sql("'1970-01-01'", clock)}) AS int)")
+
+
+def is_typed(df: DataFrame, *names: str) -> bool:
+    """Whether the seconds of these clocks are stored with the rows, as ingest leaves them."""
+    return all(f"{n}_sec" in df.columns for n in names)
+
+
+def _at(day: str, seconds: str) -> Column:
+    return F.expr(f"timestampadd(SECOND, {seconds}, {day})")
+
+
+#: Midnight of an ISO day in text, looked at by place and not by pattern.
+_MIDNIGHT = "try_cast(if(length(date_dos) BETWEEN 8 AND 10 AND substring(date_dos, 5, 1) = '-', date_dos, NULL) AS timestamp_ntz)"
+
+
 def clock_ts(day: str, clock: str) -> Column:
     """Day ``YYYY-MM-DD`` plus clock ``H:MM[:SS]`` as TIMESTAMP_NTZ; NULL if either is invalid.
 
@@ -39,10 +57,62 @@ def clock_ts(day: str, clock: str) -> Column:
 
 
 def with_clocks(df: DataFrame, *names: str) -> DataFrame:
-    """Adds ``<name>_ts`` for each clock column."""
+    """Adds ``<name>_ts`` for each clock column: from its stored seconds, or else from its text."""
+    if is_typed(df, *names):
+        return df.withColumns({f"{n}_ts": _at(_MIDNIGHT, f"{n}_sec") for n in names})
     return df.withColumns({f"{n}_ts": clock_ts("date_dos", n) for n in names})
 
 
+def with_clocks_on(df: DataFrame, day: str, *names: str) -> DataFrame:
+    """The same for a DATE column, and texts with blanks around them."""
+    if is_typed(df, *names):
+        return df.withColumns({f"{n}_ts": _at(f"cast({day} AS timestamp_ntz)", f"{n}_sec") for n in names})
+    return df.withColumns({f"{n}_ts": clock_ts(day, strip_sql(n)) for n in names})
+
+
+def _shown_seconds(seconds: str) -> str:
+    """``HH:MM``."""
+    digits = f"cast(10000 + {seconds} DIV 3600 * 100 + {seconds} DIV 60 % 60 AS string)"
+    return f"concat(substring({digits}, 2, 2), ':', substring({digits}, 4, 2))"
+
+
+def _shown_odd(text: str) -> str:
+    """A text that is no clock, as ``with_hhmm`` leaves it."""
+    return (
+        f"CASE WHEN lower({text}) IN ('', 'nan', 'none') THEN ''"
+        f" WHEN substring({text}, 3, 1) = ':' AND length({text}) >= 5 THEN left({text}, 5) ELSE coalesce({text}, '') END"
+    )
+
+
+#: Bytes of a text that is no clock which a code can hold. Ingest leaves no such text.
+CODE_BYTES = 7
+
+
+def clock_code_sql(name: str) -> str:
+    """A clock in a LONG: its second of the day, or below zero the bytes of a text that is none; NULL stays NULL.
+
+    A LONG fits the fixed-width buffers of a hash aggregation, a text does not.
+    """
+    odd = f"-1 - cast(conv(concat('1', substring(hex({strip_sql(name)}), 1, {2 * CODE_BYTES})), 16, 10) AS bigint)"
+    return f"CASE WHEN {name}_sec IS NOT NULL THEN cast({name}_sec AS bigint) ELSE {odd} END"
+
+
+def _odd_text(code: str) -> str:
+    return f"decode(unhex(substring(conv(cast(-1 - {code} AS string), 10, 16), 2)), 'UTF-8')"
+
+
+def with_texts(df: DataFrame, *names: str) -> DataFrame:
+    """Codes as the texts they stand for; columns that are texts already stay as they are."""
+    codes = [n for n in names if df.schema[n].dataType.typeName() == "long"]
+    return df.withColumns({n: F.expr(f"CASE WHEN {n} >= 0 THEN {_shown_seconds(n)} WHEN {n} < 0 THEN {_odd_text(n)} END") for n in codes})
+
+
+def _with_decoded(df: DataFrame, *names: str) -> DataFrame:
+    """Codes as texts for display, blank if missing."""
+    odd = {n: _shown_odd(_odd_text(n)) for n in names}
+    return df.withColumns({n: F.expr(f"CASE WHEN {n} >= 0 THEN {_shown_seconds(n)} WHEN {n} < 0 THEN {odd[n]} ELSE '' END") for n in names})
+
+
 def minutes(start: str, end: str) -> Column:
     """``end - start`` in minutes as DOUBLE, NULL if either is missing."""
     return F.expr(f"timestampdiff(SECOND, {start}, {end}) / 60.0D")
@@ -59,7 +129,15 @@ def _time_sql(text: str) -> str:
 
 
 def with_hhmm(df: DataFrame, *names: str) -> DataFrame:
-    """Clock texts for display: blank if missing, ``HH:MM`` if it looks like a time, else unchanged."""
+    """Clock texts for display: blank if missing, ``HH:MM`` if it looks like a time, else unchanged.
+
+    Codes of first clocks are decoded, and where seconds are stored they are shown.
+    """
+    if all(df.schema[n].dataType.typeName() == "long" for n in names):
+        return _with_decoded(df, *names)
+    if is_typed(df, *names):
+        shown = {n: F.expr(f"CASE WHEN {n}_sec IS NOT NULL THEN {_shown_seconds(f'{n}_sec')} ELSE {_shown_odd(strip_sql(n))} END") for n in names}
+        return df.withColumns(shown)
     return df.withColumns({n: F.expr(f"coalesce({strip_sql(n)}, '')") for n in names}).withColumns(
         {
             n: F.expr(
@@ -92,7 +170,9 @@ def _day(c: str, *formats: tuple[str, str]) -> Column:
         place = f"locate(initcap({part(month)}), '{_MONTHS}')"
         number = f"if({t} RLIKE r'{form}' AND {place} % 3 = 1, cast(({place} + 2) DIV 3 AS string), NULL)"
         tries.append(f"try_cast(concat({part(3)}, '-', {number}, '-', {part(day)}) AS date)")
-    return F.expr(f"coalesce({', '.join(tries)})")
+    # Most days are plain ISO days; the other forms are tried only where a day is not.
+    iso = f"length({t}) = 10 AND substring({t}, 5, 1) = '-' AND substring({t}, 8, 1) = '-'"
+    return F.expr(f"CASE WHEN {iso} AND try_cast({t} AS date) IS NOT NULL THEN try_cast({t} AS date) ELSE coalesce({', '.join(tries)}) END")
 
 
 def day_text(c: str) -> Column:
@@ -109,6 +189,11 @@ def report_day(c: str) -> Column:
     return _day(c, (_YMD, "$1-$2-$3"), (_XY_YEAR, "$3-$2-$1"), (_XYZ_DOTS, "$3-$2-$1"))
 
 
+def service_day(df: DataFrame) -> Column:
+    """Day of the window report of a row. Where seconds are stored, ingest has written the day too, as an ISO day."""
+    return F.expr(f"cast({_MIDNIGHT} AS date)") if is_typed(df, "win_from") else report_day("date_dos")
+
+
 def utc_instant(df: DataFrame, name: str) -> Column:
     """Instant as UTC wall clock. Text without a zone is UTC; invalid text is NULL.
 

@@ -6,7 +6,7 @@ which keeps building a plan cheap; the ``_sql`` forms are for nesting.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -23,6 +23,11 @@ def id_text(c: str) -> Column:
     return F.expr(f"coalesce({strip_sql(c)}, '{MISSING_ID}')")
 
 
+def stored_number(df: DataFrame, c: str) -> Column:
+    """The number that ingest stored for a text, or else the text read as a number."""
+    return F.col(f"{c}_num") if f"{c}_num" in df.columns else number(c)
+
+
 def number(c: str) -> Column:
     """Text as DOUBLE; anything that is not a plain decimal number is NULL.
 

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import with_clocks, with_hhmm
+from punctual.functions.clocks import with_clocks, with_hhmm, with_texts
 from punctual.functions.measures import is_true, percent, route_grade, row_grade
-from punctual.operators.firsts import first_filled
+from punctual.operators.firsts import first_clock
 from punctual.sources.orders import select_orders
-from punctual.sources.schema import ROUTE, STOP, present
+from punctual.sources.schema import ROUTE, STOP, TYPED_COLUMNS, present
 
 
 def stop_order_flags(orders: DataFrame, **filters) -> DataFrame:
     """Orders with the four parsed times and both on-time flags."""
+    return _flags(orders, **filters).drop(*TYPED_COLUMNS)
+
+
+def _flags(orders: DataFrame, **filters) -> DataFrame:
     rows = with_clocks(select_orders(orders, **filters), "win_from", "win_until", "actual", "planned")
     actual, until = F.col("actual_ts"), F.col("win_until_ts")
     return rows.withColumns(
@@ -29,15 +33,21 @@ def stop_order_flags(orders: DataFrame, **filters) -> DataFrame:
 
 def stop_deliveries(orders: DataFrame, **filters) -> DataFrame:
     """One row per delivery."""
+    stops = _stops(orders, **filters)
+    return with_texts(stops, "win_from", "win_until", "first_planned", "first_actual")
+
+
+def _stops(orders: DataFrame, **filters) -> DataFrame:
+    """Deliveries, with their first clocks as codes where seconds are stored."""
+    rows = present(_flags(orders, **filters), *STOP)
     return (
-        present(stop_order_flags(orders, **filters), *STOP)
-        .groupBy(*STOP)
+        rows.groupBy(*STOP)
         .agg(
             F.count("cnr_cust").alias("orders"),
-            first_filled("win_from").alias("win_from"),
-            first_filled("win_until").alias("win_until"),
-            first_filled("planned").alias("first_planned"),
-            first_filled("actual").alias("first_actual"),
+            first_clock(rows, "win_from").alias("win_from"),
+            first_clock(rows, "win_until").alias("win_until"),
+            first_clock(rows, "planned").alias("first_planned"),
+            first_clock(rows, "actual").alias("first_actual"),
             F.bool_or("jit_s1_order").alias("jit_s1_delivery"),
             F.bool_or("jit_s2_order").alias("jit_s2_delivery"),
             F.min("planned_ts").alias("first_planned_ts"),
@@ -59,7 +69,7 @@ def routes_overview(
         filters["cnr_tour"] = route
     s1, s2, shop = F.col("s1"), F.col("s2"), F.col("nm_short_unload").isNotNull()
     routes = (
-        present(stop_order_flags(orders, **filters), *ROUTE)
+        present(_flags(orders, **filters), *ROUTE)
         .groupBy(*STOP)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -95,7 +105,7 @@ def route_detail_header(
     """Order count and order rates of a route, or of every route."""
     n = F.col("orders")
     return (
-        present(stop_order_flags(orders, **_one_route(date, cnr_tour)), *ROUTE)
+        present(_flags(orders, **_one_route(date, cnr_tour)), *ROUTE)
         .groupBy(*ROUTE)
         .agg(
             F.count(F.lit(1)).alias("orders"),
@@ -118,7 +128,7 @@ def route_detail_orders(
     Sorted for one route; for all routes at once a sort of every order line would be one more
     shuffle of the whole table, so that form is left unsorted.
     """
-    rows = present(stop_order_flags(orders, **_one_route(date, cnr_tour)), *ROUTE)
+    rows = present(_flags(orders, **_one_route(date, cnr_tour)), *ROUTE)
     if date and cnr_tour:
         rows = rows.orderBy(F.col("planned_ts").asc_nulls_last(), F.col("nm_short_unload").asc_nulls_last(), "row_ord")
     clocks = ("win_from", "win_until", "planned", "actual")
@@ -133,7 +143,7 @@ def route_detail_deliveries(
     orders: DataFrame, date: str | None = None, cnr_tour: str | None = None
 ) -> DataFrame:
     """Deliveries of a route with display clocks and a grade; sorted for one route."""
-    rows = stop_deliveries(orders, **_one_route(date, cnr_tour))
+    rows = _stops(orders, **_one_route(date, cnr_tour))
     if date and cnr_tour:
         rows = rows.orderBy(F.col("first_planned_ts").asc_nulls_last(), "nm_short_unload")
     clocks = ("win_from", "win_until", "first_planned", "first_actual")

@@ -10,29 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from punctual.functions.clocks import minutes, with_clocks, with_hhmm
 from punctual.functions.measures import OUTSIDE_BUCKETS, clamp, outside_bucket, percent
-from punctual.operators.firsts import first_filled
+from punctual.operators.firsts import clock_value, stops_with_activity
 from punctual.sources.orders import select_orders
 from punctual.sources.schema import STOP, present
 
 
 def outside_stops(orders: DataFrame, **filters) -> DataFrame:
     """One row per stop with minutes late and an outside flag; unknown times count as outside."""
-    rows = present(select_orders(orders, **filters), *STOP)
-    stops = (
-        with_clocks(rows, "actual", "win_until", "planned")
-        .groupBy(*STOP)
-        .agg(
-            first_filled("rfx_activity").alias("rfx_activity"),
-            F.min("actual_ts").alias("actual_ts"),
-            first_filled("win_until_ts").alias("win_until_ts"),
-            F.min("planned_ts").alias("planned_ts"),
-            first_filled("actual").alias("actual"),
-            first_filled("win_until").alias("win_until"),
-            first_filled("planned").alias("planned"),
-            F.count("cnr_cust").alias("orders"),
-        )
-    )
-    return with_hhmm(stops, "actual", "win_until", "planned").withColumns(
+    rows = with_clocks(present(select_orders(orders, **filters), *STOP), "actual", "win_until", "planned")
+    clocks = ("actual", "win_until", "planned")
+    firsts = {"win_until_ts": ("win_until_ts", "win_until_ts"), **{c: (clock_value(rows, c), c) for c in clocks}}
+    stops = stops_with_activity(rows, firsts, ["actual_ts", "planned_ts"], {"orders": "cnr_cust"})
+    stops = stops.select(*STOP, "rfx_activity", "actual_ts", "win_until_ts", "planned_ts", *clocks, "orders")
+    return with_hhmm(stops, *clocks).withColumns(
         {
             "late_minutes": clamp(minutes("win_until_ts", "actual_ts")),
             "outside_s2": F.coalesce(F.col("actual_ts") > F.col("win_until_ts"), F.lit(True)),

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from punctual.functions.clocks import minutes, with_clocks, with_hhmm
 from punctual.functions.measures import clamp, late_bucket, total
-from punctual.functions.text import MISSING_ID, number
+from punctual.functions.text import MISSING_ID, stored_number
 from punctual.operators import route_order
-from punctual.operators.firsts import first_row
+from punctual.operators.firsts import clock_value, first_row
 from punctual.sources.orders import select_orders
 from punctual.sources.schema import ROUTE, present
 
@@ -25,13 +25,13 @@ def _with_text_keys(orders: DataFrame) -> DataFrame:
 
 
 def _stops(orders: DataFrame, has_duration_a: bool) -> DataFrame:
+    rows = with_clocks(_with_text_keys(orders), *_CLOCKS)
     stops = (
-        with_clocks(_with_text_keys(orders), *_CLOCKS)
-        .withColumn("wait", number("duration_a"))
+        rows.withColumn("wait", stored_number(rows, "duration_a"))
         .groupBy(*_KEYS)
         .agg(
             *[first_row(f"{c}_ts").alias(f"{c}_ts") for c in _CLOCKS],
-            *[first_row(c).alias(c) for c in _CLOCKS],
+            *[first_row(clock_value(rows, c)).alias(c) for c in _CLOCKS],
             first_row("wait").alias("wait_min"),
             F.count(F.lit(1)).alias("orders"),
         )
@@ -115,15 +115,18 @@ def rca_late_buckets(orders: DataFrame, **options) -> DataFrame:
 def rca_customer_day(orders: DataFrame, **options) -> DataFrame:
     """Distinct shops and routes, total wait and total lateness per day and activity."""
     keys = ["date_dos", "rfx_activity"]
+    stops = rca_stops(orders, **options)
+    # Counting by two kinds of distinct value at once would send every stop twice. Both roll-ups read the same
+    # combined stops, whose exchange is reused.
+    shops = stops.groupBy(*keys, "nm_short_unload").agg(F.sum("wait_min").alias("wait"), F.sum("late_min").alias("late"))
+    by_shop = shops.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("leverpunten"), total(F.col("wait")).alias("total_wait_min"), total(F.col("late")).alias("total_late_min")
+    )
+    by_route = stops.select(*keys, "cnr_tour").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("routes"))
+    # Keys are never missing here.
     return (
-        rca_stops(orders, **options)
-        .groupBy(*keys)
-        .agg(
-            F.count_distinct("nm_short_unload").alias("leverpunten"),
-            F.count_distinct("cnr_tour").alias("routes"),
-            total(F.col("wait_min")).alias("total_wait_min"),
-            total(F.col("late_min")).alias("total_late_min"),
-        )
+        by_shop.join(by_route, keys)
+        .select(*keys, "leverpunten", "routes", "total_wait_min", "total_late_min")
         .orderBy("date_dos", F.desc("total_wait_min"), "rfx_activity")
     )
 

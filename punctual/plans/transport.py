@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from punctual.functions.clocks import minutes, with_clocks, with_hhmm
 from punctual.functions.measures import total
-from punctual.functions.text import number
+from punctual.functions.text import stored_number
 from punctual.operators import route_order
-from punctual.operators.firsts import first_filled, first_row
+from punctual.operators.firsts import clock_value, first_clock, number_value, stops_with_activity
 from punctual.sources.orders import select_orders
 from punctual.sources.schema import ROUTE, STOP, present
 
@@ -22,24 +22,22 @@ def _stops(orders: DataFrame) -> DataFrame:
     from all its orders. Carrying these first values along keeps it to a single scan; they are
     pruned where only stops are asked for.
     """
-    rows = with_clocks(present(orders, *ROUTE), "planned", "actual", "a_depart")
-    texts = ("rfx_activity", "planned", "actual", "a_depart", "duration_p", "duration_a")
-    stops = rows.groupBy(*STOP).agg(
-        *[first_filled(c).alias(c) for c in texts],
-        *[F.min(f"{c}_ts").alias(f"{c}_ts") for c in ("planned", "actual", "a_depart")],
-        F.count("cnr_cust").alias("orders"),
-        first_row("rfx_activity").alias("activity_of_route"),
-        F.min("row_ord").alias("row_ord"),
-        *[first_filled(c).alias(f"{c}_of_route") for c in _DEPARTS],
-        *[F.expr(f"min(row_ord) FILTER (WHERE {c} IS NOT NULL)").alias(f"{c}_ord") for c in _DEPARTS],
+    clocks, durations = ("planned", "actual", "a_depart"), ("duration_p", "duration_a")
+    rows = with_clocks(present(orders, *ROUTE), *clocks)
+    firsts = {c: (clock_value(rows, c), c) for c in ("p_depart", *clocks)} | {c: (number_value(rows, c), c) for c in durations}
+    lows = [f"{c}_ts" for c in clocks]
+    stops = stops_with_activity(rows, firsts, lows, {"orders": "cnr_cust"})
+    stops = stops.select(
+        *STOP, "rfx_activity", *clocks, *durations, *lows, "orders", F.col("first_activity").alias("activity_of_route"), "row_ord",
+        *[F.col(c).alias(f"{c}_of_route") for c in _DEPARTS], *[f"{c}_ord" for c in _DEPARTS],
     )
     on_site = minutes("actual_ts", "a_depart_ts")
     return (
         with_hhmm(stops, "planned", "actual", "a_depart")
         .withColumns(
             {
-                "planned_block_min": number("duration_p"),
-                "actual_block_min": F.coalesce(number("duration_a"), on_site),
+                "planned_block_min": _number(stops, "duration_p"),
+                "actual_block_min": F.coalesce(_number(stops, "duration_a"), on_site),
                 "arrival_delta_min": minutes("planned_ts", "actual_ts"),
             }
         )
@@ -47,9 +45,18 @@ def _stops(orders: DataFrame) -> DataFrame:
     )
 
 
+def _number(stops: DataFrame, name: str) -> Column:
+    """A first duration as a number, which it is already where ingest stored numbers."""
+    return F.col(name) if stops.schema[name].dataType.typeName() == "double" else stored_number(stops, name)
+
+
 def _departure_delay(routes: DataFrame) -> DataFrame:
-    """Adds the delay from the two departure texts of a route."""
-    routes = with_clocks(with_hhmm(routes, *_DEPARTS), *_DEPARTS)
+    """Adds the delay from the two departure clocks of a route, to the minute."""
+    if all(routes.schema[c].dataType.typeName() == "long" for c in _DEPARTS):
+        routes = routes.withColumns({f"{c}_sec": F.expr(f"CASE WHEN {c} >= 0 THEN {c} DIV 60 * 60 END") for c in _DEPARTS})
+        routes = with_clocks(routes, *_DEPARTS).drop(*[f"{c}_sec" for c in _DEPARTS])
+    else:
+        routes = with_clocks(with_hhmm(routes, *_DEPARTS), *_DEPARTS)
     return routes.withColumn("dep_delay_min", minutes("p_depart_ts", "a_depart_ts")).drop(
         *_DEPARTS, *[f"{c}_ts" for c in _DEPARTS]
     )
@@ -113,7 +120,7 @@ def transport_departure(
 ) -> DataFrame:
     """Actual minus planned departure of a route, each from the first order that has one."""
     rows = present(select_orders(orders, **_one_route(date, cnr_tour)), *ROUTE)
-    return _departure_delay(rows.groupBy(*ROUTE).agg(*[first_filled(c).alias(c) for c in _DEPARTS]))
+    return _departure_delay(rows.groupBy(*ROUTE).agg(*[first_clock(rows, c).alias(c) for c in _DEPARTS]))
 
 
 def transport_blocks(

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.functions.clocks import clock_ts, with_hhmm
-from punctual.functions.text import number
+from punctual.functions.clocks import with_clocks, with_hhmm
+from punctual.functions.text import stored_number
 from punctual.sources.orders import select_orders
 from punctual.sources.schema import STOP, present
 
 
 def _waiting(orders: DataFrame, **filters) -> DataFrame:
     rows = select_orders(orders, **filters)
-    return present(rows.withColumn("duration_a_min", number("duration_a")), "duration_a_min")
+    return present(rows.withColumn("duration_a_min", stored_number(rows, "duration_a")), "duration_a_min")
 
 
 def _delivery_waits(orders: DataFrame, **filters) -> DataFrame:
@@ -80,9 +80,8 @@ def waits_store_orders(
     if store:
         rows = rows.where(F.col("nm_short_unload") == store)
     if store and rfx_activity:
-        planned = clock_ts("date_dos", "planned")
-        order = [F.col("date_dos"), F.col("cnr_tour"), planned, F.col("actual")]
-        rows = rows.orderBy(*[c.asc_nulls_last() for c in order], "row_ord")
+        order = [F.col(c) for c in ("date_dos", "cnr_tour", "planned_ts", "actual")]
+        rows = with_clocks(rows, "planned").orderBy(*[c.asc_nulls_last() for c in order], "row_ord")
     clocks = ("win_from", "win_until", "planned", "actual", "a_depart")
     return with_hhmm(rows, *clocks).select(
         "rfx_activity", "nm_short_unload", "date_dos", "cnr_tour", "cnr_cust", *clocks,

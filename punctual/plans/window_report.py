@@ -6,14 +6,13 @@ by customer and window, and an order needs both window ends and an arrival to be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from punctual.functions.clocks import clock_ts, report_day
+from punctual.functions.clocks import report_day, service_day, with_clocks_on
 from punctual.functions.lookups import customer_label
 from punctual.functions.measures import is_true, percent2, wait_bucket
-from punctual.functions.text import id_text, number, strip_sql
+from punctual.functions.text import id_text, stored_number
 from punctual.operators.firsts import first_row
-from punctual.operators.shares import grand_total
 from punctual.sources.schema import ROUTE, present, require, with_optional
 
 ACTIVITIES = ("4", "5")
@@ -27,13 +26,19 @@ _CLOCKS = ["win_from", "win_until", "planned", "actual"]
 
 def window_orders(orders: DataFrame, tolerance_minutes: int = 0) -> DataFrame:
     """Prepared orders: activity filter, parsed day and clocks, channel, both on-time flags."""
+    return _orders(orders, tolerance_minutes).drop("wait_p", "wait_a")
+
+
+def _orders(orders: DataFrame, tolerance_minutes: int) -> DataFrame:
+    """The same, with both durations as numbers."""
     require(orders, _REQUIRED, "The window report needs")
     rows = with_optional(orders, *_OPTIONAL)
     # Ingest trims identifiers, so the column itself is compared and the filter reaches the scan.
     rows = rows.where(F.col("rfx_activity").isin(*ACTIVITIES))
-    rows = rows.withColumn("date_dos", report_day("date_dos"))
+    rows = rows.withColumn("date_dos", service_day(rows))
     rows = rows.withColumns({c: id_text(c) for c in _TEXTS})
-    rows = rows.withColumns({f"{c}_ts": clock_ts("date_dos", strip_sql(c)) for c in _CLOCKS})
+    rows = with_clocks_on(rows, "date_dos", *_CLOCKS)
+    waits = {"wait_p": stored_number(rows, "duration_p"), "wait_a": stored_number(rows, "duration_a")}
     slack = F.make_dt_interval(mins=F.lit(tolerance_minutes))
     actual, latest = F.col("actual_ts"), F.col("win_until_ts") + slack
     # The start is tested in both, so a missing one makes both false.
@@ -42,10 +47,11 @@ def window_orders(orders: DataFrame, tolerance_minutes: int = 0) -> DataFrame:
             "order_jit_s1": is_true((actual >= F.col("win_from_ts") - slack) & (actual <= latest)),
             "order_jit_s2": is_true((actual <= latest) & F.col("win_from_ts").isNotNull()),
             "kanaal": customer_label(F.col("cnr_cust"), "Overig"),
+            **waits,
         }
     ).select(
         *DELIVERY, "rfx_activity", *_OPTIONAL, "planned", "actual", *[f"{c}_ts" for c in _CLOCKS],
-        "order_jit_s1", "order_jit_s2", "kanaal", "row_ord",
+        "order_jit_s1", "order_jit_s2", "kanaal", "row_ord", *waits,
     )
 
 
@@ -181,23 +187,25 @@ def window_impact_stores(orders: DataFrame, tolerance_minutes: int = 0, limit: i
     )
 
 
-def _late(orders: DataFrame, tolerance_minutes: int) -> DataFrame:
-    """Late orders with planned, actual and extra wait."""
-    late = window_orders(orders, tolerance_minutes).where(~F.col("order_jit_s2"))
-    late = late.withColumns({"wait_p": number("duration_p"), "wait_a": number("duration_a")})
-    return late.withColumn("extra", F.col("wait_a") - F.col("wait_p"))
+def _late_or_not(orders: DataFrame, tolerance_minutes: int) -> DataFrame:
+    """Orders with their extra wait. All of them: whether there is any delivery is told by the same aggregation."""
+    return _orders(orders, tolerance_minutes).withColumn("extra", F.col("wait_a") - F.col("wait_p"))
 
 
 def window_wait_buckets(orders: DataFrame, tolerance_minutes: int = 0) -> DataFrame:
     """Late orders by extra wait, with shares."""
-    counts = (
-        _late(orders, tolerance_minutes)
-        .groupBy(wait_bucket(F.col("extra")).alias("rootcause_bucket"))
-        .agg(F.count(F.lit(1)).alias("aantal"))
+    late = ~F.col("order_jit_s2")
+    groups = (
+        _late_or_not(orders, tolerance_minutes)
+        .groupBy(F.when(late, wait_bucket(F.col("extra"))).alias("rootcause_bucket"))
+        .agg(F.count_if(late).alias("aantal"), F.count_if(_is_delivery()).alias("deliveries"))
     )
-    share = percent2(F.col("aantal"), grand_total(counts, "aantal"))
-    counts = _if_any_delivery(counts, window_orders(orders, tolerance_minutes))
-    return counts.withColumn("aandeel_pct", share).orderBy(F.desc("aantal"), "rootcause_bucket")
+    # A handful of rows, one per bucket and one for orders on time.
+    whole = Window.partitionBy()
+    totals = {"all_late": F.sum("aantal").over(whole), "any": F.sum("deliveries").over(whole)}
+    counts = groups.withColumns(totals).where("aantal > 0 AND any > 0")
+    share = percent2(F.col("aantal"), F.col("all_late"))
+    return counts.select("rootcause_bucket", "aantal", share.alias("aandeel_pct")).orderBy(F.desc("aantal"), "rootcause_bucket")
 
 
 def window_wait_by_store(orders: DataFrame, tolerance_minutes: int = 0, limit: int = 15) -> DataFrame:
@@ -207,16 +215,21 @@ def window_wait_by_store(orders: DataFrame, tolerance_minutes: int = 0, limit: i
         "avg_duration_a_min": "wait_a",
         "avg_extra_wachttijd_min": "extra",
     }
-    stores = (
-        _late(orders, tolerance_minutes)
+    late = ~F.col("order_jit_s2")
+    groups = (
+        _late_or_not(orders, tolerance_minutes)
         .groupBy("nm_short_unload")
         .agg(
-            F.count(F.lit(1)).alias("late_orders"),
-            *[F.bround(F.avg(c), 1).alias(name) for name, c in means.items()],
+            F.count_if(late).alias("late_orders"),
+            *[F.bround(F.avg(F.when(late, F.col(c))), 1).alias(name) for name, c in means.items()],
+            F.count_if(_is_delivery()).alias("deliveries"),
         )
     )
+    # The guard reads the same groups, whose exchange is reused.
+    stores = groups.where(groups.agg(F.sum("deliveries")).scalar() > 0)
     return (
-        _if_any_delivery(stores, window_orders(orders, tolerance_minutes))
+        stores.where("late_orders > 0")
+        .drop("deliveries")
         .orderBy(F.desc("late_orders"), F.desc_nulls_last("avg_extra_wachttijd_min"), "nm_short_unload")
         .limit(limit)
     )
@@ -229,7 +242,7 @@ def _of_route(orders: DataFrame, date_dos: str | None, cnr_tour: str | None) ->
     """
     if date_dos:
         iso = F.col("date_dos") == date_dos
-        orders = orders.where(iso | (~F.col("date_dos").rlike(r"^\\d{4}-\\d{2}-\\d{2}$") & (report_day("date_dos") == F.lit(date_dos).cast("date"))))
+        orders = orders.where(iso | (~F.col("date_dos").rlike(r"^\d{4}-\d{2}-\d{2}$") & (report_day("date_dos") == F.lit(date_dos).cast("date"))))
     if cnr_tour:
         orders = orders.where(F.col("cnr_tour") == str(cnr_tour))
     return orders

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from punctual.sources.orders import bloom_filters
 from punctual.sources.schema import DELIVERIES_SCHEMA, DELIVERY_COLUMNS, require, with_optional
 
 _NOT_INSERTED = {"created_at", "updated_at"}
 
+#: Ids of a batch that may be broadcast, some 100 MB of them.
+MOST_IDS = 1_000_000
+
 
 def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
     """The stored table, or an empty one if nothing was appended yet."""
@@ -24,9 +28,10 @@ def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
 def new_deliveries(target: DataFrame, batch: DataFrame, created_at: str | None = None) -> DataFrame:
     """Rows of ``batch`` whose ``uid`` is not in ``target`` yet; of equal ones the first by ``row_ord``.
 
-    Rows without ``uid`` never conflict and are all kept. They get their own position as second key,
-    both for grouping and for joining, so many of them spread over all tasks. The first row per uid
-    is an aggregate, so copies are dropped before the shuffle.
+    Rows without ``uid`` never conflict and are all kept. They get their own position as second key for
+    grouping, so many of them spread over all tasks. The first row per uid is an aggregate, so copies are dropped
+    before the shuffle. The ids of the batch are counted first: up to ``MOST_IDS`` they are broadcast and the
+    target is read but not shuffled; beyond, both sides are joined by a shuffle of their ids.
     """
     require(batch, ["row_ord"], "Which of equal deliveries comes first is not known without")
     stamp = F.lit(created_at) if created_at else F.date_format(
@@ -38,12 +43,13 @@ def new_deliveries(target: DataFrame, batch: DataFrame, created_at: str | None =
         .groupBy("uid", F.when(F.col("uid").isNull(), F.col("row_ord")).alias("_own"))
         .agg(F.min_by(F.struct(*values), "row_ord").alias("_row"))
     )
-    known = target.select("uid", F.lit(None).cast("long").alias("_own"))
-    fresh = first.alias("b").join(
-        known.alias("t"),
-        (F.col("b.uid") == F.col("t.uid")) & F.col("b._own").eqNullSafe(F.col("t._own")),
-        "left_anti",
-    )
+    ids = batch.select("uid").where(F.col("uid").isNotNull()).distinct()
+    known = target.select("uid")
+    if ids.count() <= MOST_IDS:
+        # The target stays where it is: its ids are looked up in those of the batch, and what is found, at most one
+        # row per id of the batch, in turn.
+        known = F.broadcast(known.join(F.broadcast(ids), "uid", "left_semi"))
+    fresh = first.join(known, "uid", "left_anti")
     return fresh.select(
         "uid", "_row.*", stamp.alias("created_at"), F.lit(None).cast("string").alias("updated_at")
     ).select(*DELIVERY_COLUMNS)
@@ -58,6 +64,7 @@ def append_deliveries(
         fresh.hint("rebalance", "date_dos")
         .sortWithinPartitions("date_dos", "cnr_tour")
         .write.mode("append")
+        .options(**bloom_filters("uid", "cnr_tour"))
         .partitionBy("date_dos")
         .parquet(path)
     )

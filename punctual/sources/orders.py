@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from punctual.functions.clocks import day_text, with_clock_text
-from punctual.functions.text import id_text
+from punctual.functions.text import id_text, number
+from punctual.sources import versions
 from punctual.sources.headers import file_headers
 from punctual.sources.positions import with_position
 from punctual.sources.schema import (
-    CLOCK_COLUMNS, HEADER_ALIASES, ID_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDERS_SCHEMA, require, with_optional,
+    CLOCK_COLUMNS, DURATION_COLUMNS, HEADER_ALIASES, ID_COLUMNS, ORDER_COLUMNS, ORDER_HEADERS, ORDERS_SCHEMA, TYPED_COLUMNS, TYPED_FIELDS,
+    require, with_optional,
 )
 
 
@@ -76,7 +77,10 @@ def normalise_orders(raw: DataFrame) -> DataFrame:
     rows = rows.withColumns({"date_dos": day_text("date_dos")} | {c: id_text(c) for c in ID_COLUMNS})
     rows = with_clock_text(rows, *CLOCK_COLUMNS)
     rows = rows.withColumn("cnr_tour", F.regexp_replace("cnr_tour", r"\.0$", ""))
-    return rows.select(*ORDER_COLUMNS, *[f"`{n}`" for n in extra], "row_ord")
+    rows = rows.select(*ORDER_COLUMNS, *[f"`{n}`" for n in extra if n not in TYPED_COLUMNS], "row_ord")
+    # Clocks are HH:MM by now. Reports read these numbers and need not look into texts.
+    seconds = {f"{c}_sec": F.expr(f"cast(left({c}, 2) AS int) * 3600 + cast(right({c}, 2) AS int) * 60") for c in CLOCK_COLUMNS}
+    return rows.withColumns(seconds | {f"{c}_num": number(c) for c in DURATION_COLUMNS})
 
 
 def has_durations(raw: DataFrame) -> bool:
@@ -86,20 +90,36 @@ def has_durations(raw: DataFrame) -> bool:
 
 
 def write_orders(orders: DataFrame, path: str) -> None:
-    """Replaces the whole table, one directory per day.
+    """Replaces the whole table, one directory per day; until all is written, readers have the table as it was.
 
     The rebalance hint lets adaptive execution cut a large day into several files and put small days
     together, so one day with very many rows does not end up in one task. Rows are sorted by route
-    inside each file for row-group skipping.
+    inside each file, and each row group has a Bloom filter of its routes, so that looking for one skips the others.
     """
-    (
-        orders.hint("rebalance", "date_dos")
-        .sortWithinPartitions("date_dos", "cnr_tour", "row_ord")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("date_dos")
-        .parquet(path)
-    )
+    spark = orders.sparkSession
+
+    def write(folder: str) -> None:
+        (
+            orders.hint("rebalance", "date_dos")
+            .sortWithinPartitions("date_dos", "cnr_tour", "row_ord")
+            .write.partitionBy("date_dos")
+            .options(**bloom_filters("cnr_tour"))
+            .parquet(folder)
+        )
+
+    def describe(folder: str, files: str) -> None:
+        """Places of the first and the last row of each activity in each file; reads two columns."""
+        name = F.substring_index(F.col("_metadata.file_path"), folder.rstrip("/").split("/")[-1] + "/", -1)
+        rows = spark.read.schema(orders.schema).parquet(folder).select(name.alias("file"), "date_dos", "rfx_activity", "row_ord")
+        known = rows.groupBy("file", "date_dos", "rfx_activity").agg(F.count(F.lit(1)).alias("n"), F.min("row_ord").alias("first"), F.max("row_ord").alias("last"))
+        known.write.parquet(files)
+
+    versions.replace(spark, path, orders.schema, write, describe)
+
+
+def bloom_filters(*names: str) -> dict[str, str]:
+    """Options of the Parquet writer; each filter takes the size that its values need."""
+    return {"parquet.bloom.filter.adaptive.enabled": "true"} | {f"parquet.bloom.filter.enabled#{n}": "true" for n in names}
 
 
 def ingest_orders(
@@ -110,22 +130,38 @@ def ingest_orders(
     A file without actual durations leaves none in the table either: its ``duration_a`` is NULL throughout, and
     ``has_durations`` on the raw file says so to ``rca``.
     """
-    rows = normalise_orders(read_raw(spark, source, fmt, multi_line))
-    write_orders(rows, path)
-    more = [f for f in rows.schema.fields if f.name not in ORDERS_SCHEMA.names]
-    return read_orders(spark, path, more)
+    write_orders(normalise_orders(read_raw(spark, source, fmt, multi_line)), path)
+    return read_orders(spark, path)
+
 
+def read_orders(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table as it counts now, or an empty one if nothing was ingested yet."""
+    version = versions.current(spark, path)
+    if version is None:
+        return spark.createDataFrame([], T.StructType([*ORDERS_SCHEMA.fields[:-1], *TYPED_FIELDS, ORDERS_SCHEMA.fields[-1]]))
+    return spark.read.schema(version.schema).parquet(version.data).select(*[f"`{n}`" for n in version.schema.names])
 
-def read_orders(spark: SparkSession, path: str, more: list[T.StructField] | None = None) -> DataFrame:
-    """The stored table with ``more`` columns of the files, or an empty one if nothing was ingested yet."""
-    schema = T.StructType([*ORDERS_SCHEMA.fields[:-1], *(more or []), ORDERS_SCHEMA.fields[-1]])
-    try:
-        stored = spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return stored.select(*[f"`{n}`" for n in schema.names])
+
+def preview_stored(spark: SparkSession, path: str, limit: int = 500, **filters) -> DataFrame:
+    """``orders_preview`` of the stored table from the files that can hold its rows.
+
+    What was noted of each file when it was written says up to which place the wanted rows go, and which files begin
+    before it. A filter by tour is left to the Bloom filters.
+    """
+    version = versions.current(spark, path)
+    if version is None or filters.get("cnr_tour"):
+        return orders_preview(read_orders(spark, path), limit, **filters)
+    files = select_orders(spark.read.parquet(version.files), **filters)
+    # One row per file and activity. Up to a file's last row, all rows of files that end before it are there.
+    so_far = F.sum("n").over(Window.orderBy("last", "file", "rfx_activity").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    enough = files.withColumn("so_far", so_far).where(F.col("so_far") >= limit).agg(F.min("last")).first()[0]
+    if enough is not None:
+        files = files.where(F.col("first") <= enough)
+    names = sorted(r["file"] for r in files.select("file").distinct().collect())
+    rows = spark.read.schema(version.schema)
+    rows = rows.option("basePath", version.data).parquet(*[f"{version.data}/{n}" for n in names]) if names else spark.createDataFrame([], version.schema)
+    rows = rows.select(*[f"`{n}`" for n in version.schema.names])
+    return orders_preview(rows if enough is None else rows.where(F.col("row_ord") <= enough), limit, **filters)
 
 
 def select_orders(
@@ -150,9 +186,14 @@ def select_orders(
     return orders
 
 
+def scan_orders(orders: DataFrame, **filters) -> DataFrame:
+    """``select_orders`` without what ingest has read out of the texts."""
+    return select_orders(orders, **filters).drop(*TYPED_COLUMNS)
+
+
 def orders_preview(orders: DataFrame, limit: int = 500, **filters) -> DataFrame:
     """First rows in file order."""
-    return select_orders(orders, **filters).orderBy("row_ord").limit(limit)
+    return scan_orders(orders, **filters).orderBy("row_ord").limit(limit)
 
 
 def route_options(orders: DataFrame, **filters) -> DataFrame:

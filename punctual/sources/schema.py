@@ -29,6 +29,14 @@ ORDER_COLUMNS = list(ORDER_HEADERS.values())
 ID_COLUMNS = ["cnr_tour", "cnr_cust", "rfx_activity", "rfx_year", "rfx_preparation"]
 CLOCK_COLUMNS = ["win_from", "win_until", "planned", "actual", "p_depart", "a_depart"]
 
+DURATION_COLUMNS = ["duration_p", "duration_a"]
+
+# What ingest reads out of the texts once: seconds of the day, and minutes as numbers.
+TYPED_FIELDS = [T.StructField(f"{c}_sec", T.IntegerType()) for c in CLOCK_COLUMNS] + [
+    T.StructField(f"{c}_num", T.DoubleType()) for c in DURATION_COLUMNS
+]
+TYPED_COLUMNS = [f.name for f in TYPED_FIELDS]
+
 # row_ord is the position in the ingested file; every "first" value is taken by it.
 ORDERS_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ORDER_COLUMNS] + [T.StructField("row_ord", T.LongType())]

@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and the plans it must have."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as registry
@@ -50,3 +52,42 @@ def test_share_reuses_the_grouped_counts(spark):
     df = QUERIES["root_cause_segments"](spark, f"{TESTDATA}/sf{SF}")
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+#: Reports with clock texts or activities in their results.
+WITH_TEXTS = [
+    "stop_deliveries", "route_detail_deliveries", "outside_stops", "outside_points", "rca_stops", "rca_stop_sequence", "rca_detail",
+    "transport_stops", "transport_routes", "transport_sequence", "transport_departure", "transport_blocks",
+]
+
+
+@pytest.mark.parametrize("name", WITH_TEXTS)
+def test_raw_orders_are_combined_by_hash(spark, name):
+    """Stops may be sorted for a text, orders are not."""
+    plan = QUERIES[name](spark, f"{TESTDATA}/sf{SF}")._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"SortAggregate|HashAggregate|FileScan", plan)
+    assert nodes.count("FileScan") == 1 and nodes[nodes.index("FileScan") - 1] == "HashAggregate"
+
+
+def test_reports_read_no_clock_with_patterns(spark):
+    """Ingest has read the clocks; what a report still shows are stored numbers."""
+    for name in [*WITH_TEXTS, *[n for n in QUERIES if n.startswith("window_")], "routes_overview", "waits_by_store", "waits_by_delivery"]:
+        plan = QUERIES[name](spark, f"{TESTDATA}/sf{SF}")._jdf.queryExecution().executedPlan().toString()
+        assert "regexp" not in plan and "RLIKE" not in plan, name
+
+
+def test_counts_of_two_kinds_of_distinct_value_need_no_second_copy_of_rows(spark):
+    df = QUERIES["rca_customer_day"](spark, f"{TESTDATA}/sf{SF}")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("name, scans", [("window_wait_buckets", 1), ("window_wait_by_store", 1)])
+def test_one_scan_tells_whether_there_is_a_delivery(spark, name, scans):
+    """What runs, that is, after exchanges are reused."""
+    df = QUERIES[name](spark, f"{TESTDATA}/sf{SF}")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    ran = "".join(part.split("Initial Plan")[0] for part in final.split("Final Plan")[1:])
+    assert ran.count("FileScan") == scans
