@@ -71,6 +71,19 @@ def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.selectExpr(*[f"{sql} AS {name}" for name, sql in _ORDERS.items()])
 
 
+def wide_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same orders over 40 shops and 100 tours, with missing days, tours, shops and activities."""
+    year, part = F.col("rfx_year").cast("int"), F.col("rfx_preparation").cast("int")
+    return otif_orders(spark, sf_dir).withColumns(
+        {
+            "date_dos": F.when(year % 19 != 0, F.col("date_dos")),
+            "cnr_tour": F.when(year % 13 != 0, F.concat_ws("-", "cnr_tour", (part % 25).cast("string"))),
+            "nm_short_unload": F.when(year % 17 != 0, F.concat(F.lit("W"), (part % 40).cast("string"))),
+            "rfx_activity": F.when(year % 23 != 0, F.col("rfx_activity")),
+        }
+    )
+
+
 def raw_order_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same orders as a raw file has them: other headers, blanks and several date and time forms."""
     o = otif_orders(spark, sf_dir)

@@ -498,12 +498,97 @@ FILTERED = {
 }
 
 
+#: The orders over more shops and tours, with missing keys.
+_WIDE = {
+    "date_dos": "CASE WHEN CAST(rfx_year AS INT) % 19 = 0 THEN NULL ELSE date_dos END",
+    "cnr_tour": "CASE WHEN CAST(rfx_year AS INT) % 13 = 0 THEN NULL ELSE cnr_tour || '-' || CAST(CAST(rfx_preparation AS INT) % 25 AS VARCHAR) END",
+    "nm_short_unload": "CASE WHEN CAST(rfx_year AS INT) % 17 = 0 THEN NULL ELSE 'W' || CAST(CAST(rfx_preparation AS INT) % 40 AS VARCHAR) END",
+    "rfx_activity": "CASE WHEN CAST(rfx_year AS INT) % 23 = 0 THEN NULL ELSE rfx_activity END",
+}
+
+
+def _wide(sql: str, needed: tuple[str, ...], named: tuple[str, ...]) -> str:
+    """The same query over these; orders without a ``needed`` key are left out, a missing ``named`` key is the text ``nan``."""
+    before, after = sql.split("o AS (\n", 1)
+    body, rest = after.split("  FROM t)", 1)
+    columns = {**_WIDE} | {c: f"coalesce({_WIDE[c]}, 'nan')" for c in named}
+    replaced = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    kept = " AND ".join([f"{c} IS NOT NULL" for c in needed] or ["true"])
+    return (
+        f"{before}o_all AS (\n{body}  FROM t),\no_wide AS (SELECT * REPLACE ({replaced}) FROM o_all),\n"
+        f"o AS (SELECT * FROM o_wide WHERE {kept}){rest}"
+    )
+
+
+def _in_order(sql: str, order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM ({sql})"
+
+
+_ROUTE = ("date_dos", "cnr_tour")
+_RCA_KEYS = ("date_dos", "cnr_tour", "rfx_activity", "nm_short_unload")
+#: Keys that must be there, keys whose absence is a group, and the order of the result, by query.
+WIDE = {
+    "stop_deliveries": ((), (), None),
+    "outside_stops": ((*_ROUTE, "nm_short_unload"), (), None),
+    "transport_stops": (_ROUTE, (), None),
+    "rca_stops": ((), _RCA_KEYS, None),
+    "rca_late_buckets": ((), _RCA_KEYS, None),
+    "window_summary": ((), ("cnr_tour",), None),
+    "waits_by_delivery": (_RCA_KEYS, (), None),
+    "routes_overview": (_ROUTE, (), "date_dos, cnr_tour"),
+    "outside_daily": ((*_ROUTE, "nm_short_unload"), (), "date_dos"),
+    "rca_customer_day": ((), _RCA_KEYS, "date_dos, total_wait_min DESC, rfx_activity"),
+    "rca_route_decomposition": (
+        (), _RCA_KEYS, "sum_late_depart_proxy_min DESC, sum_transit_delay_min DESC, date_dos, cnr_tour, rfx_activity"
+    ),
+    "transport_routes": (_ROUTE, (), "date_dos, delta_block_total_min DESC, cnr_tour"),
+    "route_options": ((), (), "cnr_tour"),
+    "window_daily_overview": ((), ("cnr_tour",), "date_dos"),
+    "window_by_channel": ((), ("cnr_tour",), "leveringen_totaal DESC, kanaal"),
+    "window_bottom_routes": ((), ("cnr_tour",), "jit_pct_lev_s2, date_dos, cnr_tour"),
+    "window_impact_stores": ((), ("cnr_tour",), "non_jit_leveringen DESC, non_jit_pct DESC, winkelpunt"),
+    "window_wait_by_store": ((), ("cnr_tour",), "late_orders DESC, avg_extra_wachttijd_min DESC NULLS LAST, nm_short_unload"),
+    "window_wait_buckets": ((), ("cnr_tour",), "aantal DESC, rootcause_bucket"),
+}
+
+
+def _of_one(plain: dict[str, str]) -> dict[str, str]:
+    """Details of one shop or route, with the place of each line."""
+    route = "date_dos = '1998-08-24' AND cnr_tour = '770002'"
+
+    def lines(name: str, order: str, condition: str) -> str:
+        head, columns = plain[name].rsplit("SELECT ", 1)
+        columns, source = columns.rsplit(" FROM ", 1)
+        table = source.split()[0]
+        return f"{head}SELECT {columns}, row_number() OVER (ORDER BY {order}) AS place FROM {table} WHERE {condition}"
+
+    return {
+        "waits_store_orders_of_store": lines(
+            "waits_store_orders", "w.date_dos, w.cnr_tour, w.planned_ts NULLS LAST, w.actual NULLS LAST, w.row_ord",
+            "rfx_activity = '4' AND nm_short_unload = 'ST3'",
+        ),
+        "window_route_detail_orders_of_route": lines("window_route_detail_orders", "nm_short_unload, actual NULLS LAST, row_ord", route),
+        "window_route_detail_deliveries_of_route": lines("window_route_detail_deliveries", "nm_short_unload, win_from, cnr_cust, win_until", route),
+        "route_detail_orders_of_route": lines("route_detail_orders", "f.planned_ts NULLS LAST, f.nm_short_unload NULLS LAST, f.row_ord", route),
+        "transport_sequence_of_route": lines("transport_sequence", "planned_pos", route),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {**_app(), **_waits(), **_outside(), **_rca(), **_transport(), **_window(0), **_kpi(0), **_causes()}
     for name, sql in {**_window(15), **_kpi(15)}.items():
         out[f"{name}_tol15"] = sql
     for name, (plain, condition) in FILTERED.items():
         out[name] = _where(out[plain], condition)
+    for name, (needed, named, order) in WIDE.items():
+        sql = _wide(out[name], needed, named)
+        out[f"{name}_wide"] = _in_order(sql, order) if order else sql
+    # A route's activity is that of its first order, also if that has none.
+    out["transport_routes_wide"] = out["transport_routes_wide"].replace(
+        "dp AS (SELECT date_dos, cnr_tour, arg_min(", "dp AS (SELECT date_dos, cnr_tour, arg_min_null("
+    )
+    out |= _of_one(out)
+    out["ingest_orders_from_files"] = out["ingest_orders"]
     # Without actual durations in the file, the wait is the time between arrival and departure.
     out["rca_stops_without_durations"] = out["rca_stops"].replace("dur_a AS wait_min", f"{_min_between('actual_ts', 'a_depart_ts')} AS wait_min")
     return out
