@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,14 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is made."""
+    """The folder all executors share. Only where the session names none and runs on this machine alone (tests), a local one is made."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="punctual-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _local_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@cache
+def _local_dir(application: str) -> str:
+    """One per session."""
+    return tempfile.mkdtemp(prefix="punctual-")
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -81,8 +81,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     return languages, np.log(seen / seen.sum(axis=0)).astype(np.float32)
 
 
+def _has_letter(text: str) -> bool:
+    """Numerals such as ``²`` or ``Ⅷ`` are word characters, but no letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def classify(text: str | None, languages: list[str], matrix: np.ndarray) -> tuple[str, float]:
-    if not languages or text is None or not _LETTER.search(text):
+    if not languages or text is None or not _has_letter(text):
         return UNKNOWN, 0.0
     total, n = np.zeros(len(languages)), 0
     for ids in _slices(text):

@@ -83,11 +83,18 @@ class _Ids:
         return self.flat[np.repeat(first - (ends - lengths), lengths) + np.arange(total)], ends
 
 
+def _plain(letters: str) -> bool:
+    """Letters of Latin that are one letter also in lower case."""
+    return max(letters) < "\u0250" and "\u0130" not in letters
+
+
 class PieceEncoder:
     """Ids of texts by a tokenizer that treats parts between blanks apart; distinct parts are encoded once.
 
-    A piece of letters with one mark behind it, as most are, is taken as two units, its letters in lower case
-    where that is plain ASCII; units of letters are encoded many at once, as each ends with an end-of-word id.
+    A piece of Latin letters with one mark behind it, as most are, is taken as two units, its letters in lower case
+    where that is plain ASCII; units of letters are encoded many at once, as each ends with an end-of-word id. Other
+    letters stay with their mark, as the tokenizer may make a letter and a combining sign of one. Strings of the tokenizer's
+    special tokens get the ids that the tokenizer gives them.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,7 +102,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
         self.sentence_ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -129,7 +135,7 @@ class PieceEncoder:
         parts, counts = [], []
         for piece in self.pieces.fresh:
             stem, mark = (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in MARKS else (piece, "")
-            if not stem.isalpha():
+            if not (stem.isalpha() and (stem.isascii() or _plain(stem))):
                 stem, mark = piece, ""
             parts.append(unit_of(stem.lower() if stem.isascii() and stem.isalpha() else stem))
             if mark:

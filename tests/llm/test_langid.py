@@ -1,3 +1,5 @@
+import numpy as np
+
 from punctual.llm import langid, queries
 from llm.data import SF
 
@@ -38,3 +40,8 @@ def test_odd_and_empty(odd, empty, documents):
     assert langid.predict(empty, model).count() == 0
     nothing = langid.train(empty)
     assert nothing[0] == [] and {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters():
+    model = (["en"], np.zeros((langid.BUCKETS, 1), np.float32))
+    assert [langid.classify(t, *model)[0] for t in ("½ ² ①", "Ⅷ _ 7", "Ⅷ a", "ª", "字")] == ["und", "und", "en", "en", "en"]
