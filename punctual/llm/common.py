@@ -45,6 +45,28 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Spark deletes shuffle files when their plan is collected as garbage, which may be much later; with this, at the end of a write.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_lean(df: DataFrame) -> DataFrame:
+    """``stored``, and the shuffle files that made it go at once. ``df`` itself should not be evaluated again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return stored(df)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
+def forget(table_: DataFrame) -> None:
+    """Deletes a stored table that nothing will read any more."""
+    context = table_.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(table_.inputFiles()[0].rsplit("/", 1)[0])
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.llm.common import stored
+from punctual.llm.common import stored_lean as stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from punctual.llm.common import stored
+from punctual.llm.common import forget, stored_lean as stored
 from punctual.llm.graph import components
 
 TREES, DEPTH = 10, 6
@@ -168,7 +168,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
     forest = nodes.select("node", "signature", F.inline(orders))
     ordered = forest.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    near = ordered.select("tree", "prefix", "node", "signature").mapInPandas(_neighbours, "a binary, b binary, share double")
+    near = ordered.select("tree", "prefix", "node", "signature").mapInPandas(_neighbours, "a long, b long, share double")
     return near.groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
@@ -201,7 +201,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = F.broadcast(pairs)
     first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    return stored(pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInPandas(_confirm(percent), "a binary, b binary"))
+    return stored(pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInPandas(_confirm(percent), "a long, b long"))
 
 
 def _best_of_each(pairs: DataFrame) -> DataFrame:
@@ -232,7 +232,8 @@ def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens = [np.frombuffer(x, np.int64) for x in part["rare"]]
             sizes = [len(t) for t in tokens]
             held = {c: np.repeat(part[c].to_numpy(), sizes) for c in ("node", "n_shingles")}
-            yield pd.DataFrame({"token": np.concatenate(tokens), "place": np.concatenate([np.arange(n) for n in sizes]), **held})
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            yield pd.DataFrame({"token": np.concatenate(tokens), "place": place, **held})
 
 
 def _groups(found: DataFrame) -> DataFrame:
@@ -240,9 +241,9 @@ def _groups(found: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, group: DataFrame) -> DataFrame:
-    """``rows`` with the group of their node, as a number."""
-    own = group.select("node", F.xxhash64("component").alias("own"))
-    return rows.join(own, "node", "left").withColumn("own", F.coalesce("own", F.xxhash64("node")))
+    """``rows`` with the group of their node."""
+    own = group.select("node", F.col("component").alias("own"))
+    return rows.join(own, "node", "left").withColumn("own", F.coalesce("own", "node"))
 
 
 def _possible(rows: DataFrame, percent: int) -> DataFrame:
@@ -265,8 +266,10 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
     spread = lambda rows, *more: rows.groupBy("token").agg(
         F.min("own").alias("low"), F.max("own").alias("high"), *more).where(F.col("low") != F.col("high")).drop("low", "high")
     shared = stored(spread(numbered.select("rare", "own").mapInPandas(_owned_tokens, "token long, own long")))
-    postings = numbered.select("node", "n_shingles", "rare").mapInPandas(_postings, "token long, place long, node binary, n_shingles long")
+    postings = numbered.select("node", "n_shingles", "rare").mapInPandas(_postings, "token long, place int, node long, n_shingles long")
     rows = stored(postings.join(shared, "token", "left_semi"))
+    forget(shared)
+    forget(numbered)
     likely = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     def confirm(pairs: DataFrame) -> DataFrame | None:
@@ -294,6 +297,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
         group = _groups(found)
     here = _numbered(rows, group)
     here = stored(here.join(spread(here), "token", "left_semi"))
+    forget(rows)
     near = here.alias("x").join(
         here.alias("y"),
         (F.col("x.token") == F.col("y.token")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.own") != F.col("y.own"))
@@ -328,11 +332,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             f"doc_id {id_type}, text_key binary, n_shingles long, node binary, signature binary, rare binary",
         )
     )
-    nodes = signed.where("node is not null").groupBy("node").agg(
+    nodes = signed.where("node is not null").groupBy(F.col("node").alias("digest")).agg(
         F.first("signature").alias("signature"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("low"),
         F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"),
     )
-    nodes = stored(nodes)
+    # From here on a node is a number: links and postings carry eight bytes for it.
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    known = stored(signed.select("doc_id", "text_key", "n_shingles", F.col("node").alias("digest")))
+    forget(signed)
     pairs = stored(candidates(nodes.select("node", "signature")))
 
     def sets_of(needed: DataFrame) -> DataFrame:
@@ -340,15 +347,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted = nodes.select("node", "text_key").join(needed, "node").select("text_key", "node")
         wanted = stored(wanted)
         texts = rows.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-        return stored(texts.join(wanted, "text_key").select("node", "text").mapInPandas(_set_rows(width), "node binary, items binary"))
+        return stored(texts.join(wanted, "text_key").select("node", "text").mapInPandas(_set_rows(width), "node long, items binary"))
 
     group = missing_links(sets_of, nodes, stored(links(sets_of, pairs, percent)), percent)
-    placed = nodes.select("node", "low").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    placed = stored(placed.select("node", "low", "group"))
+    placed = nodes.select("node", "digest", "low").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    placed = stored(placed.select("node", "digest", "low", "group"))
     lowest = placed.groupBy("group").agg(F.min("low").alias("component_low"))
-    labels = stored(placed.join(lowest, "group").select("node", "group", "component_low"))
+    labels = stored(placed.join(lowest, "group").select("digest", "node", "group", "component_low"))
+    forget(nodes)
     return (
-        signed.drop("signature", "rare").join(labels, "node", "left")
+        known.join(labels, "digest", "left").drop("digest")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_low")))
         .drop("component_low")
     )
@@ -358,7 +366,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """``docs`` with one document of each group: that of the smallest id, then text hash. Rows equal in both are one."""
     found = near_duplicates(docs, doc_id, text, width, percent)
     key = lambda i, t: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("-")).cast("binary"), t))
-    alone = F.coalesce(F.col("group"), F.col("text_key"))
+    alone = F.coalesce(F.col("group").cast("string").cast("binary"), F.col("text_key"))
     first = found.groupBy(alone.alias("g"), F.col("group").isNull().alias("empty"), F.when(F.col("group").isNull(), F.col("doc_id")).alias("i")).agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), "text_key")).alias("first")
     )
