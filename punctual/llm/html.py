@@ -48,8 +48,14 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A page or column "with" or "without" furniture is none itself.
+_ABOUT = re.compile(r"(?:with|without|no|not|has|hide|is)[-_]")
+#: Elements of running text: in an article their ids name places to link to.
+_TEXTUAL = "h1 h2 h3 h4 h5 h6 p li td th pre blockquote figure figcaption section".split()
+_NAME = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SILENT_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in SILENT}
+# The end tag of an option may be left out.
+_SILENT_END["option"] = re.compile(r"</option\b[^>]*>|(?=<(?:option|optgroup)\b|</(?:select|datalist|optgroup)\b)|(?=<[a-z/])", re.I)
 
 #: Classes and the weights they have before anything is learned: words in text, in links and in furniture; tags of
 #: blocks, of other elements, of furniture (edge) and of the article (main). Learned weights are in units of a
@@ -58,12 +64,17 @@ DEFAULT = {"word": 1.0, "link": -0.2, "furniture": -0.5, "block": -0.3, "inline"
 LOWEST = {"link": -1.0, "furniture": -1.0, "block": -1.0, "inline": -0.5, "edge": -2.0, "main": -40.0}
 
 
-def _is_furniture(name: str, attrs: str) -> bool:
+def _is_furniture(name: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is page furniture; ``inside`` an article, ids of running text do not tell."""
     if name in FURNITURE:
         return True
     if name in ("html", "body", *MAIN) or not attrs:
         return False
-    return any(NAMED.search("".join(found).lower()) for found in _NAME.findall(attrs))
+    for kind, *values in _NAME.findall(attrs):
+        if not (inside and kind.lower() == "id" and name in _TEXTUAL):
+            if any(NAMED.search(word) and not _ABOUT.match(word) for word in "".join(values).lower().split()):
+                return True
+    return False
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
@@ -107,7 +118,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, int, bool]]:
             if name in MAIN:
                 furniture, open_tags = 0, [(tag, False, around) for tag, _, around in open_tags]
             inside = any(tag in MAIN for tag, _, _ in open_tags)
-            marked = _is_furniture(name, found["attrs"]) and not (inside and name == "header")
+            marked = _is_furniture(name, found["attrs"], inside) and not (inside and name == "header")
             furniture += marked
             own = home
             if home >= 0 and not furniture and (name in MAIN or name in CONTAINERS):

@@ -84,3 +84,23 @@ def test_odd_and_empty(spark):
     assert rows[2]["text"] == "plain words only" and rows[3]["text"] == "unclosed bold italic" and rows[4]["text"] == "cut off"
     assert rows[7]["text"] == "&am A B ©" and rows[8]["n_chars"] == 249999 and rows[13]["text"] == "same\nsame"
     assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_names_that_are_about_furniture():
+    body = "<p>" + "some words of the text " * 20 + "</p>"
+    text = ("some words of the text " * 20).strip()
+    for name in ("content with-sidebar", "no-sidebar", "has_sidebar page", "without-comments"):
+        assert html.extract(f"<html><body><div class='{name}'>{body}</div></body></html>", html.DEFAULT) == text
+    assert html.extract(f"<html><body><div class='main'>{body}</div><div class='left sidebar'>{body}</div></body></html>", html.DEFAULT) == text
+    headed = f"<article><h2 id='search-methods'>Search methods</h2>{body}<p id=related>Last words</p></article>"
+    assert html.extract(headed, html.DEFAULT) == f"Search methods\n{text}\nLast words"
+    hidden = f"<article>{body}<div data-id='comments'><p>More words</p></div><div id='comments'><p>Not these</p></div></article>"
+    assert html.extract(hidden, html.DEFAULT) == f"{text}\nMore words"
+
+
+def test_options_without_end_tags():
+    body = "<p>" + "some words of the text " * 20 + "</p>"
+    text = ("some words of the text " * 20).strip()
+    for options in ("<option>one<option>two", "<option>one</option><option>two", "<option value=1>"):
+        page = f"<article>{body}<datalist>{options}</datalist><p>after it</p></article>"
+        assert html.extract(page, html.DEFAULT) == f"{text}\nafter it"
