@@ -40,6 +40,8 @@ NEIGHBOURS = 6
 SCREEN = 0.52
 #: Up to so many pairs (32 bytes each) are broadcast to the sets; more are joined by a shuffle.
 BROADCAST_PAIRS = 100_000
+#: Up to so many keys of texts (40 bytes each) are broadcast to the texts.
+BROADCAST_KEYS = 1_000_000
 #: Documents whose shingles are counted, and the count from which a shingle is not rare. They set cost, not results.
 SAMPLE, COMMON = 4_000, 3
 #: Rounds against the node of most links before all pairs that are left.
@@ -222,7 +224,9 @@ def links(sets_of_needed, pairs: DataFrame, percent: int) -> DataFrame:
         pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
         .where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
     )
-    return first.unionByName(confirmed(rest, sets, percent))
+    more = confirmed(rest, sets, percent)
+    forget(sets)
+    return first.unionByName(more)
 
 
 def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,6 +282,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
             return None
         sets = sets_of_needed(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         good = confirmed(pairs, sets, percent)
+        forget(sets)
         return None if good.isEmpty() else good
 
     def rows_of(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -291,6 +296,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
         hubs = spread(here, F.max(F.struct("degree", "node", "n_shingles", "own", "place")).alias("hub"))
         near = here.alias("x").join(hubs, "token").where((F.col("own") != F.col("hub.own")) & likely(F.col("x.n_shingles"), F.col("hub.n_shingles")))
         good = confirm(rows_of(near, "x", "hub"))
+        forget(here)
         if good is None:
             break
         found = stored(found.unionByName(good))
@@ -346,7 +352,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         """Full sets of the needed nodes: one text of each is shuffled, and only its set is kept."""
         wanted = nodes.select("node", "text_key").join(needed, "node").select("text_key", "node")
         wanted = stored(wanted)
-        texts = rows.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+        # The keys of few texts go to where the texts are read, so that others are not shuffled.
+        keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+        texts = rows.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
         return stored(texts.join(wanted, "text_key").select("node", "text").mapInPandas(_set_rows(width), "node long, items binary"))
 
     group = missing_links(sets_of, nodes, stored(links(sets_of, pairs, percent)), percent)
