@@ -116,17 +116,19 @@ def rca_customer_day(orders: DataFrame, **options) -> DataFrame:
     """Distinct shops and routes, total wait and total lateness per day and activity."""
     keys = ["date_dos", "rfx_activity"]
     stops = rca_stops(orders, **options)
-    # Counting by two kinds of distinct value at once would send every stop twice. Both roll-ups read the same
-    # combined stops, whose exchange is reused.
-    shops = stops.groupBy(*keys, "nm_short_unload").agg(F.sum("wait_min").alias("wait"), F.sum("late_min").alias("late"))
-    by_shop = shops.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("leverpunten"), total(F.col("wait")).alias("total_wait_min"), total(F.col("late")).alias("total_late_min")
-    )
-    by_route = stops.select(*keys, "cnr_tour").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("routes"))
+    sums = {"wait": "wait_min", "late": "late_min"}
+
+    def rolled(key: str, count: str, tag: str) -> DataFrame:
+        each = stops.groupBy(*keys, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        return each.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *[F.sum(n).alias(f"{n}_{tag}") for n in sums])
+
+    # Counting by two kinds of distinct value at once would send every stop twice. Both roll-ups read the same combined
+    # stops; that each carries both sums keeps their inputs equal, so that the exchange, and the scan below it, is reused.
+    both = rolled("nm_short_unload", "leverpunten", "s").join(rolled("cnr_tour", "routes", "r"), keys)
+    totals = {f"total_{n}_min": F.coalesce(f"{n}_s", f"{n}_r", F.lit(0.0)) for n in sums}
     # Keys are never missing here.
     return (
-        by_shop.join(by_route, keys)
-        .select(*keys, "leverpunten", "routes", "total_wait_min", "total_late_min")
+        both.select(*keys, "leverpunten", "routes", *[c.alias(n) for n, c in totals.items()])
         .orderBy("date_dos", F.desc("total_wait_min"), "rfx_activity")
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from punctual.functions.clocks import report_day, service_day, with_clocks_on
+from punctual.functions.clocks import is_typed, report_day, service_day, with_clocks_on
 from punctual.functions.lookups import customer_label
 from punctual.functions.measures import is_true, percent2, wait_bucket
 from punctual.functions.text import id_text, stored_number
@@ -225,7 +225,7 @@ def window_wait_by_store(orders: DataFrame, tolerance_minutes: int = 0, limit: i
             F.count_if(_is_delivery()).alias("deliveries"),
         )
     )
-    # The guard reads the same groups, whose exchange is reused.
+    # The guard is a second, narrow scan: one total over all shops would need them in one task.
     stores = groups.where(groups.agg(F.sum("deliveries")).scalar() > 0)
     return (
         stores.where("late_orders > 0")
@@ -238,9 +238,11 @@ def window_wait_by_store(orders: DataFrame, tolerance_minutes: int = 0, limit: i
 def _of_route(orders: DataFrame, date_dos: str | None, cnr_tour: str | None) -> DataFrame:
     """The route filter, on plain columns as ingest leaves them, so that it reaches the scan.
 
-    Days other than ISO text are still parsed, behind the plain test.
+    In a frame that ingest has not written, days other than ISO text are still parsed, behind the plain test.
     """
-    if date_dos:
+    if date_dos and is_typed(orders, "win_from"):
+        orders = orders.where(F.col("date_dos") == date_dos)
+    elif date_dos:
         iso = F.col("date_dos") == date_dos
         orders = orders.where(iso | (~F.col("date_dos").rlike(r"^\d{4}-\d{2}-\d{2}$") & (report_day("date_dos") == F.lit(date_dos).cast("date"))))
     if cnr_tour:
