@@ -10,6 +10,8 @@ one only those with long ones. A pair that a partition border separates in one o
 Candidates whose whole signatures agree in less than ``SCREEN`` of the hashes are dropped: at a similarity of
 0.8 that is more than five standard deviations below. The others are confirmed on the full sets, in two
 rounds: first each node's best candidate, then all pairs whose ends these links have not connected yet.
+Before sets are fetched for a pair, here and below, two bit maps are compared: a bit that only one of them has
+stands for at least one shingle that only one set has, so more such bits than a similar pair may have rule it out.
 Connected components of confirmed links are the groups, so copies are never expanded into pairs.
 
 What the forest leaves apart goes through an exact prefix filter, without caps: of two sets similar enough, the
@@ -46,9 +48,11 @@ BROADCAST_KEYS = 1_000_000
 SAMPLE, COMMON = 4_000, 3
 #: Rounds against the node of most links before all pairs that are left.
 HUB_ROUNDS = 2
+#: Bits of a node's map, as a power of two. They set cost, not results.
+MAP_BITS = 12
 
-_SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
-_TIMES, _PLUS = _SEEDS[0] | np.uint64(1), _SEEDS[1]
+_SEEDS = np.random.default_rng(20240229).integers(1, 2**32, (2, TREES * DEPTH, 1), dtype=np.uint32)
+_TIMES, _PLUS = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 
 
 class _WordHashes(dict):
@@ -81,10 +85,18 @@ def shingles(text: str | None, width: int, hashes: dict) -> np.ndarray:
 
 def signature(items: np.ndarray) -> np.ndarray:
     """The smallest value of each hash function over the set."""
-    low = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 2048):
-        low = np.minimum(low, (items[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0))
-    return (low >> np.uint64(32)).astype(">u4")
+    halves = (items >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(_TIMES), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(halves), 1024):
+        np.minimum(low, (halves[at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=low)
+    return low.astype(">u4")
+
+
+def bit_map(items: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, told by the last bits of its hash."""
+    bits = np.zeros(1 << MAP_BITS, np.bool_)
+    bits[(items & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
 
 
 def _sample_rows(width: int):
@@ -114,22 +126,28 @@ def rarest(items: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray
     if len(known):
         at = np.minimum(np.searchsorted(known, items), len(known) - 1)
         often = np.where(known[at] == items, counts[at], 0)
-    return items[np.lexsort((items, often))][: len(items) + percent * len(items) // -100 + 1]
+    # The set is sorted by hash already, and a stable order of small numbers takes linear time.
+    order = np.argsort(np.minimum(often, 2**16 - 1).astype(np.uint16), kind="stable")
+    return items[order[: len(items) + percent * len(items) // -100 + 1]]
 
 
 def _signatures(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
+    def of(text: str, hashes: dict) -> tuple:
+        own = shingles(text, width, hashes)
+        if not len(own):
+            return 0, None, None, None, None
+        node = xxhash.xxh3_128_digest(own.tobytes())
+        return len(own), node, signature(own).tobytes(), bit_map(own).tobytes(), rarest(own, percent, common).tobytes()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at : at + 2048]
-                out = []
-                for text in part["text"]:
-                    own = shingles(text, width, hashes)
-                    node = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
-                    rare = rarest(own, percent, common).tobytes() if len(own) else None
-                    out.append((len(own), node, signature(own).tobytes() if len(own) else None, rare))
-                frame = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "rare"])
+                # Copies side by side are cut once.
+                known = {text: of(text, hashes) for text in part["text"].unique()}
+                out = [known[text] for text in part["text"]]
+                frame = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "bits", "rare"])
                 yield part[["doc_id", "text_key"]].reset_index(drop=True).join(frame)
 
     return run
@@ -206,6 +224,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInPandas(_confirm(percent), "a long, b long"))
 
 
+def _fits(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bits_a", "bits_b"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            sizes = (batch["size_a"] + batch["size_b"]).to_numpy()
+            yield batch.loc[apart * (100 + percent) <= sizes * (100 - percent), ["a", "b", "share"]]
+
+    return run
+
+
+def fitting(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, share) that the bit maps of their nodes (node, n_shingles, bits) do not rule out.
+
+    Two similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
+    """
+    of = lambda end: maps.select(F.col("node").alias(end), F.col("n_shingles").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
+    return stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_fits(percent), "a long, b long, share double"))
+
+
 def _best_of_each(pairs: DataFrame) -> DataFrame:
     """Each node's pair with the largest share."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "share", "a", "b")
@@ -263,10 +303,14 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
     return sums.where(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
 
 
-def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Components of ``found`` and of further links, so that no similar pair of ``nodes`` (node, n_shingles, rare) is parted."""
+def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Components of ``found`` and of further links, so that no similar pair of ``nodes`` (node, n_shingles, rare) is parted.
+
+    ``nodes`` is deleted once its shingles are dealt out.
+    """
     group = _groups(found)
     numbered = stored(_numbered(nodes.select("node", "n_shingles", "rare"), group))
+    forget(nodes)
     spread = lambda rows, *more: rows.groupBy("token").agg(
         F.min("own").alias("low"), F.max("own").alias("high"), *more).where(F.col("low") != F.col("high")).drop("low", "high")
     shared = stored(spread(numbered.select("rare", "own").mapInPandas(_owned_tokens, "token long, own long")))
@@ -276,12 +320,16 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
     forget(numbered)
     likely = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    def confirm(pairs: DataFrame) -> DataFrame | None:
-        pairs = stored(_possible(pairs, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def confirm(pairs: DataFrame, read: DataFrame) -> DataFrame | None:
+        """Links among the pairs; ``read``, of which these are made, is deleted before sets are fetched."""
+        pairs = _possible(pairs, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = stored(pairs.withColumn("share", F.lit(None).cast("double")))
+        forget(read)
+        pairs = fitting(pairs, maps, percent)
         if pairs.isEmpty():
             return None
         sets = sets_of_needed(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        good = confirmed(pairs, sets, percent)
+        good = confirmed(pairs.select("a", "b"), sets, percent)
         forget(sets)
         return None if good.isEmpty() else good
 
@@ -295,8 +343,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
         here = stored(here)
         hubs = spread(here, F.max(F.struct("degree", "node", "n_shingles", "own", "place")).alias("hub"))
         near = here.alias("x").join(hubs, "token").where((F.col("own") != F.col("hub.own")) & likely(F.col("x.n_shingles"), F.col("hub.n_shingles")))
-        good = confirm(rows_of(near, "x", "hub"))
-        forget(here)
+        good = confirm(rows_of(near, "x", "hub"), here)
         if good is None:
             break
         found = stored(found.unionByName(good))
@@ -309,7 +356,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, found: DataFrame, percent: i
         (F.col("x.token") == F.col("y.token")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.own") != F.col("y.own"))
         & likely(F.col("x.n_shingles"), F.col("y.n_shingles")),
     )
-    good = confirm(rows_of(near, "x", "y"))
+    good = confirm(rows_of(near, "x", "y"), here)
     return group if good is None else _groups(found.unionByName(good))
 
 
@@ -335,34 +382,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = stored(
         rows.mapInPandas(
             _signatures(width, percent, common_shingles(rows, width)),
-            f"doc_id {id_type}, text_key binary, n_shingles long, node binary, signature binary, rare binary",
+            f"doc_id {id_type}, text_key binary, n_shingles long, node binary, signature binary, bits binary, rare binary",
         )
     )
     nodes = signed.where("node is not null").groupBy(F.col("node").alias("digest")).agg(
         F.first("signature").alias("signature"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("low"),
-        F.first("n_shingles").alias("n_shingles"), F.first("rare").alias("rare"),
+        F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("rare").alias("rare"),
     )
     # From here on a node is a number: links and postings carry eight bytes for it.
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     known = stored(signed.select("doc_id", "text_key", "n_shingles", F.col("node").alias("digest")))
     forget(signed)
-    pairs = stored(candidates(nodes.select("node", "signature")))
+    # Few columns are needed to the end; the whole rows go earlier.
+    heads = stored(nodes.select("node", "digest", "text_key", "low", "n_shingles", "bits"))
+    pairs = fitting(stored(candidates(nodes.select("node", "signature"))), heads, percent)
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """Full sets of the needed nodes: one text of each is shuffled, and only its set is kept."""
-        wanted = nodes.select("node", "text_key").join(needed, "node").select("text_key", "node")
+        wanted = heads.select("node", "text_key").join(needed, "node").select("text_key", "node")
         wanted = stored(wanted)
         # The keys of few texts go to where the texts are read, so that others are not shuffled.
         keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
         texts = rows.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
         return stored(texts.join(wanted, "text_key").select("node", "text").mapInPandas(_set_rows(width), "node long, items binary"))
 
-    group = missing_links(sets_of, nodes, stored(links(sets_of, pairs, percent)), percent)
-    placed = nodes.select("node", "digest", "low").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    group = missing_links(sets_of, nodes, heads, stored(links(sets_of, pairs, percent)), percent)
+    placed = heads.select("node", "digest", "low").join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
     placed = stored(placed.select("node", "digest", "low", "group"))
     lowest = placed.groupBy("group").agg(F.min("low").alias("component_low"))
     labels = stored(placed.join(lowest, "group").select("digest", "node", "group", "component_low"))
-    forget(nodes)
+    forget(heads)
     return (
         known.join(labels, "digest", "left").drop("digest")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_low")))

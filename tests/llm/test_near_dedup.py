@@ -97,3 +97,23 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 300, 301: 300, 302: 300}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bit_maps_rule_out_no_similar_pair(spark):
+    """Sets at and next to the threshold, with few and with very many shingles."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    maps, pairs, want = [], [], set()
+    for n in (9, 45, 900, 9000):
+        for apart in (0, n // 9 - 1, n // 9, n // 9 + 1, n // 2):
+            both, x, y = (rng.integers(0, 2**63, k, dtype=np.uint64) for k in (n - apart, apart, apart))
+            a, b = len(maps) + 1, len(maps)
+            maps += [(node, n, bytearray(near_dedup.bit_map(np.concatenate([both, own])))) for node, own in ((b, x), (a, y))]
+            pairs.append((a, b, 0.9))
+            if 100 * (n - apart) >= 80 * (n + apart):
+                want.add((a, b))
+    pairs = spark.createDataFrame(pairs, "a long, b long, share double")
+    got = near_dedup.fitting(pairs, spark.createDataFrame(maps, "node long, n_shingles long, bits binary"), 80).collect()
+    kept = {(r["a"], r["b"]) for r in got}
+    assert want <= kept and len(kept) < 20
