@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from punctual.llm.common import stored
 
+#: Up to so many unseen blobs (about 100 bytes each) are broadcast to the texts; for more, texts are shuffled by blob.
+BROADCAST_BLOBS = 200_000
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 LEDGER = f"blob string, rule string, spans {SPANS}"
 
@@ -98,8 +100,17 @@ def find_spans(text: Column, rule: Rule, number: int) -> Column:
 
 
 def scan_unseen(versions: DataFrame, text: str, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: one per unseen pair of blob and rule version."""
+    """New ledger rows: one per unseen pair of blob and rule version.
+
+    Of the texts, only those with an unseen pair are shuffled; of the others only the hashes are compared with the ledger.
+    """
     blobs = versions.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
+    if ledger is not None:
+        ids = [rule.id for rule in rules]
+        complete = ledger.where(F.col("rule").isin(ids)).groupBy("blob").agg(F.count_distinct("rule").alias("n")).where(F.col("n") == len(set(ids)))
+        unseen = stored(blobs.select("blob").distinct().join(complete, "blob", "left_anti"))
+        few = unseen.count() <= BROADCAST_BLOBS
+        blobs = blobs.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))

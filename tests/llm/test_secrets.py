@@ -67,3 +67,20 @@ def test_odd_and_empty(odd, empty):
     found = secrets.path_findings(odd, "text", secrets.scan_unseen(odd, "text", None))
     assert found.count() == odd.count() and found.where("size(spans) > 0").count() == 0
     assert secrets.path_findings(empty, "text", secrets.scan_unseen(empty, "text", None)).count() == 0
+
+
+def test_increment_moves_unseen_texts_only(spark, frame):
+    """Blobs with all rule versions in the ledger are dropped where they are read; half-scanned ones are completed."""
+    first = frame([(k, f"token = abcdefghijkl{k:04d}") for k in range(20)])
+    ledger = secrets.stored(secrets.scan_unseen(first, "text", None))
+    some = ledger.where(~((secrets.F.col("rule") == secrets.RULES[0].id) & (secrets.F.col("blob") == secrets.blob_id(secrets.F.lit("token = abcdefghijkl0003")))))
+    second = frame([(k, f"token = abcdefghijkl{k:04d}") for k in range(25)] * 2 + [(None, None)])
+    fresh = secrets.scan_unseen(second, "text", some)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [blob" in plan and "LeftSemi" in plan
+    rows = [(r["blob"], r["rule"]) for r in fresh.collect()]
+    # Five new texts and the empty one in full, and the missing pair of an old one.
+    assert len(rows) == len(set(rows)) == 6 * len(secrets.RULES) + 1
+    whole = secrets.stored(secrets.scan_unseen(second, "text", None))
+    both = some.unionByName(fresh)
+    assert sorted(map(str, both.collect())) == sorted(map(str, whole.collect()))
