@@ -6,7 +6,9 @@ shard from all columns. Pass 2 applies Fisher-Yates (Spark's ``shuffle``) to eac
 A record's slot is its place in its bucket plus the records of the shard's earlier buckets.
 
 Nothing but one bucket is ever held together, and the number of buckets follows the bytes. Records with one
-key but different content spread over the buckets of their shard.
+key but different content spread over the buckets of their shard. So do records that are equal in all columns, if
+together they are more than a bucket: a first count finds them, and a hash of their position in the input
+deals them out. As they are equal, the result does not depend on these positions beyond the lengths of buckets.
 
 Null keys form one key; null or empty texts are ordinary records; records that are equal in all columns are
 kept, each with its own slot; an empty table gives an empty result; further columns travel along (the names
@@ -23,6 +25,8 @@ from punctual.llm.common import stored
 
 #: Up to so many buckets (24 bytes each) the table of their first slots is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_BUCKETS = 200_000
+#: What a record takes in a bucket besides its ``size``.
+ROW_BYTES = 64
 ADDED = ["shard", "grown_shard", "bucket", "slot"]
 
 
@@ -32,14 +36,33 @@ def highest_weight(key: Column, shards: int, seed: int) -> Column:
     return F.greatest(*weights)["s"] if shards > 1 else F.lit(0)
 
 
-def scatter(records: DataFrame, key: str, shards: int, buckets: int, seed: int) -> DataFrame:
+def large_groups(records: DataFrame, size: Column, bucket_bytes: int) -> DataFrame:
+    """``content`` (hash) of records that are equal in all columns and more than one bucket, with the ``parts`` to deal them into."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in records.columns])
+    weight = F.sum(size.cast("long") + ROW_BYTES)
+    found = records.groupBy(content.alias("content")).agg(weight.alias("weight")).where(F.col("weight") > bucket_bytes)
+    return found.select("content", F.ceil(F.col("weight") / bucket_bytes).alias("parts"))
+
+
+def scatter(records: DataFrame, key: str, shards: int, buckets: int, seed: int, large: DataFrame | None = None) -> DataFrame:
     """Pass 1: shard, shard after growth by one, and bucket of every ``record``."""
     own, content = F.col(f"`{key}`"), [F.col(f"`{c}`") for c in records.columns]
-    return records.select(
-        F.struct(*content).alias("record"),
+    mixed = F.xxhash64(F.lit(seed + 1), *content)
+    rows = records.select(
+        F.struct(*content).alias("record"), own.alias("own"), mixed.alias("mixed"),
+        *([F.xxhash64(*content).alias("content"), F.monotonically_increasing_id().alias("at")] if large is not None else []),
+    )
+    mixed = F.col("mixed")
+    if large is not None:
+        rows = rows.join(large, "content", "left")
+        part = F.pmod(F.xxhash64(F.lit(seed + 3), F.col("at")), F.col("parts"))
+        mixed = F.when(F.col("parts").isNull(), mixed).otherwise(F.xxhash64(mixed, part))
+    own = F.col("own")
+    return rows.select(
+        "record",
         highest_weight(own, shards, seed).alias("shard"),
         highest_weight(own, shards + 1, seed).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), *content), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(mixed, F.lit(buckets)).cast("int").alias("bucket"),
     )
 
 
@@ -71,7 +94,11 @@ def shard_records(
     records = records.drop(*ADDED)
     total = records.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / shards / bucket_bytes))
-    written = stored(shuffle_buckets(scatter(records, key, shards, buckets, seed), seed))
+    # There are at most as many large groups as buckets' worth of data.
+    large = stored(large_groups(records, size, bucket_bytes))
+    n_large = large.count()
+    large = None if not n_large else F.broadcast(large) if n_large <= BROADCAST_BUCKETS else large
+    written = stored(shuffle_buckets(scatter(records, key, shards, buckets, seed, large), seed))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         written.groupBy("shard", "bucket").count()

@@ -46,3 +46,25 @@ def test_empty(empty):
 def test_written_shards(documents, tmp_path, spark):
     sharding.write_shards(sharding.shard_records(documents, "doc_id", size()), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == documents.count()
+
+
+def test_equal_rows_spread_over_buckets(frame):
+    """A third of all rows are equal in every column, and as many have neither id nor text."""
+    docs = frame([(7, "the same text again and again")] * 3000 + [(None, None)] * 3000 + [(k, f"text {k}") for k in range(3000)])
+    rows = sharding.shard_records(docs, "doc_id", size(), shards=2, bucket_bytes=4000).select("doc_id", "shard", "bucket", "slot", "grown_shard").collect()
+    assert len(rows) == 9000
+    shards, of_key, buckets, slots = {}, defaultdict(set), defaultdict(set), defaultdict(list)
+    for r in rows:
+        shards.setdefault(r["doc_id"], set()).add((r["shard"], r["grown_shard"]))
+        of_key[r["doc_id"]].add(r["shard"])
+        buckets[r["doc_id"]].add((r["shard"], r["bucket"]))
+        slots[r["shard"]].append(r["slot"])
+    assert all(len(s) == 1 for s in shards.values())
+    assert len(buckets[7]) > 3 and len(buckets[None]) > 3
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_large_groups_are_exact(frame):
+    docs = frame([(7, "x" * 100)] * 50 + [(8, "x" * 100)] * 5 + [(9, None)])
+    found = sharding.large_groups(docs, size(), 1000).collect()
+    assert [r["parts"] for r in found] == [-(-50 * (101 + sharding.ROW_BYTES) // 1000)]
