@@ -11,11 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from punctual.functions.clocks import minute_clock
 from punctual.sources.positions import with_position
 
-# Minute of the day as the text 1HHMM, cut into HH:MM below.
-_DIGITS = "cast({0} + div({0}, 60) * 40 + 10000 AS string)"
-_CLOCK = "concat(substring({0}, 2, 2), ':', substring({0}, 4, 2))"
 
 _ORDERS = {
     "date_dos": "cast(d AS string)",
@@ -25,14 +23,14 @@ _ORDERS = {
     "rfx_year": "cast(ok % 100 AS string)",
     "rfx_preparation": "cast(pk % 100 AS string)",
     "nm_short_unload": "if(ok % 61 = 0, NULL, concat('ST', cast(pk % 8 AS string)))",
-    "win_from": _CLOCK.format("opens"),
-    "win_until": f"if(ok % 53 = 0, NULL, {_CLOCK.format('closes')})",
-    "planned": f"if(ok % 59 = 0, NULL, {_CLOCK.format('due')})",
+    "win_from": minute_clock("opens_min"),
+    "win_until": f"if(ok % 53 = 0, NULL, {minute_clock('closes_min')})",
+    "planned": f"if(ok % 59 = 0, NULL, {minute_clock('due_min')})",
     "p_depart": "if(ok % 47 = 0, NULL, '05:30')",
     "duration_p": "cast(10 + pk % 25 AS string)",
     "actual": f"CASE WHEN ok % 41 = 0 THEN NULL WHEN ok % 43 = 0 THEN 'n/a' WHEN ok % 67 = 0 THEN ''"
-    f" ELSE {_CLOCK.format('arrives')} END",
-    "a_depart": f"if(ok % 37 = 0, NULL, {_CLOCK.format('leaves')})",
+    f" ELSE {minute_clock('arrives_min')} END",
+    "a_depart": f"if(ok % 37 = 0, NULL, {minute_clock('leaves_min')})",
     "duration_a": "CASE WHEN ok % 31 = 0 THEN NULL WHEN ok % 29 = 0 THEN 'x' ELSE cast(5 + q AS string) END",
     "site": "concat('SITE', cast(sk % 5 AS string))",
     "reason": "element_at(array('late_dispatch', 'early_dispatch', 'last_minute_change', 'wms_tms_mismatch',"
@@ -53,8 +51,8 @@ _ORDERS = {
 def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders table, plus ``site``, ``reason`` and the line key for the delivery table.
 
-    Minutes, digits and texts are made one after the other, so that no generated method grows too
-    large to be compiled.
+    Minutes and texts are made one after the other, so that no generated method grows too large to be compiled.
+    A clock is looked up by its minute.
     """
     line = with_position(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).selectExpr(
         "cast(l_orderkey AS bigint) ok", "cast(l_partkey AS bigint) pk", "cast(l_suppkey AS bigint) sk",
@@ -67,7 +65,6 @@ def otif_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     line = line.selectExpr("*", "360 + pk % 8 * 75 AS base")
     line = line.selectExpr("*", *[f"cast({sql} AS int) AS {name}_min" for name, sql in minutes.items()])
-    line = line.selectExpr("*", *[f"{_DIGITS.format(f'{name}_min')} AS {name}" for name in minutes])
     return line.selectExpr(*[f"{sql} AS {name}" for name, sql in _ORDERS.items()])
 
 

@@ -21,6 +21,10 @@ _MON_D_Y = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})([ T].*)?$"
 _CLOCK_END = r"^(?:[0-9A-Za-z.,/ -]*\d[ T])?(\d{1,2}):(\d{2})(?::(\d{1,2})(?:\.\d+)?)? ?(?:([AaPp])\.?[Mm]\.?)?$"
 _INSTANT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
 _ZONED = r":\d{1,2}(\.\d+)? ?(Z|[+-]\d{2}:?\d{2})$"
+# The forms that most texts have, told by one small pattern.
+_PLAIN_CLOCK = r"^(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?$"
+_PLAIN_DAY_CLOCK = r"^\d{4}-\d{2}-\d{2}[ T](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?$"
+_PLAIN_DAY = r"^\d{4}-\d{2}-\d{2}[ T].*$"
 
 
 def clock_sql(day: str, clock: str) -> str:
@@ -70,10 +74,18 @@ def with_clocks_on(df: DataFrame, day: str, *names: str) -> DataFrame:
     return df.withColumns({f"{n}_ts": clock_ts(day, strip_sql(n)) for n in names})
 
 
+#: ``HH:MM`` of each minute of a day, a literal once the plan is optimised: looking one up costs less than making it of digits.
+_DAY_CLOCKS = f"split('{','.join(f'{m // 60:02}:{m % 60:02}' for m in range(1440))}', ',')"
+
+
+def minute_clock(minute: str) -> str:
+    """``HH:MM`` of an INT minute of the day, else NULL."""
+    return f"get({_DAY_CLOCKS}, {minute})"
+
+
 def _shown_seconds(seconds: str) -> str:
     """``HH:MM``."""
-    digits = f"cast(10000 + {seconds} DIV 3600 * 100 + {seconds} DIV 60 % 60 AS string)"
-    return f"concat(substring({digits}, 2, 2), ':', substring({digits}, 4, 2))"
+    return minute_clock(f"cast({seconds} / 60 AS int)")
 
 
 def _shown_odd(text: str) -> str:
@@ -109,7 +121,7 @@ def with_texts(df: DataFrame, *names: str) -> DataFrame:
 
 def _with_decoded(df: DataFrame, *names: str) -> DataFrame:
     """Codes as texts for display, blank if missing."""
-    odd = {n: _shown_odd(_odd_text(n)) for n in names}
+    odd = {n: _let(_odd_text(n), 't', _shown_odd('t')) for n in names}
     return df.withColumns({n: F.expr(f"CASE WHEN {n} >= 0 THEN {_shown_seconds(n)} WHEN {n} < 0 THEN {odd[n]} ELSE '' END") for n in names})
 
 
@@ -118,14 +130,31 @@ def minutes(start: str, end: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, {start}, {end}) / 60.0D")
 
 
-def _time_sql(text: str) -> str:
-    """Time of day ``HH:mm`` of a clock, with or without AM or PM, or of a day with a clock behind it."""
-    part = lambda k: f"regexp_extract({text}, r'{_CLOCK_END}', {k})"
-    half, hour = f"lower({part(4)})", f"try_cast({part(1)} AS int)"
+def _clock_parts(text: str) -> str:
+    """Hour, minute, second and half of the day of a text that ends in a clock, NULL if it does not."""
+    # A pattern's end is also before a last line end, of which Unicode has more than are stripped.
+    return f"split(if({text} RLIKE r'{_CLOCK_END}', regexp_replace({text}, r'{_CLOCK_END[:-1]}\\v?$', '$1:$2:$3:$4'), NULL), ':')"
+
+
+def _plain_time(text: str) -> str:
+    """``HH:MM`` of a text in one of the plain forms, else NULL."""
+    return (
+        f"CASE WHEN {text} RLIKE r'{_PLAIN_CLOCK}' THEN if(substring({text}, 2, 1) = ':', concat('0', left({text}, 4)), left({text}, 5))"
+        f" WHEN {text} RLIKE r'{_PLAIN_DAY_CLOCK}' AND try_cast(left({text}, 10) AS date) IS NOT NULL THEN substring({text}, 12, 5) END"
+    )
+
+
+def _time_sql(text: str, parts: str) -> str:
+    """Time of day ``HH:mm`` of a clock, with or without AM or PM, or of a day with a clock behind it.
+
+    ``parts``: the column with its ``_clock_parts``.
+    """
+    half, hour = f"lower({parts}[3])", f"try_cast({parts}[0] AS int)"
     hour24 = f"CASE {half} WHEN '' THEN {hour} ELSE if({hour} BETWEEN 1 AND 12, {hour} % 12 + if({half} = 'p', 12, 0), NULL) END"
-    time = f"try_cast(concat('1970-01-01 ', {hour24}, ':', {part(2)}, ':', if({part(3)} = '', '0', {part(3)})) AS timestamp_ntz)"
+    time = f"try_cast(concat('1970-01-01 ', {hour24}, ':', {parts}[1], ':', if({parts}[2] = '', '0', {parts}[2])) AS timestamp_ntz)"
     iso = f"try_cast(regexp_extract({text}, r'{_ISO_DAY_CLOCK}', 0) AS timestamp_ntz)"
-    return f"substring(cast(if({text} LIKE '____-%', {iso}, {time}) AS string), 12, 5)"
+    shown = lambda t: minute_clock(f"cast(hour({t}) * 60 + minute({t}) AS int)")
+    return f"if({text} LIKE '____-%', {shown(iso)}, {shown(time)})"
 
 
 def with_hhmm(df: DataFrame, *names: str) -> DataFrame:
@@ -136,31 +165,47 @@ def with_hhmm(df: DataFrame, *names: str) -> DataFrame:
     if all(df.schema[n].dataType.typeName() == "long" for n in names):
         return _with_decoded(df, *names)
     if is_typed(df, *names):
-        shown = {n: F.expr(f"CASE WHEN {n}_sec IS NOT NULL THEN {_shown_seconds(f'{n}_sec')} ELSE {_shown_odd(strip_sql(n))} END") for n in names}
+        shown = {n: F.expr(f"CASE WHEN {n}_sec IS NOT NULL THEN {_shown_seconds(f'{n}_sec')} ELSE {_let(strip_sql(n), 't', _shown_odd('t'))} END") for n in names}
         return df.withColumns(shown)
-    return df.withColumns({n: F.expr(f"coalesce({strip_sql(n)}, '')") for n in names}).withColumns(
+    df = _with_times(df.withColumns({n: F.expr(f"coalesce({strip_sql(n)}, '')") for n in names}), *names)
+    return df.withColumns(
         {
             n: F.expr(
                 f"CASE WHEN lower({n}) IN ('', 'nan', 'none') THEN ''"
-                f" WHEN {n} LIKE '__:__%' THEN left({n}, 5) ELSE coalesce({_time_sql(n)}, {n}) END"
+                f" WHEN {n} LIKE '__:__%' THEN left({n}, 5) ELSE coalesce({n}__time, {n}) END"
             )
             for n in names
         }
-    )
+    ).drop(*[f"{n}__time" for n in names])
+
+
+def _with_times(df: DataFrame, *names: str) -> DataFrame:
+    """Adds ``<name>__time``, the time of day of each of these stripped texts.
+
+    Texts in a plain form, most of them, meet one or two small patterns; the others are cut into parts once. One
+    function serves all columns: written out for each, they make a method that the JVM does not compile.
+    """
+    time = f"coalesce({_plain_time('t')}, {_let(_clock_parts('t'), 'p', _time_sql('t', 'p'))})"
+    df = df.withColumn("__times", F.expr(f"transform(array({', '.join(names)}), t -> {time})"))
+    return df.withColumns({f"{n}__time": F.expr(f"__times[{k}]") for k, n in enumerate(names)}).drop("__times")
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def with_clock_text(df: DataFrame, *names: str) -> DataFrame:
     """Any accepted time of day as ``HH:MM``, else NULL."""
-    return df.withColumns({n: F.expr(strip_sql(n)) for n in names}).withColumns(
-        {n: F.expr(_time_sql(n)) for n in names}
-    )
+    df = _with_times(df.withColumns({n: F.expr(strip_sql(n)) for n in names}), *names)
+    return df.withColumns({n: F.col(f"{n}__time") for n in names}).drop(*[f"{n}__time" for n in names])
 
 
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def _day(c: str, *formats: tuple[str, str]) -> Column:
-    t = strip_sql(c)
+    t = "t"
     tries = [
         f"try_cast(CASE WHEN {t} RLIKE r'{form}' THEN regexp_replace({t}, r'{form}', '{iso}') END AS date)"
         for form, iso in formats
@@ -170,9 +215,10 @@ def _day(c: str, *formats: tuple[str, str]) -> Column:
         place = f"locate(initcap({part(month)}), '{_MONTHS}')"
         number = f"if({t} RLIKE r'{form}' AND {place} % 3 = 1, cast(({place} + 2) DIV 3 AS string), NULL)"
         tries.append(f"try_cast(concat({part(3)}, '-', {number}, '-', {part(day)}) AS date)")
-    # Most days are plain ISO days; the other forms are tried only where a day is not.
+    # Most days are plain ISO days, some with a clock behind them; the other forms are tried only where a day is neither.
     iso = f"length({t}) = 10 AND substring({t}, 5, 1) = '-' AND substring({t}, 8, 1) = '-'"
-    return F.expr(f"CASE WHEN {iso} AND try_cast({t} AS date) IS NOT NULL THEN try_cast({t} AS date) ELSE coalesce({', '.join(tries)}) END")
+    head = f"CASE WHEN {iso} THEN {t} WHEN {t} RLIKE r'{_PLAIN_DAY}' THEN left({t}, 10) END"
+    return F.expr(_let(strip_sql(c), t, f"coalesce(try_cast({head} AS date), {', '.join(tries)})"))
 
 
 def day_text(c: str) -> Column:

@@ -1,5 +1,8 @@
 """The numbers that ingest reads out of clock and duration texts, and reports on them against reports on the texts."""
 
+import re
+
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +58,25 @@ def test_ingest_writes_the_numbers(spark, tmp_path):
     assert [(r.planned, r.planned_sec, r.actual_sec, r.p_depart_sec, r.duration_a_num, r.duration_p_num) for r in rows] == [
         ("08:05", 29100, 66600, None, 12.5, None), (None, None, 86340, 19800, None, 7.0)
     ]
+
+
+_METHOD = re.compile(r"maxMethodCodeSize:(\d+)")
+
+
+@pytest.mark.parametrize("name", ["ingest_orders", "route_detail_orders", "waits_store_orders"])
+def test_methods_are_compiled(spark, capsys, name):
+    """The JVM interprets a method of more than 8,000 bytes for ever."""
+    entry.queries()[name](spark, "/root/testdata/sf0.001").explain("codegen")
+    sizes = [int(m) for m in _METHOD.findall(capsys.readouterr().out)]
+    assert all(size < 8000 for size in sizes)
+
+
+def test_clocks_of_all_forms(spark):
+    forms = {
+        "5:07": "05:07", "05:07": "05:07", "23:59:59": "23:59", "24:00": None, "12:60": None, "05:07:60": None, "5:07 pm": "17:07", "12:05 AM": "00:05",
+        "13:05 PM": None, "1900-01-01 06:10:00": "06:10", "1900-02-30 06:10:00": None, "2024-1-2T6:10": "06:10", "01/02/2024 05:30": "05:30",
+        "2 Jan 2024 5:30 p.m.": "17:30", "05:07:08.25": "05:07", "5:7": None, "n/a": None, "": None, "5:30 ": "05:30", "2024-01-02": None,
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(forms)], "k int, t string")
+    got = [r["t"] for r in clocks.with_clock_text(rows, "t").orderBy("k").collect()]
+    assert got == list(forms.values())
