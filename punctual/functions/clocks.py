@@ -19,6 +19,7 @@ _D_MON_Y = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})([ T].*)?$"
 _MON_D_Y = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})([ T].*)?$"
 # A clock at the end of a text, alone or behind a day of any form, with or without AM or PM.
 _CLOCK_END = r"^(?:[0-9A-Za-z.,/ -]*\d[ T])?(\d{1,2}):(\d{2})(?::(\d{1,2})(?:\.\d+)?)? ?(?:([AaPp])\.?[Mm]\.?)?$"
+_PLAIN_INSTANT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2})?$"
 _INSTANT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
 _ZONED = r":\d{1,2}(\.\d+)? ?(Z|[+-]\d{2}:?\d{2})$"
 # The forms that most texts have, told by one small pattern.
@@ -250,11 +251,16 @@ def utc_instant(df: DataFrame, name: str) -> Column:
         return c
     if kind == "timestamp":
         return _utc(c)
-    t = c.cast("string")
+    # A function of the text: written out for each column, it makes a method that the JVM does not compile.
+    return F.transform(F.array(c.cast("string")), _instant_of_text)[0]
+
+
+def _instant_of_text(t: Column) -> Column:
     # A cast wants seconds before the zone and a colon inside it.
     zoned = F.regexp_replace(t, r"[ T](\d{1,2}:\d{1,2}) ?([Z+-].*)$", " $1:00$2")
     zoned = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
-    return F.when(
+    # Most texts name no zone and have all their digits, which one small pattern tells.
+    return F.when(t.rlike(_PLAIN_INSTANT), t.try_cast("timestamp_ntz")).when(
         t.rlike(_INSTANT), F.when(t.rlike(_ZONED), _utc(zoned)).otherwise(t.try_cast("timestamp_ntz"))
     )
 

@@ -63,7 +63,7 @@ def test_ingest_writes_the_numbers(spark, tmp_path):
 _METHOD = re.compile(r"maxMethodCodeSize:(\d+)")
 
 
-@pytest.mark.parametrize("name", ["ingest_orders", "route_detail_orders", "waits_store_orders"])
+@pytest.mark.parametrize("name", ["ingest_orders", "route_detail_orders", "waits_store_orders", "root_cause_pareto", "root_cause_segments"])
 def test_methods_are_compiled(spark, capsys, name):
     """The JVM interprets a method of more than 8,000 bytes for ever."""
     entry.queries()[name](spark, "/root/testdata/sf0.001").explain("codegen")
@@ -80,3 +80,14 @@ def test_clocks_of_all_forms(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(forms)], "k int, t string")
     got = [r["t"] for r in clocks.with_clock_text(rows, "t").orderBy("k").collect()]
     assert got == list(forms.values())
+
+
+def test_instants_of_all_forms(spark):
+    forms = {
+        "2024-01-02 05:30": "2024-01-02 05:30:00", "2024-01-02T05:30:10": "2024-01-02 05:30:10", "2024-1-2 5:30": "2024-01-02 05:30:00",
+        "2024-01-02 05:30Z": "2024-01-02 05:30:00", "2024-01-02 05:30+02:00": "2024-01-02 03:30:00", "2024-02-30 05:30": None,
+        "2024-01-02 24:00": None, "2024-01-02 ": None, "2024-01-02": "2024-01-02 00:00:00", "05:30": None, None: None,
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(forms)], "k int, t string")
+    got = [r["i"] for r in rows.withColumn("i", clocks.utc_instant(rows, "t").cast("string")).orderBy("k").collect()]
+    assert got == list(forms.values())
