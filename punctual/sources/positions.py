@@ -7,7 +7,7 @@ count by path, rows by where they stand in their file. Both fit into one LONG.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Bits for the place inside a file: a terabyte of text, or as many rows.
 _PLACE_BITS = 40
@@ -16,8 +16,10 @@ _PLACE_BITS = 40
 MOST_BROADCAST = 500_000
 
 
-def _path(name: str) -> Column:
-    return F.regexp_replace(name, "^file:/+", "file:/")
+def _spellings(path: str) -> list[str]:
+    """A local path as Spark shows it, with one or three slashes; so it need not be rewritten in each row."""
+    name = path.removeprefix("file:").lstrip("/")
+    return [f"file:/{name}", f"file:///{name}"] if path.startswith("file:") else [path]
 
 
 def with_position(files: DataFrame, name: str = "row_ord", place: dict[str, int] | None = None) -> DataFrame:
@@ -30,17 +32,17 @@ def with_position(files: DataFrame, name: str = "row_ord", place: dict[str, int]
     """
     number = place or {path: k for k, path in enumerate(sorted(files.inputFiles()))}
     columns = [F.col(f"`{c}`") for c in files.columns]
-    # One row per file.
-    numbers = files.sparkSession.createDataFrame([(k, path) for path, k in number.items()], "__file long, __path string")
-    numbers = numbers.select((F.shiftleft("__file", _PLACE_BITS)).alias("__start"), _path("__path").alias("__path"))
+    # A row per file and spelling of its path.
+    numbers = files.sparkSession.createDataFrame([(k, p) for path, k in number.items() for p in _spellings(path)], "__file long, __path string")
+    numbers = numbers.select((F.shiftleft("__file", _PLACE_BITS)).alias("__start"), "__path")
     if _has_row_index(files):
-        placed = files.select(*columns, _path("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
+        placed = files.select(*columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
         if len(number) < 2:
             return placed.select(*columns, F.col("__place").alias(name))
-        joined = placed.join(_small(numbers, len(number)), "__path")
+        joined = placed.join(_small(numbers, 2 * len(number)), "__path")
         return joined.select(*columns, (F.col("__start") + F.col("__place")).alias(name))
     placed = files.select(
-        *columns, _path("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
+        *columns, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__read"),
     )
     # A block's rows are read by one task, one after the other.

@@ -170,3 +170,13 @@ def test_headers_of_odd_files(spark, tmp_path):
         "plain": ("a", "b"), "quoted": ('a "x", y', "b"), "broken": ("two\nlines", "b"), "blank": ("a", "b"), "unnamed": ("a", "", "b"),
         "mark": ("a", "b"), "long": ("a", "b"),
     }
+
+
+def test_paths_are_not_rewritten_in_each_row(spark, tmp_path, capsys):
+    """Files are told by their path as Spark shows it, in a local folder too."""
+    for k in range(2):
+        spark.range(3 * k, 3 * k + 3).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    placed = with_position(spark.read.parquet(f"{tmp_path}/0", f"{tmp_path}/1"))
+    placed.explain()
+    assert "regexp_replace" not in capsys.readouterr().out
+    assert [r["id"] for r in placed.orderBy("row_ord").collect()] == list(range(6))
