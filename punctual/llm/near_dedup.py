@@ -17,8 +17,11 @@ Connected components of confirmed links are the groups, so copies are never expa
 What the forest leaves apart goes through an exact prefix filter, without caps: of two sets similar enough, the
 rarest shingles, one more than may be missing, have one in common. Shingles found in one group only are
 dropped by a count; in the others every node is first compared with the node of most links (the original of
-many edited copies), then all pairs that are still in different groups and whose sizes and places allow the
-similarity are confirmed. Rarity is taken from a sample: it orders the shingles, and any order is exact.
+many edited copies), then all pairs that are still in different groups, share a shingle of few nodes, and whose sizes
+and places allow the similarity are confirmed. Rarity is taken from a sample: it orders the shingles, and any order is exact.
+Nodes with a shingle of many nodes (copies edited too much to be linked, beside those that are) are ordered anew by exact
+counts: shingles of one group come first, as no pair between groups shares them, and bands of sizes keep the beginnings
+short. Such a copy's beginning holds little but its own edits, so it meets few others, however many copies there are.
 
 Null texts and texts without words have the empty set and stand alone. Documents with the same id count as
 one in ``component_id``; repeated rows get equal results; null ids are never the smallest; an empty table
@@ -27,6 +30,8 @@ gives an empty result; further columns are left out. Whole texts are used, whate
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,15 +50,22 @@ BROADCAST_PAIRS = 100_000
 #: Up to so many keys of texts (40 bytes each) are broadcast to the texts.
 BROADCAST_KEYS = 1_000_000
 #: Documents whose shingles are counted, and the count from which a shingle is not rare. They set cost, not results.
-SAMPLE, COMMON = 4_000, 3
+SAMPLE, COMMON = 16_000, 3
 #: Rounds against the node of most links before all pairs that are left.
 HUB_ROUNDS = 2
+#: Nodes that share a shingle meet in pairs up to so many; those of more crowded shingles are ordered anew. It sets cost, not results.
+FEW = 64
 #: Bits of a node's map, as a power of two. They set cost, not results.
 MAP_BITS = 12
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**32, (2, TREES * DEPTH, 1), dtype=np.uint32)
 _TIMES, _PLUS = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 
+#: First sizes of bands, each a sixteenth wider than the one before.
+_BANDS = [1]
+while _BANDS[-1] < 1 << 40:
+    _BANDS.append(_BANDS[-1] + max(1, _BANDS[-1] >> 4))
+
 
 class _WordHashes(dict):
     """64-bit hashes of words, remembered."""
@@ -294,16 +306,102 @@ def _numbered(rows: DataFrame, group: DataFrame) -> DataFrame:
 def _possible(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of (a, b, token's place and size of set in each) that can be similar enough.
 
-    Up to the last shingle common to both beginnings, those counted are common; after it, no more than what follows.
+    Up to the last shingle common to both beginnings, those counted are common, and of those not looked at no more than
+    either has (unseen); after it, no more than what follows.
     """
     sums = rows.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("both"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"),
-        F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"),
+        F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max(F.least("unseen_a", "unseen_b")).alias("unseen"),
     )
-    most = F.col("both") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+    most = F.col("both") + F.col("unseen") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
     return sums.where(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
 
 
+def _spread(rows: DataFrame, *more: Column, by: tuple[str, ...] = ("token",)) -> DataFrame:
+    """The tokens that nodes of two groups hold."""
+    return rows.groupBy(*by).agg(F.min("own").alias("low_own"), F.max("own").alias("high_own"), *more).where(
+        F.col("low_own") != F.col("high_own")).drop("low_own", "high_own")
+
+
+def _rows_of(pairs: DataFrame, x: str, y: str, unseen: bool = False) -> DataFrame:
+    """The rows ``x`` and ``y`` of a join as ``_possible`` takes them."""
+    names = [("node", "{}"), ("place", "place_{}"), ("n_shingles", "size_{}")]
+    ends = ((x, "a"), (y, "b"))
+    return pairs.select(
+        *[F.col(f"{side}.{name}").alias(to.format(end)) for side, end in ends for name, to in names],
+        *[(F.col(f"{side}.unseen") if unseen else F.lit(0)).alias(f"unseen_{end}") for side, end in ends],
+    )
+
+
+def _tokens(of: str, holder: str):
+    """A row for each member of the sets in ``of``, with ``holder``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                tokens = [np.frombuffer(x, np.int64) for x in part[of]]
+                yield pd.DataFrame({"token": np.concatenate(tokens), holder: np.repeat(part[holder].to_numpy(), [len(t) for t in tokens])})
+
+    return run
+
+
+def _most_apart(size: int, other: int, percent: int) -> int:
+    """How many members of a set of ``size`` a similar one of ``other`` members or more may lack."""
+    return size - -(-percent * (size + other) // (100 + percent))
+
+
+def _beginnings(percent: int):
+    """For each band of possible partners' sizes, what of a node's ordered set must have a shingle in common with a similar one there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, own, size, live in zip(batch["node"], batch["own"], batch["n_shingles"], batch["live"]):
+                band, alone = bisect_right(_BANDS, size) - 1, size - len(live)
+                least = -(-size * percent // 100)
+                for other in range(bisect_right(_BANDS, least) - 1, bisect_right(_BANDS, size * 100 // percent)):
+                    beginning = live[: max(0, _most_apart(size, max(least, _BANDS[other]), percent) + 1 - alone)]
+                    if len(beginning):
+                        place = np.arange(alone, alone + len(beginning), dtype=np.int32)
+                        out.append((beginning, place, min(band, other), max(band, other), band, node, own, size))
+            if out:
+                lengths = [len(row[0]) for row in out]
+                frame = {"token": np.concatenate([row[0] for row in out]), "place": np.concatenate([row[1] for row in out])}
+                for k, name in enumerate(["low", "high", "band", "node", "own", "n_shingles"], 2):
+                    frame[name] = np.repeat([row[k] for row in out], lengths)
+                yield pd.DataFrame(frame)
+
+    return run
+
+
+def crowded_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (node, own, n_shingles) of different groups that can be similar, by an exact order of their ``sets`` (node, items).
+
+    Shingles held in one group come first, the others by falling rarity among these nodes.
+    """
+    owned = sets.join(nodes.select("node", "own"), "node").select("items", "own").mapInPandas(_tokens("items", "own"), "token long, own long")
+    shared = stored(_spread(owned, F.count(F.lit(1)).alias("holders")))
+    held = sets.select("items", "node").mapInPandas(_tokens("items", "node"), "token long, node long")
+    live = held.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).getField("token").alias("live"))
+    kinds = "token long, place int, low int, high int, band int, node long, own long, n_shingles long"
+    rows = stored(live.join(nodes, "node").select("node", "own", "n_shingles", "live").mapInPandas(_beginnings(percent), kinds))
+    forget(shared)
+    key = ("token", "low", "high")
+    rows = stored(rows.join(_spread(rows, by=key), list(key), "left_semi"))
+    x, y = F.col("x.n_shingles"), F.col("y.n_shingles")
+    needed = F.ceil((x + y) * percent / (100 + percent))
+    near = rows.where("band = low").alias("x").join(
+        rows.where("band = high").alias("y"),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+        & (F.col("x.own") != F.col("y.own")) & ((F.col("x.low") != F.col("x.high")) | (F.col("x.node") > F.col("y.node")))
+        & (F.col("x.place") <= x - needed) & (F.col("y.place") <= y - needed),
+    )
+    pairs = stored(_possible(_rows_of(near, "x", "y"), percent))
+    forget(rows)
+    return pairs
+
+
 def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Components of ``found`` and of further links, so that no similar pair of ``nodes`` (node, n_shingles, rare) is parted.
 
@@ -312,9 +410,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: Data
     group = _groups(found)
     numbered = stored(_numbered(nodes.select("node", "n_shingles", "rare"), group))
     forget(nodes)
-    spread = lambda rows, *more: rows.groupBy("token").agg(
-        F.min("own").alias("low"), F.max("own").alias("high"), *more).where(F.col("low") != F.col("high")).drop("low", "high")
-    shared = stored(spread(numbered.select("rare", "own").mapInPandas(_owned_tokens, "token long, own long")))
+    shared = stored(_spread(numbered.select("rare", "own").mapInPandas(_tokens("rare", "own"), "token long, own long")))
     postings = numbered.select("node", "n_shingles", "rare").mapInPandas(_postings, "token long, place int, node long, n_shingles long")
     rows = stored(postings.join(shared, "token", "left_semi"))
     forget(shared)
@@ -323,7 +419,7 @@ def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: Data
 
     def confirm(pairs: DataFrame, read: DataFrame) -> DataFrame | None:
         """Links among the pairs; ``read``, of which these are made, is deleted before sets are fetched."""
-        pairs = _possible(pairs, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = stored(pairs.withColumn("share", F.lit(None).cast("double")))
         forget(read)
         pairs = fitting(pairs, maps, percent)
@@ -334,40 +430,45 @@ def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: Data
         forget(sets)
         return None if good.isEmpty() else good
 
-    def rows_of(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        names = [("node", "{}"), ("place", "place_{}"), ("n_shingles", "size_{}")]
-        return pairs.select(*[F.col(f"{side}.{name}").alias(to.format(end)) for side, end in ((x, "a"), (y, "b")) for name, to in names])
-
     for _ in range(HUB_ROUNDS):
         degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         here = _numbered(rows, group).join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         here = stored(here)
-        hubs = spread(here, F.max(F.struct("degree", "node", "n_shingles", "own", "place")).alias("hub"))
+        hubs = _spread(here, F.max(F.struct("degree", "node", "n_shingles", "own", "place")).alias("hub"))
         near = here.alias("x").join(hubs, "token").where((F.col("own") != F.col("hub.own")) & likely(F.col("x.n_shingles"), F.col("hub.n_shingles")))
-        good = confirm(rows_of(near, "x", "hub"), here)
+        good = confirm(_possible(_rows_of(near, "x", "hub"), percent), here)
         if good is None:
             break
         found = stored(found.unionByName(good))
         group = _groups(found)
-    here = _numbered(rows, group)
-    here = stored(here.join(spread(here), "token", "left_semi"))
+    # Similar sets are of one band of sizes or of two next to each other, so each cell of two bands is looked at by itself.
+    band = F.floor(F.log("n_shingles") / math.log(100.01 / percent))
+    here = _numbered(rows, group).withColumn("band", band).withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
+    here = stored(here.join(_spread(here, F.count(F.lit(1)).alias("holders"), by=("token", "cell")), ["token", "cell"]))
     forget(rows)
-    near = here.alias("x").join(
-        here.alias("y"),
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.own") != F.col("y.own"))
+    crowded = here.where(F.col("holders") > FEW).groupBy("node").agg(F.count_distinct("token").alias("unseen"), F.first("n_shingles").alias("n_shingles"))
+    crowded = stored(crowded)
+    few = here.where(F.col("holders") <= FEW).join(crowded.select("node", "unseen"), "node", "left").withColumn("unseen", F.coalesce("unseen", F.lit(0)))
+    near = few.alias("x").join(
+        few.alias("y"),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") > F.col("y.node"))
+        & (F.col("x.own") != F.col("y.own")) & (F.greatest("x.band", "y.band") == F.col("x.cell"))
         & likely(F.col("x.n_shingles"), F.col("y.n_shingles")),
     )
-    good = confirm(rows_of(near, "x", "y"), here)
+    good = confirm(_possible(_rows_of(near, "x", "y", unseen=True), percent), here)
+    if good is not None:
+        found = stored(found.unionByName(good))
+        group = _groups(found)
+    if crowded.isEmpty():
+        return group
+    crowded = stored(_numbered(crowded, group).select("node", "own", "n_shingles"))
+    sets = sets_of_needed(crowded.select("node"))
+    pairs = crowded_pairs(sets, crowded, percent)
+    forget(sets)
+    good = confirm(pairs, pairs)
     return group if good is None else _groups(found.unionByName(good))
 
 
-def _owned_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        tokens = [np.frombuffer(x, np.int64) for x in batch["rare"]]
-        if tokens:
-            yield pd.DataFrame({"token": np.concatenate(tokens), "own": np.repeat(batch["own"].to_numpy(), [len(t) for t in tokens])})
-
-
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 

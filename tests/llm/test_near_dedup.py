@@ -73,6 +73,22 @@ def test_star_groups(frame):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(docs, 4)
 
 
+def test_copies_edited_too_much_do_not_all_meet(frame, monkeypatch):
+    """Copies on both sides of the threshold around one original: pairs looked at grow with the copies, not with their square."""
+    rng, looked_at, possible = random.Random(23), [], near_dedup._possible
+
+    def counted(rows, percent):
+        looked_at.append(rows.count())
+        return possible(rows, percent)
+
+    monkeypatch.setattr(near_dedup, "_possible", counted)
+    base = [f"b{k}" for k in range(150)]
+    docs = [(0, " ".join(base))] + [(k, _edited(base, rng.randint(1, 9), rng)) for k in range(1, 601)]
+    got = near_dedup.near_duplicates(frame(docs), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(docs, 4)
+    assert looked_at[-1] < 20 * len(docs) and max(looked_at) < 40 * len(docs)
+
+
 def test_odd_and_empty(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
