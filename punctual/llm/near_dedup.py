@@ -71,7 +71,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -356,21 +356,23 @@ def _beginnings(percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for node, own, size, live in zip(batch["node"], batch["own"], batch["n_shingles"], batch["live"]):
-                band, alone = bisect_right(_BANDS, size) - 1, size - len(live)
-                least = -(-size * percent // 100)
-                for other in range(bisect_right(_BANDS, least) - 1, bisect_right(_BANDS, size * 100 // percent)):
-                    beginning = live[: max(0, _most_apart(size, max(least, _BANDS[other]), percent) + 1 - alone)]
-                    if len(beginning):
-                        place = np.arange(alone, alone + len(beginning), dtype=np.int32)
-                        out.append((beginning, place, min(band, other), max(band, other), band, node, own, size))
-            if out:
-                lengths = [len(row[0]) for row in out]
-                frame = {"token": np.concatenate([row[0] for row in out]), "place": np.concatenate([row[1] for row in out])}
-                for k, name in enumerate(["low", "high", "band", "node", "own", "n_shingles"], 2):
-                    frame[name] = np.repeat([row[k] for row in out], lengths)
-                yield pd.DataFrame(frame)
+            # A node has a row for each band and shingle of its beginning, so a whole batch of them would be large.
+            for at in range(0, len(batch), 256):
+                part, out = batch.iloc[at : at + 256], []
+                for node, own, size, live in zip(part["node"], part["own"], part["n_shingles"], part["live"]):
+                    band, alone = bisect_right(_BANDS, size) - 1, size - len(live)
+                    least = -(-size * percent // 100)
+                    for other in range(bisect_right(_BANDS, least) - 1, bisect_right(_BANDS, size * 100 // percent)):
+                        beginning = live[: max(0, _most_apart(size, max(least, _BANDS[other]), percent) + 1 - alone)]
+                        if len(beginning):
+                            place = np.arange(alone, alone + len(beginning), dtype=np.int32)
+                            out.append((beginning, place, min(band, other), max(band, other), band, node, own, size))
+                if out:
+                    lengths = [len(row[0]) for row in out]
+                    frame = {"token": np.concatenate([row[0] for row in out]), "place": np.concatenate([row[1] for row in out])}
+                    for k, name in enumerate(["low", "high", "band", "node", "own", "n_shingles"], 2):
+                        frame[name] = np.repeat([row[k] for row in out], lengths)
+                    yield pd.DataFrame(frame)
 
     return run
 
@@ -402,6 +404,40 @@ def crowded_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
+def _lacking(own: Column, other: Column, percent: int) -> Column:
+    """How many members of a set of ``own`` a similar one of ``other`` members may lack; more come after the first common one in any order."""
+    return own - F.ceil((own + other) * percent / (100 + percent))
+
+
+def _celled(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with band and cell, without those too late in their set for any partner in the cell.
+
+    Similar sets are of one band of sizes or of two next to each other, so each cell of two bands is looked at by itself.
+    """
+    ratio, size = 100.01 / percent, F.col("n_shingles")
+    rows = rows.withColumn("band", F.floor(F.log(size) / math.log(ratio))).withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
+    lowest = F.when(F.col("band") == F.col("cell"), F.col("cell") - 1).otherwise(F.col("cell"))
+    # One less than the band's first size, as powers are rounded.
+    partner = F.greatest(F.ceil(size * percent / 100), F.floor(F.pow(F.lit(ratio), lowest)) - 1)
+    return rows.where(F.col("place") <= _lacking(size, partner, percent))
+
+
+def _meeting(few: DataFrame, percent: int) -> DataFrame:
+    """Rows ``x`` and ``y`` of different groups with a token and cell in common, none of them too late for the sizes.
+
+    The first shingle common to two similar sets has in each no more before it than the other may lack. Rows left out
+    so are the last of a pair, and ``_possible`` allows for what follows.
+    """
+    x, y = F.col("x.n_shingles"), F.col("y.n_shingles")
+    return few.alias("x").join(
+        few.alias("y"),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") > F.col("y.node"))
+        & (F.col("x.own") != F.col("y.own")) & (F.greatest("x.band", "y.band") == F.col("x.cell"))
+        & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+        & (F.col("x.place") <= _lacking(x, y, percent)) & (F.col("y.place") <= _lacking(y, x, percent)),
+    )
+
+
 def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Components of ``found`` and of further links, so that no similar pair of ``nodes`` (node, n_shingles, rare) is parted.
 
@@ -441,20 +477,13 @@ def missing_links(sets_of_needed, nodes: DataFrame, maps: DataFrame, found: Data
             break
         found = stored(found.unionByName(good))
         group = _groups(found)
-    # Similar sets are of one band of sizes or of two next to each other, so each cell of two bands is looked at by itself.
-    band = F.floor(F.log("n_shingles") / math.log(100.01 / percent))
-    here = _numbered(rows, group).withColumn("band", band).withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
+    here = _celled(_numbered(rows, group), percent)
     here = stored(here.join(_spread(here, F.count(F.lit(1)).alias("holders"), by=("token", "cell")), ["token", "cell"]))
     forget(rows)
     crowded = here.where(F.col("holders") > FEW).groupBy("node").agg(F.count_distinct("token").alias("unseen"), F.first("n_shingles").alias("n_shingles"))
     crowded = stored(crowded)
     few = here.where(F.col("holders") <= FEW).join(crowded.select("node", "unseen"), "node", "left").withColumn("unseen", F.coalesce("unseen", F.lit(0)))
-    near = few.alias("x").join(
-        few.alias("y"),
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") > F.col("y.node"))
-        & (F.col("x.own") != F.col("y.own")) & (F.greatest("x.band", "y.band") == F.col("x.cell"))
-        & likely(F.col("x.n_shingles"), F.col("y.n_shingles")),
-    )
+    near = _meeting(few, percent)
     good = confirm(_possible(_rows_of(near, "x", "y", unseen=True), percent), here)
     if good is not None:
         found = stored(found.unionByName(good))

@@ -133,3 +133,44 @@ def test_bit_maps_rule_out_no_similar_pair(spark):
     got = near_dedup.fitting(pairs, spark.createDataFrame(maps, "node long, n_shingles long, bits binary"), 80).collect()
     kept = {(r["a"], r["b"]) for r in got}
     assert want <= kept and len(kept) < 20
+
+
+KINDS = "token long, place int, node long, own long, n_shingles long, unseen long"
+
+
+def test_shingles_too_late_for_a_pair_do_not_meet(spark):
+    """Of 200 shingles a similar set of 200 may lack 22, so one that 60 nodes hold at place 30 makes no pair, and at place 10 it makes all."""
+    for place, pairs in ((30, 0), (22, 1770), (10, 1770)):
+        rows = spark.createDataFrame([(1, place, k, k, 200, 0) for k in range(60)], KINDS)
+        assert near_dedup._meeting(near_dedup._celled(rows, 80), 80).count() == pairs
+
+
+def test_meeting_loses_no_similar_pair(spark):
+    """Random sets of many sizes, at and next to the threshold, in one order of their members."""
+    rng, sets = random.Random(31), []
+    for size in (1, 4, 5, 9, 10, 45, 100, 400):
+        base = rng.sample(range(10**6), size)
+        for lost in {0, size // 9, size // 9 + 1, size // 5, size // 5 + 1}:
+            for new in {0, size // 9, size // 9 + 1, size // 4, size // 4 + 1}:
+                sets.append(set(base[lost:]) | {rng.randrange(10**6, 10**9) for _ in range(new)})
+        base = sorted(base)
+        sets.append(set(base[size // 5 :]))  # what it lacks comes first in the order
+    sets = [s for s in sets if s]
+    rows = [
+        (token, place, k, k, len(s), 0)
+        for k, s in enumerate(sets) for place, token in enumerate(sorted(s)[: len(s) - -(-80 * len(s) // 100) + 1])
+    ]
+    met = near_dedup._meeting(near_dedup._celled(spark.createDataFrame(rows, KINDS), 80), 80)
+    got = {(r["a"], r["b"]) for r in near_dedup._possible(near_dedup._rows_of(met, "x", "y", unseen=True), 80).collect()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)}
+    assert want and want <= got
+
+
+def test_beginnings_come_in_small_frames():
+    import numpy as np
+    import pandas as pd
+
+    n = 1000
+    batch = pd.DataFrame({"node": range(n), "own": range(n), "n_shingles": 200, "live": [np.arange(200)] * n})
+    frames = list(near_dedup._beginnings(80)(iter([batch])))
+    assert max(len(f) for f in frames) < 0.3 * sum(len(f) for f in frames)
